@@ -133,7 +133,10 @@ def _article_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_file_ranges(_article_files(spark, sf_dir))
+    ranges = build_file_ranges(_article_files(spark, sf_dir))
+    return read_file_ranges(
+        spark, _once(spark, sf_dir, "ranges", lambda path: ranges.write.csv(path))
+    )
 
 
 def _text_lines(spark: SparkSession, sf_dir: str) -> str:
@@ -216,11 +219,6 @@ def _read_articles(spark, sf):
     return read_articles(spark, path).drop("file")
 
 
-def _read_file_ranges(spark, sf):
-    path = _once(spark, sf, "ranges", lambda path: _ranges(spark, sf).write.csv(path))
-    return read_file_ranges(spark, path)
-
-
 def _articles_pruned(spark, sf):
     found = fetch_articles(_article_files(spark, sf), _grouped_hits(spark, sf), _ranges(spark, sf))
     return found.select("doc_id", "url", "title", "content", "file")
@@ -307,13 +305,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "parse_postings": _parse_postings,
         "postings_pruned": lambda spark, sf: _postings(spark, sf, WORDS),
         "read_articles": _read_articles,
-        "read_file_ranges": _read_file_ranges,
+        "read_file_ranges": _ranges,
         "articles_pruned": _articles_pruned,
         "write_word_count": _write_word_count,
         "write_results": _write_results,
         "build_postings": lambda spark, sf: build_postings(documents(spark, sf)),
         "build_postings_pages": lambda spark, sf: build_postings(pages(spark, sf)),
-        "build_file_ranges": _ranges,
+        "build_file_ranges": lambda spark, sf: build_file_ranges(_article_files(spark, sf)),
         # Projections and filters
         "split_words": lambda spark, sf: split_words(_read_lines(spark, sf)),
         "filter_terms": lambda spark, sf: filter_terms(build_postings(documents(spark, sf)), WORDS),

@@ -24,6 +24,19 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/termsift-{uuid.uuid4().hex}/{name}"
 
 
+def write_scratch(table: DataFrame, name: str) -> str:
+    """Write a table that is needed more than once to a scratch folder, and return its path."""
+    path = scratch_dir(table.sparkSession, name)
+    table.write.parquet(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder of this package once nothing reads it any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """Use every core on an input that is cut into fewer pieces than there are cores.
 

@@ -4,17 +4,22 @@ Operators have equal precedence and group from left to right. A single search st
 on the driver, where it is a few words long; a table of them stays a table.
 """
 
+import sys
 from collections.abc import Callable, Iterator
 from itertools import groupby
 from typing import Any, NamedTuple
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from termsift.functions.words import string_array
 
+# Ship the query helper with the job, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 AND, OR, AND_NOT = "and", "or", "and not"
 OPERATORS = (AND, OR, AND_NOT)
 
@@ -138,32 +143,37 @@ def search_words(query: Column) -> Column:
     return F.filter(query_tokens(query), lambda t: ~F.array_contains(marks, t))
 
 
-_COMPILED = StructType(
-    [
-        StructField("words", ArrayType(StringType())),
-        StructField("positive", ArrayType(StringType())),
-        StructField("slots", ArrayType(IntegerType())),
-        StructField("error", StringType()),
-    ]
-)
-
 #: Operators in ``slots``; a search word is its place among the distinct words, from 0.
 SLOT_OF = {AND: -1, OR: -2, AND_NOT: -3}
 
+_COMPILED = {
+    "words": ArrayType(StringType()),
+    "positive": ArrayType(StringType()),
+    "slots": ArrayType(IntegerType()),
+    "error": StringType(),
+}
 
-@F.pandas_udf(_COMPILED)
-def _compile_column(queries: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text in queries:
-        try:
-            query = compile_query(text or "")
-        except ValueError as fault:
-            rows.append(([], [], [], str(fault)))
-            continue
-        words = list(dict.fromkeys(query.words))
-        slot_of = {word: slot for slot, word in enumerate(words)} | SLOT_OF
-        rows.append((words, query.positive, [slot_of[t] for t in query.postfix], None))
-    return pd.DataFrame(rows, columns=["words", "positive", "slots", "error"])
+
+def _compile_row(text: str | None) -> tuple:
+    try:
+        query = compile_query(text or "")
+    except ValueError as fault:
+        return [], [], [], str(fault)
+    words = list(dict.fromkeys(query.words))
+    slot_of = {word: slot for slot, word in enumerate(words)} | SLOT_OF
+    return words, query.positive, [slot_of[t] for t in query.postfix], None
+
+
+def _compile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    strings = pa.list_(pa.string())
+    kinds = (strings, strings, pa.list_(pa.int32()), pa.string())
+    for batch in batches:
+        rows = [_compile_row(text) for text in batch.column("query").to_pylist()]
+        columns = zip(*rows) if rows else [[]] * len(kinds)
+        added = [pa.array(list(c), kind) for c, kind in zip(columns, kinds)]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, *added], names=[*batch.schema.names, *_COMPILED]
+        )
 
 
 def compile_queries(queries: DataFrame) -> DataFrame:
@@ -172,5 +182,5 @@ def compile_queries(queries: DataFrame) -> DataFrame:
     Adds ``words`` (distinct), ``positive``, ``slots`` (postfix form over places in ``words``) and
     ``error``, which is null for a valid query. Only the query side passes through Python.
     """
-    compiled = queries.withColumn("_compiled", _compile_column("query"))
-    return compiled.select(*queries.columns, "_compiled.*")
+    added = [StructField(name, kind) for name, kind in _COMPILED.items()]
+    return queries.mapInArrow(_compile_batches, StructType([*queries.schema.fields, *added]))

@@ -1,10 +1,22 @@
 """Boolean search over postings."""
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termsift.cluster import join_lookup
-from termsift.functions.queries import SLOT_OF, Query, as_query, compile_queries, condition
+from termsift.cluster import BROADCAST_ROWS, join_lookup
+from termsift.functions.queries import (
+    AND,
+    AND_NOT,
+    OR,
+    SLOT_OF,
+    Query,
+    as_query,
+    compile_queries,
+    condition,
+    fold,
+)
 from termsift.functions.words import term_prefix
 from termsift.sources.index import filter_terms
 
@@ -12,28 +24,88 @@ from termsift.sources.index import filter_terms
 _MASK_BITS = 63
 
 
-def _term_flags(postings: DataFrame, words: list[str]) -> tuple[DataFrame, dict[str, Column]]:
-    flags = {word: f"t{i}" for i, word in enumerate(words)}
-    hits = filter_terms(postings, words).groupBy("doc_id")
-    seen = hits.agg(*[F.max(F.col("term") == w).alias(name) for w, name in flags.items()])
-    return seen, {word: F.col(name) for word, name in flags.items()}
+class Reach(NamedTuple):
+    """What the counts of its words say about the result of a query."""
+
+    rows: int  # postings of all its words
+    n: int  # no more documents than this can match
+    low: int | None  # and their ids lie between these bounds
+    high: int | None
+    cover: frozenset[str]  # every match contains one of these words
+
+
+def reach(postings: DataFrame, query: str | Query) -> Reach:
+    """Bound the result of a query from one row per search word, without computing it."""
+    query = as_query(query)
+    counted = filter_terms(postings, list(dict.fromkeys(query.words))).groupBy("term")
+    rows = counted.agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
+    ).collect()
+    total = sum(r["n"] for r in rows)
+    known = {
+        r["term"]: Reach(total, r["n"], r["low"], r["high"], frozenset([r["term"]])) for r in rows
+    }
+    none = Reach(total, 0, None, None, frozenset())
+
+    def both(a: Reach, b: Reach) -> Reach:
+        low, high = max(a.low, b.low), min(a.high, b.high)
+        fewer = min(a, b, key=lambda r: r.n)
+        return fewer._replace(low=low, high=high) if low <= high else none
+
+    def either(a: Reach, b: Reach) -> Reach:
+        cover = a.cover | b.cover
+        low, high = min(a.low, b.low), max(a.high, b.high)
+        return Reach(total, a.n + b.n, low, high, cover)
+
+    return fold(
+        query.postfix,
+        lambda word: known.get(word, none),
+        {
+            AND: lambda a, b: both(a, b) if a.n and b.n else none,
+            OR: lambda a, b: either(a, b) if a.n and b.n else a if a.n else b,
+            AND_NOT: lambda a, b: a,
+        },
+    )
+
 
+def _flags(hits: DataFrame, words: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    names = {word: f"t{i}" for i, word in enumerate(words)}
+    seen = hits.groupBy("doc_id").agg(
+        *[F.max(F.col("term") == word).alias(name) for word, name in names.items()]
+    )
+    return seen, {word: F.col(name) for word, name in names.items()}
 
-def boolean_search(postings: DataFrame, query: str | Query) -> DataFrame:
+
+def boolean_search(
+    postings: DataFrame, query: str | Query, bounds: Reach | None = None
+) -> DataFrame:
     """Documents that satisfy a query, ``(doc_id)``.
 
     One flag per search word and document, one shuffle, one condition. No document without any of
     the words can match, since ``not`` only ever narrows a left side.
+
+    With ``bounds`` from ``reach``, a query whose matches must contain one of a few rare words
+    keeps only the documents of those words before the shuffle, however common its other words.
     """
     query = as_query(query)
     words = list(dict.fromkeys(query.words))
-    seen, flag = _term_flags(postings, words)
+    hits = filter_terms(postings, words)
+    if bounds and bounds.n:
+        hits = hits.where(F.col("doc_id").between(bounds.low, bounds.high))
+        if bounds.n <= BROADCAST_ROWS < bounds.rows:
+            rare = filter_terms(hits, sorted(bounds.cover))
+            common = filter_terms(hits, [word for word in words if word not in bounds.cover])
+            ids = F.broadcast(rare.select("doc_id"))
+            kept = common.join(ids, "doc_id", "left_semi")
+            hits = rare.unionByName(kept)
+    seen, flag = _flags(hits, words)
     return seen.where(condition(query.postfix, flag.__getitem__)).select("doc_id")
 
 
 def matched_terms(postings: DataFrame, words: list[str]) -> DataFrame:
     """Per document, the sorted list of the words it contains: ``(doc_id, terms)``."""
-    seen, flag = _term_flags(postings, sorted(set(words)))
+    words = sorted(set(words))
+    seen, flag = _flags(filter_terms(postings, words), words)
     named = F.array(*[F.when(column, F.lit(word)) for word, column in flag.items()])
     return seen.select("doc_id", F.array_compact(named).alias("terms"))
 
@@ -73,8 +145,8 @@ def _postfix_holds(masks: list[str]) -> Column:
     rest = "slice(st, 1, size(st) - 2)"
     return F.expr(
         f"""aggregate(slots, CAST(array() AS array<boolean>), (st, s) -> CASE
-            WHEN s = {SLOT_OF["and"]} THEN array_append({rest}, {left} AND {right})
-            WHEN s = {SLOT_OF["or"]} THEN array_append({rest}, {left} OR {right})
-            WHEN s = {SLOT_OF["and not"]} THEN array_append({rest}, {left} AND NOT {right})
+            WHEN s = {SLOT_OF[AND]} THEN array_append({rest}, {left} AND {right})
+            WHEN s = {SLOT_OF[OR]} THEN array_append({rest}, {left} OR {right})
+            WHEN s = {SLOT_OF[AND_NOT]} THEN array_append({rest}, {left} AND NOT {right})
             ELSE array_append(st, {flag}) END)[0]"""
     )

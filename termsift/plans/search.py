@@ -7,7 +7,7 @@ from termsift.cluster import BROADCAST_ROWS
 from termsift.functions.queries import as_query
 from termsift.functions.snippets import best_hits, highlight, title_or_plain
 from termsift.functions.words import STOP_WORDS
-from termsift.operators.boolean import boolean_search
+from termsift.operators.boolean import boolean_search, reach
 from termsift.operators.fetch import fetch_articles, id_bounds, matched_files, within
 from termsift.schemas import RESULTS
 from termsift.sources.lines import read_articles, read_file_ranges, read_index_shards
@@ -54,22 +54,27 @@ def search(
 ) -> DataFrame:
     """Articles that satisfy a query, with highlighted title and snippet.
 
-    The matches are counted first, and article text is never shuffled. Matches of a bounded number
-    are broadcast to the articles. More of them are joined by a shuffle after the text has been cut
-    down to its snippet, which needs no other row. A document is dropped when its content
-    has none of the positive words, unless ``drop_empty_snippet`` is false.
+    Article text is never shuffled. The number of matches is bounded by the counts of the search
+    words, or counted when that is not enough. A small number is broadcast to the articles. A large
+    one is joined by a shuffle after every text has been cut down to its snippet, which needs no
+    other row.
 
-    ``ordered`` sorts by document id; leave it out when writing a large result. ``ranges`` is for
-    articles partitioned by ``file``, see ``fetch_articles``.
+    A document is dropped when its content has none of the positive words, unless
+    ``drop_empty_snippet`` is false. ``ordered`` sorts by document id; leave it out when writing a
+    large result. ``ranges`` is for articles partitioned by ``file``, see ``fetch_articles``.
     """
     words = snippet_words(query)
     empty = articles.sparkSession.createDataFrame([], RESULTS)
     if drop_empty_snippet and not words:
         return empty
-    hits = boolean_search(postings, query)
-    bounds = id_bounds(hits)
+    bounds = reach(postings, query)
     if not bounds.n:
         return empty
+    hits = boolean_search(postings, query, bounds)
+    if bounds.n > BROADCAST_ROWS:
+        bounds = id_bounds(hits)
+        if not bounds.n:
+            return empty
     if bounds.n <= BROADCAST_ROWS:
         found = fetch_articles(articles, hits, ranges, bounds)
         results = with_snippets(found, words, drop_empty_snippet)

@@ -3,10 +3,14 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termsift.cluster import drop_scratch, write_scratch
 from termsift.functions.words import letter_runs, term_prefix
 from termsift.schemas import ARTICLE_FILES, POSTINGS
 from termsift.sources.lines import existing_paths
 
+#: Postings per task when the index is written, some hundred megabytes.
+ROWS_PER_TASK = 20_000_000
+
 
 def build_postings(articles: DataFrame) -> DataFrame:
     """Inverted index of ``articles(doc_id, content)``: one row per document and distinct term.
@@ -21,14 +25,22 @@ def build_postings(articles: DataFrame) -> DataFrame:
 def write_postings(postings: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write postings as Parquet, one folder per prefix, sorted by term and document.
 
-    Partitioned by range over (prefix, term, doc_id): a common prefix or term is spread over as
+    Partitioned by range over prefix, term and document: a common prefix or term is spread over as
     many tasks as its share of the rows asks for, a rare one gets one small file, and every row
-    group covers few terms, so that a filter on ``term`` skips the rest. The ranges come from a
-    sampling pass, which runs the plan of ``postings`` once more.
+    group covers few terms, so that a filter on ``term`` skips the rest.
+
+    Finding the ranges takes a sampling pass. The postings are written to a scratch folder first,
+    so that the texts are cut into words once and not once per pass.
     """
-    keys = ["prefix", "term", "doc_id"]
-    ordered = postings.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    spark = postings.sparkSession
+    scratch = write_scratch(postings.select("term", "doc_id", "prefix"), "postings")
+    rows = spark.read.schema(POSTINGS).parquet(scratch)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK))
+    # Hashed, so that the many rare prefixes, one small file each, do not gather in a few tasks.
+    ranged = rows.repartitionByRange(tasks, F.xxhash64("prefix"), "term", "doc_id")
+    ordered = ranged.sortWithinPartitions("prefix", "term", "doc_id")
     ordered.write.mode(mode).partitionBy("prefix").parquet(path)
+    drop_scratch(spark, scratch)
 
 
 def read_postings(spark: SparkSession, path: str, words: list[str] | None = None) -> DataFrame:
