@@ -6,8 +6,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow table may be broadcast. Every caller counts before it broadcasts.
-BROADCAST_ROWS = 1_000_000
+#: Size up to which a table may be broadcast. Every caller measures before it broadcasts.
+BROADCAST_BYTES = 64 << 20
+
+#: What a row of a few numbers takes in a broadcast table, texts aside.
+_ROW_BYTES = 64
 
 #: Pieces into which a key is cut when the other side is too large to broadcast.
 SALTS = 32
@@ -31,10 +34,20 @@ def write_scratch(table: DataFrame, name: str) -> str:
     return path
 
 
+def _file_system(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder of this package once nothing reads it any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    files, folder = _file_system(spark, path)
+    files.delete(folder, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, folder = _file_system(spark, path)
+    return files.exists(folder)
 
 
 def spread(table: DataFrame) -> DataFrame:
@@ -47,15 +60,20 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
+def may_broadcast(rows: int, text_bytes: int = 0) -> bool:
+    """Whether a table of so many rows, with so many bytes of text in all, may be broadcast."""
+    return rows * _ROW_BYTES + text_bytes <= BROADCAST_BYTES
+
+
 def join_lookup(
-    rows: DataFrame, lookup: DataFrame, keys: list[str], lookup_rows: int, salt_by: str
+    rows: DataFrame, lookup: DataFrame, keys: list[str], small: bool, salt_by: str
 ) -> DataFrame:
     """Inner join of many rows with a lookup table, safe for keys that hold most of the rows.
 
-    A lookup of a checked size is broadcast and the rows stay where they are. A larger one is
+    A lookup that was found small is broadcast and the rows stay where they are. A larger one is
     joined by a shuffle in which every key is cut into salted pieces.
     """
-    if lookup_rows <= BROADCAST_ROWS:
+    if small:
         return rows.join(F.broadcast(lookup), keys)
     pieces = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))

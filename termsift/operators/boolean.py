@@ -5,7 +5,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termsift.cluster import BROADCAST_ROWS, join_lookup
+from termsift.cluster import join_lookup, may_broadcast
 from termsift.functions.queries import (
     AND,
     AND_NOT,
@@ -92,7 +92,7 @@ def boolean_search(
     hits = filter_terms(postings, words)
     if bounds and bounds.n:
         hits = hits.where(F.col("doc_id").between(bounds.low, bounds.high))
-        if bounds.n <= BROADCAST_ROWS < bounds.rows:
+        if may_broadcast(bounds.n) and not may_broadcast(bounds.rows):
             rare = filter_terms(hits, sorted(bounds.cover))
             common = filter_terms(hits, [word for word in words if word not in bounds.cover])
             ids = F.broadcast(rare.select("doc_id"))
@@ -119,7 +119,12 @@ def boolean_search_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
     plans = compiled.select("query_id", "slots")
     words = compiled.select("query_id", F.posexplode("words").alias("slot", "term"))
     words = words.withColumn("prefix", term_prefix(F.col("term")))
-    size = words.agg(F.count("*").alias("n"), F.max("slot").alias("widest")).first()
+    size = words.agg(
+        F.count("*").alias("n"),
+        F.sum(F.octet_length("term")).alias("bytes"),
+        F.max("slot").alias("widest"),
+    ).first()
+    small = may_broadcast(size["n"], size["bytes"] or 0)
 
     # One bit per search word: the aggregate state and the shuffled rows have a fixed size. A
     # query of more words than bits has further columns.
@@ -130,9 +135,9 @@ def boolean_search_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
         ).alias(name)
         for i, name in enumerate(masks)
     ]
-    seen = join_lookup(postings, words, ["prefix", "term"], size["n"], salt_by="doc_id")
+    seen = join_lookup(postings, words, ["prefix", "term"], small, salt_by="doc_id")
     seen = seen.groupBy("query_id", "doc_id").agg(*bits)
-    planned = join_lookup(seen, plans, ["query_id"], size["n"], salt_by="doc_id")
+    planned = join_lookup(seen, plans, ["query_id"], small, salt_by="doc_id")
     return planned.where(_postfix_holds(masks)).select("query_id", "doc_id")
 
 

@@ -5,40 +5,64 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termsift.cluster import BROADCAST_ROWS
+from termsift.cluster import may_broadcast
 
 #: Bins of the range join are at most 2**20 ids wide, so no bin gathers more documents than that.
 _MAX_LEVEL = 20
 
 
-def doc_file_ranges(doc_ids: DataFrame, ranges: DataFrame) -> DataFrame:
+def _leveled(ranges: DataFrame) -> DataFrame:
+    level = F.least(F.length(F.bin(F.col("end_id") - F.col("begin_id"))), F.lit(_MAX_LEVEL))
+    return ranges.where("begin_id <= end_id").withColumn("_level", level)
+
+
+class RangeSize(NamedTuple):
+    """Size of a range file, and of its bins for the range join."""
+
+    files: int
+    name_bytes: int
+    bins: int
+    bin_bytes: int
+    levels: list[int]  # the width classes that occur, at most ``_MAX_LEVEL``
+
+
+def range_size(ranges: DataFrame) -> RangeSize:
+    """Measure a range file; one row reaches the driver."""
+    bins = F.expr("shiftright(end_id, _level) - shiftright(begin_id, _level) + 1")
+    name = F.octet_length("file")
+    row = _leveled(ranges).agg(
+        F.count("*"), F.sum(name), F.sum(bins), F.sum(bins * name), F.collect_set("_level")
+    )
+    *sums, levels = row.first()
+    return RangeSize(*[value or 0 for value in sums], sorted(levels))
+
+
+def doc_file_ranges(
+    doc_ids: DataFrame, ranges: DataFrame, size: RangeSize | None = None
+) -> DataFrame:
     """The file that holds each document: ``(doc_id, file)``. Ids outside all ranges drop out.
 
     An equi-join over bins of ids. Each range is binned at the power of two just above its own
     width, so it touches two bins, and a bin touches a handful of ranges, whatever the mix of
     widths. A document looks at one bin for each width class that occurs.
     """
-    level = F.least(F.length(F.bin(F.col("end_id") - F.col("begin_id"))), F.lit(_MAX_LEVEL))
-    leveled = ranges.where("begin_id <= end_id").withColumn("_level", level)
-    bins = leveled.withColumn(
-        "_bin", F.expr("explode(sequence(shiftright(begin_id, _level), shiftright(end_id, _level)))")
-    )
-    size = leveled.agg(
-        F.expr("sum(shiftright(end_id, _level) - shiftright(begin_id, _level) + 1)").alias("bins"),
-        F.collect_set("_level").alias("levels"),
-    ).first()
-    levels = F.array(*[F.lit(i) for i in sorted(size["levels"])]).cast("array<int>")
+    size = size or range_size(ranges)
+    spans = "explode(sequence(shiftright(begin_id, _level), shiftright(end_id, _level)))"
+    bins = _leveled(ranges).withColumn("_bin", F.expr(spans))
+    levels = F.array(*[F.lit(level) for level in size.levels]).cast("array<int>")
     docs = doc_ids.select("doc_id", F.explode(levels).alias("_level"))
     docs = docs.withColumn("_bin", F.expr("shiftright(doc_id, _level)"))
-    if (size["bins"] or 0) <= BROADCAST_ROWS:
+    if may_broadcast(size.bins, size.bin_bytes):
         bins = F.broadcast(bins)
     inside = F.col("doc_id").between(F.col("begin_id"), F.col("end_id"))
     return docs.join(bins, ["_level", "_bin"]).where(inside).select("doc_id", "file")
 
 
-def matched_files(doc_ids: DataFrame, ranges: DataFrame) -> DataFrame:
+def matched_files(
+    doc_ids: DataFrame, ranges: DataFrame, size: RangeSize | None = None
+) -> DataFrame:
     """Names of the files that hold any of the documents."""
-    return doc_file_ranges(doc_ids, ranges).select("file").distinct()
+    return doc_file_ranges(doc_ids, ranges, size).select("file").distinct()
 
 
 class IdBounds(NamedTuple):
@@ -78,9 +102,11 @@ def fetch_articles(
     bounds = bounds or id_bounds(doc_ids)
     if not bounds.n:
         return articles.limit(0)
-    keys = ["doc_id"]
+    found = within(articles, bounds)
     if ranges is not None:
-        doc_ids, keys = doc_file_ranges(doc_ids, ranges), ["file", "doc_id"]
-    if bounds.n <= BROADCAST_ROWS:
-        doc_ids = F.broadcast(doc_ids)
-    return within(articles, bounds).join(doc_ids, keys, "left_semi")
+        size = range_size(ranges)
+        if may_broadcast(size.files, size.name_bytes):
+            files = F.broadcast(matched_files(doc_ids, ranges, size))
+            found = found.join(files, "file", "left_semi")
+    ids = doc_ids.select("doc_id")
+    return found.join(F.broadcast(ids) if may_broadcast(bounds.n) else ids, "doc_id", "left_semi")

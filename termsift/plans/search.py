@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termsift.cluster import BROADCAST_ROWS
+from termsift.cluster import may_broadcast
 from termsift.functions.queries import as_query
 from termsift.functions.snippets import best_hits, highlight, title_or_plain
 from termsift.functions.words import STOP_WORDS
@@ -71,11 +71,11 @@ def search(
     if not bounds.n:
         return empty
     hits = boolean_search(postings, query, bounds)
-    if bounds.n > BROADCAST_ROWS:
+    if not may_broadcast(bounds.n):
         bounds = id_bounds(hits)
         if not bounds.n:
             return empty
-    if bounds.n <= BROADCAST_ROWS:
+    if may_broadcast(bounds.n):
         found = fetch_articles(articles, hits, ranges, bounds)
         results = with_snippets(found, words, drop_empty_snippet)
         # A sort samples its input first. Sampling rows that are already shuffled is cheap;

@@ -3,10 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termsift.cluster import drop_scratch, write_scratch
+from termsift.cluster import drop_scratch, path_exists, write_scratch
 from termsift.functions.words import letter_runs, term_prefix
 from termsift.schemas import ARTICLE_FILES, POSTINGS
-from termsift.sources.lines import existing_paths
 
 #: Postings per task when the index is written, some hundred megabytes.
 ROWS_PER_TASK = 20_000_000
@@ -53,7 +52,8 @@ def read_postings(spark: SparkSession, path: str, words: list[str] | None = None
     if words is None:
         return reader.parquet(path)
     prefixes = sorted({word[:2] for word in words})
-    folders = existing_paths(spark, [f"{path}/prefix={prefix}" for prefix in prefixes])
+    folders = [f"{path}/prefix={prefix}" for prefix in prefixes]
+    folders = [folder for folder in folders if path_exists(spark, folder)]
     if not folders:
         return spark.createDataFrame([], POSTINGS)
     return filter_terms(reader.parquet(*folders), words)

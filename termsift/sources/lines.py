@@ -1,9 +1,9 @@
 """Text sources: plain lines, index lines, article lines and the range file."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termsift.cluster import path_exists
 from termsift.functions.words import term_prefix
 from termsift.schemas import FILE_RANGES, LINES
 
@@ -16,20 +16,6 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path)
 
 
-def existing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
-    """The paths that exist. Only for short lists: the shards of the words of one query."""
-    found = []
-    for path in paths:
-        try:
-            spark.read.text(path)
-        except AnalysisException as fault:
-            if fault.getCondition() != "PATH_NOT_FOUND":
-                raise
-        else:
-            found.append(path)
-    return found
-
-
 # -- index lines: "term docId docId ..." ------------------------------------------------------
 
 
@@ -86,7 +72,8 @@ def read_index_shards(spark: SparkSession, path: str, words: list[str]) -> DataF
     A prefix without a shard has no postings.
     """
     prefixes = sorted({word[:2] for word in words})
-    shards = existing_paths(spark, [f"{path}/{INDEX_SHARD}{prefix}" for prefix in prefixes])
+    shards = [f"{path}/{INDEX_SHARD}{prefix}" for prefix in prefixes]
+    shards = [shard for shard in shards if path_exists(spark, shard)]
     lines = read_lines(spark, shards) if shards else spark.createDataFrame([], LINES)
     return parse_postings(lines).where(F.col("term").isin(words))
 

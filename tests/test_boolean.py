@@ -6,7 +6,6 @@ from test_query_language import evaluate, random_query
 
 from termsift import cluster
 from termsift.functions.queries import AND, AND_NOT, OR, compile_query, fold
-from termsift.operators import boolean
 from termsift.operators.boolean import boolean_search, boolean_search_batch, matched_terms, reach
 from termsift.operators.sets import bool_and, bool_and_not, bool_or, no_match, sort_doc_ids
 from termsift.schemas import LINES, QUERIES
@@ -63,7 +62,7 @@ def test_same_as_set_operations(postings):
 
 def test_reach_bounds_every_result(postings, monkeypatch):
     rng = random.Random(2)
-    monkeypatch.setattr(boolean, "BROADCAST_ROWS", 4)  # rare words are filtered by from here
+    monkeypatch.setattr(cluster, "BROADCAST_BYTES", 4 * 64)  # four rows are few
     for text in [*RESULTS, *[random_query(rng, WORDS, depth=2) for _ in range(20)]]:
         bounds, wanted = reach(postings, text), evaluate(text)
         assert len(wanted) <= bounds.n
@@ -73,7 +72,7 @@ def test_reach_bounds_every_result(postings, monkeypatch):
 
 
 def test_rare_words_filter_common_ones(spark, monkeypatch):
-    monkeypatch.setattr(boolean, "BROADCAST_ROWS", 50)
+    monkeypatch.setattr(cluster, "BROADCAST_BYTES", 50 * 64)
     postings = spark.range(1000).selectExpr("'the' AS term", "id AS doc_id", "'th' AS prefix").union(
         spark.range(10).selectExpr("'rare' AS term", "id * 7 AS doc_id", "'ra' AS prefix")
     )
@@ -84,9 +83,9 @@ def test_rare_words_filter_common_ones(spark, monkeypatch):
     assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("broadcast_rows", [cluster.BROADCAST_ROWS, 0])
-def test_batch(spark, postings, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(cluster, "BROADCAST_ROWS", broadcast_rows)
+@pytest.mark.parametrize("broadcast_bytes", [cluster.BROADCAST_BYTES, 0])
+def test_batch(spark, postings, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(cluster, "BROADCAST_BYTES", broadcast_bytes)
     rng = random.Random(3)
     texts = [*RESULTS, *INVALID, *[random_query(rng, WORDS) for _ in range(60)]]
     # More words than one flag column holds.

@@ -3,16 +3,16 @@ import random
 import pytest
 from data import ARTICLE_LINES, RANGES
 
-from termsift.operators import fetch
+from termsift import cluster
 from termsift.operators.fetch import doc_file_ranges, fetch_articles, matched_files
 from termsift.schemas import DOC_IDS, FILE_RANGES, LINES
 from termsift.sources.index import read_article_files, write_articles
 from termsift.sources.lines import parse_articles
 
 
-@pytest.fixture(params=[fetch.BROADCAST_ROWS, 0], ids=["broadcast", "shuffle"])
+@pytest.fixture(params=[cluster.BROADCAST_BYTES, 0], ids=["broadcast", "shuffle"])
 def either_join(request, monkeypatch):
-    monkeypatch.setattr(fetch, "BROADCAST_ROWS", request.param)
+    monkeypatch.setattr(cluster, "BROADCAST_BYTES", request.param)
 
 
 def ids_of(spark, ids):
@@ -59,7 +59,7 @@ def test_fetch_articles(spark, either_join):
     assert fetch_articles(articles, ids_of(spark, [])).collect() == []
 
 
-def test_only_files_with_matches_are_read(spark, tmp_path):
+def test_only_files_with_matches_are_read(spark, tmp_path, either_join):
     articles = spark.range(100).selectExpr(
         "id AS doc_id", "'u' AS url", "'t' AS title", "'c' AS content"
     )
@@ -73,4 +73,5 @@ def test_only_files_with_matches_are_read(spark, tmp_path):
         (17, "part_1"),
         (42, "part_4"),
     }
-    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("dynamicpruning" in plan) == bool(cluster.BROADCAST_BYTES)

@@ -3,6 +3,7 @@ from data import ARTICLE_LINES, INDEX_LINES, RANGES
 from pyspark.sql import functions as F
 
 from termsift import __main__ as command
+from termsift import cluster
 from termsift.functions.snippets import best_fragment, fragments, highlight, snippet, title_or_plain
 from termsift.plans import search as plan
 from termsift.plans.search import search, search_files, snippet_words
@@ -109,7 +110,7 @@ def test_stop_words_only_are_kept_on_request(articles, postings):
 def test_large_results_equal_small_ones(articles, postings, monkeypatch, text, drop):
     text = text.replace("not_there", "zzzz")
     small = rows(search(articles, postings, text, drop_empty_snippet=drop))
-    monkeypatch.setattr(plan, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(cluster, "BROADCAST_BYTES", 0)
     large = search(articles, postings, text, drop_empty_snippet=drop)
     assert rows(large) == small and small
     executed = large._jdf.queryExecution().optimizedPlan().toString()
