@@ -21,9 +21,9 @@ from termsift.functions.snippets import (
     snippet,
     title_or_plain,
 )
-from termsift.functions.words import STOP_WORDS, drop_stop_words, letter_runs, text_lines
+from termsift.functions.words import STOP_WORDS, drop_stop_words, letter_runs
 from termsift.operators.boolean import boolean_search, boolean_search_batch, matched_terms
-from termsift.operators.counts import split_text_words, split_words, terms_by_prefix, word_count
+from termsift.operators.counts import split_lines, split_words, terms_by_prefix, word_count
 from termsift.operators.fetch import doc_file_ranges, fetch_articles, matched_files
 from termsift.operators.sets import (
     bool_and,
@@ -140,7 +140,7 @@ def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text_lines(spark: SparkSession, sf_dir: str) -> str:
-    lines = documents(spark, sf_dir).select(F.explode(text_lines(F.col("content"))).alias("value"))
+    lines = split_lines(spread(_table(spark, sf_dir, "documents").select("text")))
     return _once(spark, sf_dir, "lines", lambda path: lines.write.text(path))
 
 
@@ -225,8 +225,8 @@ def _articles_pruned(spark, sf):
 
 
 def _word_counts(spark, sf):
-    text = spread(_table(spark, sf, "documents").select("text"))
-    return word_count(text.select(F.explode(split_text_words(F.col("text"))).alias("word")))
+    texts = spread(_table(spark, sf, "documents").select("text"))
+    return word_count(split_words(split_lines(texts)))
 
 
 def _write_word_count(spark, sf):
@@ -255,10 +255,9 @@ def _write_results(spark, sf):
 
 
 def _cast_doc_id(spark, sf):
-    table = _table(spark, sf, "documents")
-    return table.select(
+    return _table(spark, sf, "documents").select(
         cast_doc_id(F.col("doc_id").cast("string")).alias("doc_id"),
-        cast_doc_id(F.col("source")).alias("no_number"),
+        cast_doc_id(F.col("source")).isNull().alias("source_is_no_number"),
     )
 
 
@@ -574,7 +573,7 @@ def oracle_sql() -> dict[str, str]:
         "filter_terms": f"{_with()}\nSELECT term, doc_id, prefix FROM postings"
         f" WHERE term IN ({_list(WORDS)})",
         "cast_doc_id": "SELECT TRY_CAST(CAST(doc_id AS VARCHAR) AS BIGINT) AS doc_id,"
-        " TRY_CAST(source AS BIGINT) AS no_number FROM documents",
+        " TRY_CAST(source AS BIGINT) IS NULL AS source_is_no_number FROM documents",
         "article_fields": f"WITH {_DOCUMENTS},\n{_ARTICLE_LINES}\n{_ARTICLE_FIELDS}",
         "drop_empty_snippet": _sql_snippets(
             f"WITH {_DOCUMENTS}", "documents_articles", SNIPPET_WORDS

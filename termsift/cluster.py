@@ -19,10 +19,12 @@ SALTS = 32
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """Path of a new folder for a written table, under the cluster's checkpoint folder.
 
-    A machine-local folder serves only when the session names none, as in tests.
+    A machine-local folder serves only a local session that names none, as in tests.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         return f"{tempfile.mkdtemp(prefix='termsift-')}/{name}"
     return f"{root.rstrip('/')}/termsift-{uuid.uuid4().hex}/{name}"
 

@@ -6,7 +6,7 @@ on the driver, where it is a few words long; a table of them stays a table.
 
 import sys
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import accumulate, groupby
 from typing import Any, NamedTuple
 
 import pyarrow as pa
@@ -150,6 +150,7 @@ _COMPILED = {
     "words": ArrayType(StringType()),
     "positive": ArrayType(StringType()),
     "slots": ArrayType(IntegerType()),
+    "depth": IntegerType(),
     "error": StringType(),
 }
 
@@ -158,15 +159,17 @@ def _compile_row(text: str | None) -> tuple:
     try:
         query = compile_query(text or "")
     except ValueError as fault:
-        return [], [], [], str(fault)
+        return [], [], [], 0, str(fault)
     words = list(dict.fromkeys(query.words))
     slot_of = {word: slot for slot, word in enumerate(words)} | SLOT_OF
-    return words, query.positive, [slot_of[t] for t in query.postfix], None
+    slots = [slot_of[token] for token in query.postfix]
+    depth = max(accumulate(1 if slot >= 0 else -1 for slot in slots))
+    return words, query.positive, slots, depth, None
 
 
 def _compile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     strings = pa.list_(pa.string())
-    kinds = (strings, strings, pa.list_(pa.int32()), pa.string())
+    kinds = (strings, strings, pa.list_(pa.int32()), pa.int32(), pa.string())
     for batch in batches:
         rows = [_compile_row(text) for text in batch.column("query").to_pylist()]
         columns = zip(*rows) if rows else [[]] * len(kinds)
@@ -179,8 +182,8 @@ def _compile_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def compile_queries(queries: DataFrame) -> DataFrame:
     """Compile the ``query`` column of a table of queries.
 
-    Adds ``words`` (distinct), ``positive``, ``slots`` (postfix form over places in ``words``) and
-    ``error``, which is null for a valid query. Only the query side passes through Python.
+    Adds ``words`` (distinct), ``positive``, ``slots`` (postfix form over places in ``words``),
+    ``depth`` (operands that wait at the same time) and ``error``, null for a valid query. Only the query side passes through Python.
     """
     added = [StructField(name, kind) for name, kind in _COMPILED.items()]
     return queries.mapInArrow(_compile_batches, StructType([*queries.schema.fields, *added]))

@@ -117,13 +117,15 @@ def boolean_search_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
     """
     compiled = compile_queries(queries.select("query_id", "query")).where("size(slots) > 0")
     plans = compiled.select("query_id", "slots")
-    words = compiled.select("query_id", F.posexplode("words").alias("slot", "term"))
+    words = compiled.select("query_id", "depth", F.posexplode("words").alias("slot", "term"))
     words = words.withColumn("prefix", term_prefix(F.col("term")))
     size = words.agg(
         F.count("*").alias("n"),
         F.sum(F.octet_length("term")).alias("bytes"),
         F.max("slot").alias("widest"),
+        F.max("depth").alias("deepest"),
     ).first()
+    words = words.drop("depth")
     small = may_broadcast(size["n"], size["bytes"] or 0)
 
     # One bit per search word: the aggregate state and the shuffled rows have a fixed size. A
@@ -138,20 +140,35 @@ def boolean_search_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
     seen = join_lookup(postings, words, ["prefix", "term"], small, salt_by="doc_id")
     seen = seen.groupBy("query_id", "doc_id").agg(*bits)
     planned = join_lookup(seen, plans, ["query_id"], small, salt_by="doc_id")
-    return planned.where(_postfix_holds(masks)).select("query_id", "doc_id")
+    holds = _postfix_holds(masks, size["deepest"] or 0)
+    return planned.where(holds).select("query_id", "doc_id")
 
 
-def _postfix_holds(masks: list[str]) -> Column:
-    """Evaluate ``slots`` over the flags of one row with a stack of booleans."""
-    flag = (
-        f"(shiftright(array({', '.join(masks)})[s DIV {_MASK_BITS}], s % {_MASK_BITS}) & 1) = 1"
-    )
-    right, left = "st[size(st) - 1]", "st[size(st) - 2]"
-    rest = "slice(st, 1, size(st) - 2)"
+def _postfix_holds(masks: list[str], depth: int) -> Column:
+    """Evaluate ``slots`` over the flags of one row, with a stack of truth values.
+
+    The stack is the bits of a ``bigint`` where it fits, which is several times as fast as the
+    array of booleans that serves deeper queries.
+    """
+    if len(masks) == 1:
+        bit = f"(shiftright({masks[0]}, s) & 1L)"
+    else:
+        mask = f"array({', '.join(masks)})[s DIV {_MASK_BITS}]"
+        bit = f"(shiftright({mask}, s % {_MASK_BITS}) & 1L)"
+    if depth <= _MASK_BITS:
+        start, push = "0L", f"shiftleft(st, 1) | {bit}"
+        top, below, rest = "st", "shiftright(st, 1)", "shiftleft(shiftright(st, 2), 1)"
+        results = [f"{rest} | ({below} & {right} & 1L)" for right in (top, f"~{top}")]
+        either, true = f"{rest} | (({below} | {top}) & 1L)", "= 1L"
+    else:
+        start, push = "CAST(array() AS array<boolean>)", f"array_append(st, {bit} = 1L)"
+        top, below, rest = "st[size(st) - 1]", "st[size(st) - 2]", "slice(st, 1, size(st) - 2)"
+        results = [f"array_append({rest}, {below} AND {right})" for right in (top, f"NOT {top}")]
+        either, true = f"array_append({rest}, {below} OR {top})", "[0]"
     return F.expr(
-        f"""aggregate(slots, CAST(array() AS array<boolean>), (st, s) -> CASE
-            WHEN s = {SLOT_OF[AND]} THEN array_append({rest}, {left} AND {right})
-            WHEN s = {SLOT_OF[OR]} THEN array_append({rest}, {left} OR {right})
-            WHEN s = {SLOT_OF[AND_NOT]} THEN array_append({rest}, {left} AND NOT {right})
-            ELSE array_append(st, {flag}) END)[0]"""
+        f"""aggregate(slots, {start}, (st, s) -> CASE
+            WHEN s >= 0 THEN {push}
+            WHEN s = {SLOT_OF[AND]} THEN {results[0]}
+            WHEN s = {SLOT_OF[OR]} THEN {either}
+            ELSE {results[1]} END) {true}"""
     )

@@ -1,21 +1,21 @@
 """Word counts and words by prefix."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termsift.functions.words import line_words, term_prefix, text_lines
 
 
+def split_lines(texts: DataFrame) -> DataFrame:
+    """Lines of ``texts(text)`` as ``lines(value)``."""
+    return texts.select(F.explode(text_lines(F.col("text"))).alias("value"))
+
+
 def split_words(lines: DataFrame) -> DataFrame:
     """Words of ``lines(value)``, one row each."""
     return lines.select(F.explode(line_words(F.col("value"))).alias("word"))
 
 
-def split_text_words(text: Column) -> Column:
-    """Words of all lines of a text, as one array."""
-    return F.flatten(F.transform(text_lines(text), line_words))
-
-
 def word_count(words: DataFrame) -> DataFrame:
     """How often each ``word`` occurs. Counted before the shuffle, so common words do no harm."""
     return words.groupBy("word").agg(F.count("*").alias("n"))

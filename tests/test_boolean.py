@@ -83,8 +83,9 @@ def test_rare_words_filter_common_ones(spark, monkeypatch):
     assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("deep", [False, True])
 @pytest.mark.parametrize("broadcast_bytes", [cluster.BROADCAST_BYTES, 0])
-def test_batch(spark, postings, monkeypatch, broadcast_bytes):
+def test_batch(spark, postings, monkeypatch, broadcast_bytes, deep):
     monkeypatch.setattr(cluster, "BROADCAST_BYTES", broadcast_bytes)
     rng = random.Random(3)
     texts = [*RESULTS, *INVALID, *[random_query(rng, WORDS) for _ in range(60)]]
@@ -92,6 +93,9 @@ def test_batch(spark, postings, monkeypatch, broadcast_bytes):
     wide = [a + b for a in "bcdfghjklm" for b in "aeiouvwx"]
     texts += [" or ".join([*wide, "cat"]), " or ".join(wide) + " and cat"]
     texts += ["(" + " or ".join([*wide, "cat"]) + ") and not " + " and not ".join(["dog", *wide])]
+    if deep:
+        # More waiting operands than bits: a and (b or (a and (b or ...
+        texts += ["cat and (dog or (" * 40 + "bird" + "))" * 40, "dog not (cat and (" * 50 + "a" + "))" * 50]
     queries = spark.createDataFrame(list(enumerate(texts)), QUERIES)
     found = boolean_search_batch(postings, queries).collect()
     pairs = {tuple(r) for r in found}
