@@ -3,10 +3,19 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The form of a word count and the labels of a result line.
+WORD_COUNT_FORM = "(%s,%d)"
+RESULT_LABELS = {
+    "doc_id": "docID:",
+    "url": ",URL:",
+    "title": ",Title:",
+    "snippet": ",Content:",
+}
+
 
 def word_count_line(counts: DataFrame) -> DataFrame:
     """Word counts as lines ``(word,n)``."""
-    return counts.select(F.format_string("(%s,%d)", "word", "n").alias("value"))
+    return counts.select(F.format_string(WORD_COUNT_FORM, "word", "n").alias("value"))
 
 
 def write_word_count(counts: DataFrame, path: str) -> None:
@@ -16,9 +25,8 @@ def write_word_count(counts: DataFrame, path: str) -> None:
 
 def result_line(results: DataFrame) -> DataFrame:
     """Results as lines ``docID:..,URL:..,Title:..,Content:..``."""
-    fields = [("docID:", "doc_id"), (",URL:", "url"), (",Title:", "title"), (",Content:", "snippet")]
     parts = []
-    for label, name in fields:
+    for name, label in RESULT_LABELS.items():
         parts += [F.lit(label), F.coalesce(F.col(name).cast("string"), F.lit(""))]
     return results.select(F.concat(*parts).alias("value"))
 
