@@ -133,10 +133,10 @@ def _article_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = build_file_ranges(_article_files(spark, sf_dir))
-    return read_file_ranges(
-        spark, _once(spark, sf_dir, "ranges", lambda path: ranges.write.csv(path))
-    )
+    def write(path: str) -> None:
+        build_file_ranges(_article_files(spark, sf_dir)).write.csv(path)
+
+    return read_file_ranges(spark, _once(spark, sf_dir, "ranges", write))
 
 
 def _text_lines(spark: SparkSession, sf_dir: str) -> str:

@@ -137,6 +137,11 @@ def boolean_search_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
         ).alias(name)
         for i, name in enumerate(masks)
     ]
+    if small:
+        # Shuffled before the join, each posting once however many queries share its term. Common
+        # terms are spread by document, and the aggregate below finds its rows in place.
+        asked = F.broadcast(words.select("prefix", "term"))
+        postings = postings.join(asked, ["prefix", "term"], "left_semi").repartition("doc_id")
     seen = join_lookup(postings, words, ["prefix", "term"], small, salt_by="doc_id")
     seen = seen.groupBy("query_id", "doc_id").agg(*bits)
     planned = join_lookup(seen, plans, ["query_id"], small, salt_by="doc_id")
