@@ -44,6 +44,10 @@ def with_snippets(
     )
 
 
+def _no_results(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], RESULTS)
+
+
 def search(
     articles: DataFrame,
     postings: DataFrame,
@@ -64,17 +68,16 @@ def search(
     large result. ``ranges`` is for articles partitioned by ``file``, see ``fetch_articles``.
     """
     words = snippet_words(query)
-    empty = articles.sparkSession.createDataFrame([], RESULTS)
     if drop_empty_snippet and not words:
-        return empty
+        return _no_results(articles.sparkSession)
     bounds = reach(postings, query)
     if not bounds.n:
-        return empty
+        return _no_results(articles.sparkSession)
     hits = boolean_search(postings, query, bounds)
     if not may_broadcast(bounds.n):
         bounds = id_bounds(hits)
         if not bounds.n:
-            return empty
+            return _no_results(articles.sparkSession)
     if may_broadcast(bounds.n):
         found = fetch_articles(articles, hits, ranges, bounds)
         results = with_snippets(found, words, drop_empty_snippet)
@@ -103,7 +106,7 @@ def search_files(
     files = matched_files(boolean_search(postings, compiled), read_file_ranges(spark, ranges_path))
     names = [row["file"] for row in files.limit(MAX_LISTED_FILES + 1).collect()]
     if not names:
-        return spark.createDataFrame([], RESULTS)
+        return _no_results(spark)
     if len(names) <= MAX_LISTED_FILES:
         articles = read_articles(spark, [f"{articles_dir}/{name}" for name in sorted(names)])
     else:
