@@ -137,12 +137,20 @@ def boolean_search_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
         ).alias(name)
         for i, name in enumerate(masks)
     ]
+    keys = ["prefix", "term"]
+    asked = words.select(keys)
+    few_terms = small
+    if not small:  # many queries may still share few terms
+        asked = asked.distinct()
+        terms = asked.agg(F.count("*"), F.sum(F.octet_length("term"))).first()
+        few_terms = may_broadcast(terms[0], terms[1] or 0)
+    if few_terms:
+        postings = postings.join(F.broadcast(asked), keys, "left_semi")
     if small:
         # Shuffled before the join, each posting once however many queries share its term. Common
         # terms are spread by document, and the aggregate below finds its rows in place.
-        asked = F.broadcast(words.select("prefix", "term"))
-        postings = postings.join(asked, ["prefix", "term"], "left_semi").repartition("doc_id")
-    seen = join_lookup(postings, words, ["prefix", "term"], small, salt_by="doc_id")
+        postings = postings.repartition("doc_id")
+    seen = join_lookup(postings, words, keys, small, salt_by="doc_id")
     seen = seen.groupBy("query_id", "doc_id").agg(*bits)
     planned = join_lookup(seen, plans, ["query_id"], small, salt_by="doc_id")
     holds = _postfix_holds(masks, size["deepest"] or 0)

@@ -84,7 +84,7 @@ def test_rare_words_filter_common_ones(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("deep", [False, True])
-@pytest.mark.parametrize("broadcast_bytes", [cluster.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("broadcast_bytes", [cluster.BROADCAST_BYTES, 16_000, 0])
 def test_batch(spark, postings, monkeypatch, broadcast_bytes, deep):
     monkeypatch.setattr(cluster, "BROADCAST_BYTES", broadcast_bytes)
     rng = random.Random(3)
