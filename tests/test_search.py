@@ -176,3 +176,16 @@ def test_command_line(spark, text_files, tmp_path, capsys):
 def test_index_lines_give_the_same_search(spark, articles):
     postings = parse_postings(spark.createDataFrame([(line,) for line in INDEX_LINES], LINES))
     assert [r[0] for r in rows(search(articles, postings, "cat and dog"))] == [2, 3]
+
+
+def test_ordering_reads_the_articles_once(spark, articles, postings):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        read.add(1)
+        return text
+
+    counting = F.udf(count, "string").asNondeterministic()
+    counted = articles.withColumn("content", counting("content"))
+    assert len(rows(search(counted, postings, "cat or dog"))) == 5
+    assert read.value == articles.count()  # a filter cannot move below the counting
