@@ -301,8 +301,29 @@ def entry(spark: SparkSession) -> DataFrame:
     return _flagship(spark, "/root/testdata/sf0.001")
 
 
+try:
+    import corpus_pipeline
+    from termsift.llm import queries as llm_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "termsift.llm", "termsift.llm.queries"):
+        raise
+    corpus_pipeline = llm_queries = None
+
+
+def _llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Operators for training data, when their subpackage is there."""
+    return llm_queries.queries() | {"pipeline": corpus_pipeline.run} if llm_queries else {}
+
+
+def _llm_oracle_sql() -> dict[str, str]:
+    if not llm_queries:
+        return {}
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return llm_queries.oracle_sql() | own
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    return _llm_queries() | {
         # Sources and sinks
         "read_lines": _read_lines,
         "parse_postings": _parse_postings,
@@ -552,7 +573,7 @@ def oracle_sql() -> dict[str, str]:
     title_best = f"WITH {_DOCUMENTS},\n" + _sql_best(
         "best", "documents_articles", "title", SNIPPET_WORDS
     )
-    return {
+    return _llm_oracle_sql() | {
         "read_lines": _LINES,
         "parse_postings": f"{_with()}\nSELECT term, doc_id, prefix FROM postings",
         "postings_pruned": f"{_with()}\nSELECT term, doc_id, prefix FROM postings"
