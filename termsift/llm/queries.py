@@ -7,8 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from termsift.cluster import scratch_dir
 from termsift.llm.common import read
+from termsift.llm.decontamination import find_spans
 from termsift.llm.packing import pack_documents
+from termsift.llm.token_files import read_token_files, write_token_files
 
 
 def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +19,24 @@ def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, read(spark, sf_dir, "documents"), path)
 
 
+def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_spans(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("items", "spans")
+
+
+def _token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_dir(spark, "token_files")
+    write_token_files(
+        read(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json")
+    )
+    return read_token_files(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_best_fit_packing": _packing,
+        "op5_benchmark_decontamination": _decontamination,
+        "op6_token_files": _token_files,
     }
 
 
