@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from termsift.cluster import scratch_dir
-from termsift.llm.common import read
+from termsift.llm.common import crc_split, read
 from termsift.llm.decontamination import find_spans
 from termsift.llm.packing import pack_documents
+from termsift.llm.quality import fit_quality, with_quality
 from termsift.llm.token_files import read_token_files, write_token_files
+from termsift.llm.toxicity import fit_toxicity, with_toxicity
 
 
 def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,11 +35,34 @@ def _token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+def _verdicts(scored: DataFrame, parts: int, held_out: int) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        crc_split(F.col("doc_id"), parts, held_out).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = fit_toxicity(documents, read(spark, sf_dir, "labels"))
+    return _verdicts(with_toxicity(documents.select("doc_id", "text"), model, "score"), 5, 0)
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    model = fit_quality(documents, read(spark, sf_dir, "labels"))
+    return _verdicts(with_quality(documents.select("doc_id", "text"), model, "score"), 3, 1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_best_fit_packing": _packing,
         "op5_benchmark_decontamination": _decontamination,
         "op6_token_files": _token_files,
+        "op7_toxicity": _toxicity,
+        "op8_quality": _quality,
     }
 
 
