@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termsift.cluster import scratch_dir
+from termsift.llm import licenses
 from termsift.llm.common import crc_split, read
 from termsift.llm.decontamination import find_spans
 from termsift.llm.packing import pack_documents
@@ -56,6 +57,10 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(with_quality(documents.select("doc_id", "text"), model, "score"), 3, 1)
 
 
+def _licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(read(spark, sf_dir, "documents")).drop("places")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_best_fit_packing": _packing,
@@ -63,8 +68,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_files": _token_files,
         "op7_toxicity": _toxicity,
         "op8_quality": _quality,
+        "op9_license_scan": _licenses,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_license_scan": licenses.oracle(),
+    }
