@@ -12,6 +12,7 @@ from termsift.cluster import scratch_dir
 from termsift.llm import licenses
 from termsift.llm.common import crc_split, read
 from termsift.llm.decontamination import find_spans
+from termsift.llm.language import fit_languages, with_language
 from termsift.llm.packing import pack_documents
 from termsift.llm.quality import fit_quality, with_quality
 from termsift.llm.token_files import read_token_files, write_token_files
@@ -61,6 +62,13 @@ def _licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find_licenses(read(spark, sf_dir, "documents")).drop("places")
 
 
+def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    found = with_language(documents.select("doc_id", "text"), fit_languages(documents))
+    held_out = crc_split(F.col("doc_id"), 3, 1).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_best_fit_packing": _packing,
@@ -69,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_toxicity": _toxicity,
         "op8_quality": _quality,
         "op9_license_scan": _licenses,
+        "op10_language": _language,
     }
 
 
