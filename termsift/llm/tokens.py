@@ -1,10 +1,10 @@
 """Token ids of whole texts with a public tokenizer file, at a known memory bound.
 
-A tokenizer's work on a word does not depend on what stands around it, so texts are cut at white
-space where the tokenizer must cut as well, and the ids of words are kept while they are in use.
-Words not seen yet are cut into the tokenizer's own pieces, letters apart from punctuation, and
-pieces not seen yet are encoded together in one call. All of this only saves time: whatever is
-not certain to be cut right (rare white space, letters beyond Latin-1) is encoded whole.
+A tokenizer first cuts a text into pieces, letters apart from punctuation, and then encodes each
+piece by itself. Texts are cut here by the same rule, the ids of pieces are kept while they are in
+use, and pieces not seen yet are encoded together in one call. All of this only saves time:
+whatever is not certain to be cut right (rare white space, letters beyond Latin-1) goes to the
+tokenizer as it is.
 """
 
 from __future__ import annotations
@@ -17,9 +17,8 @@ from tokenizers import Tokenizer
 
 from termsift.llm.common import slices
 
-#: Words, and pieces of words, whose ids a Python worker keeps; beyond it a cache starts anew.
-CACHED_WORDS = 500_000
-CACHED_PIECES = 800_000
+#: Pieces whose ids a Python worker keeps; beyond it the cache starts anew.
+CACHED_PIECES = 1_000_000
 
 #: Longer ones are encoded each time.
 _CACHED_LENGTH = 40
@@ -33,7 +32,13 @@ _SPACED = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+"
 _RARE_SPACE = re.compile(
     r"[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]"
 )
-_NOT_SIMPLE = re.compile(r"[ \n][ \n]|[\x00\t\r\x0b\x0c]")
+
+
+def _between(ids: np.ndarray, ends: np.ndarray, skip: int = 0) -> list[bytes]:
+    """Bytes of the ids up to each end; ``skip`` ids after an end belong to neither side."""
+    raw, ends = ids.tobytes(), (2 * ends).tolist()
+    starts = [0, *(end + 2 * skip for end in ends)]
+    return [raw[start:end] for start, end in zip(starts, ends, strict=False)]
 
 
 class _Bare:
@@ -46,18 +51,17 @@ class _Bare:
         for token, number in tokenizer.get_vocab().items():
             self.ends[number] = token.endswith("</w>")
 
-    def words(self, text: str) -> list[bytes]:
-        return text.encode().split()
-
-    def cut(self, word: bytes) -> list[str]:
-        text = word.decode()
-        return self.pieces.findall(text.lower()) if _PLAIN.fullmatch(text) else [text]
+    def cut(self, text: str) -> list[str]:
+        if _PLAIN.fullmatch(text):
+            return self.pieces.findall(text.lower())
+        words = [word.decode() for word in text.encode().split()]
+        return [p for w in words for p in (self.cut(w) if _PLAIN.fullmatch(w) else [w])]
 
     def join(self, pieces: list[str]) -> str:
         return " ".join(pieces)
 
     def split(self, ids: np.ndarray) -> list[bytes]:
-        return [p.tobytes() for p in np.split(ids, np.flatnonzero(self.ends[ids]) + 1)[:-1]]
+        return _between(ids, np.flatnonzero(self.ends[ids]) + 1)
 
     def together(self, piece: str) -> bool:
         return bool(_PLAIN.fullmatch(piece))
@@ -73,20 +77,19 @@ class _Spaced:
     def __init__(self, tokenizer: Tokenizer):
         (self.line,) = tokenizer.encode("\n", add_special_tokens=False).ids
 
-    def words(self, text: str) -> list[str]:
-        if not _NOT_SIMPLE.search(text) and not _RARE_SPACE.search(text):
-            return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        return [text] if _RARE_SPACE.search(text) else _SPACED.findall(text)
-
-    def cut(self, word: str) -> list[str]:
-        return self.pieces.findall(word) if _PLAIN.fullmatch(word) else [word]
+    def cut(self, text: str) -> list[str]:
+        if _PLAIN.fullmatch(text):
+            return self.pieces.findall(text)
+        if _RARE_SPACE.search(text):
+            return [text]
+        words = _SPACED.findall(text)
+        return [p for w in words for p in (self.cut(w) if _PLAIN.fullmatch(w) else [w])]
 
     def join(self, pieces: list[str]) -> str:
         return "\n".join(pieces) + "\n"
 
     def split(self, ids: np.ndarray) -> list[bytes]:
-        parts = np.split(ids, np.flatnonzero(ids == self.line) + 1)[:-1]
-        return [p[:-1].tobytes() for p in parts]
+        return _between(ids, np.flatnonzero(ids == self.line), 1)
 
     def together(self, piece: str) -> bool:
         return bool(piece.strip()) and "\n" not in piece and bool(_PLAIN.fullmatch(piece))
@@ -109,42 +112,24 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("token ids do not fit into 16 bits")
         self.cut = _CUTS[cut](self.tokenizer)
-        self.words: dict = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; a null text has none."""
         return [ids for run in slices(texts, lambda t: len(t or "")) for ids in self._run(run)]
 
     def _run(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.words) > CACHED_WORDS:
-            self.words = {}
-        words = [self.cut.words(text) if text else [] for text in texts]
-        found = [list(map(self.words.get, each)) for each in words]
-        unknown = {
-            word for each, ids in zip(words, found, strict=True) if None in ids
-            for word, known in zip(each, ids, strict=True) if known is None
-        }
-        if unknown:
-            new = self._words(unknown)
-            self.words.update((w, ids) for w, ids in new.items() if len(w) <= _CACHED_LENGTH)
-            found = [
-                [new[w] if known is None else known for w, known in zip(each, ids, strict=True)]
-                if None in ids else ids
-                for each, ids in zip(words, found, strict=True)
-            ]
-        return [b"".join(ids) for ids in found]
-
-    def _words(self, words: set) -> dict:
-        """Ids of words by those of their pieces."""
-        if len(self.pieces) > CACHED_PIECES:
-            self.pieces = {}
-        cut = {word: self.cut.cut(word) for word in words}
-        get = self.pieces.get
-        new = self._pieces({p for pieces in cut.values() for p in pieces if get(p) is None})
-        self.pieces.update((p, ids) for p, ids in new.items() if len(p) <= _CACHED_LENGTH)
-        ids_of = lambda piece: new[piece] if piece in new else get(piece)
-        return {word: b"".join(map(ids_of, pieces)) for word, pieces in cut.items()}
+        if len(self.known) > CACHED_PIECES:
+            self.known = {}
+        cut = [self.cut.cut(text) if text else [] for text in texts]
+        known = self.known
+        new = self._pieces({p for pieces in cut for p in pieces}.difference(known))
+        known.update(new)
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        for piece in new:
+            if len(piece) > _CACHED_LENGTH:
+                del known[piece]
+        return out
 
     def _pieces(self, pieces: set[str]) -> dict[str, bytes]:
         joined = [p for p in pieces if self.cut.together(p)]
