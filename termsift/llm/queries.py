@@ -12,6 +12,7 @@ from termsift.cluster import scratch_dir
 from termsift.llm import licenses
 from termsift.llm.common import crc_split, read
 from termsift.llm.decontamination import find_spans
+from termsift.llm.embedding_dedup import near_duplicates
 from termsift.llm.language import fit_languages, with_language
 from termsift.llm.packing import pack_documents
 from termsift.llm.quality import fit_quality, with_quality
@@ -69,8 +70,13 @@ def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score")
 
 
+def _embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": _embedding_dedup,
         "op3_best_fit_packing": _packing,
         "op5_benchmark_decontamination": _decontamination,
         "op6_token_files": _token_files,
