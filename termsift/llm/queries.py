@@ -14,6 +14,7 @@ from termsift.llm.common import crc_split, read
 from termsift.llm.decontamination import find_spans
 from termsift.llm.embedding_dedup import near_duplicates
 from termsift.llm.language import fit_languages, with_language
+from termsift.llm.ngram_join import near_duplicates as near_duplicate_texts
 from termsift.llm.packing import pack_documents
 from termsift.llm.quality import fit_quality, with_quality
 from termsift.llm.token_files import read_token_files, write_token_files
@@ -74,10 +75,15 @@ def _embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def _ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_texts(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": _embedding_dedup,
         "op3_best_fit_packing": _packing,
+        "op4_ngram_join": _ngram_join,
         "op5_benchmark_decontamination": _decontamination,
         "op6_token_files": _token_files,
         "op7_toxicity": _toxicity,
