@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termsift.cluster import scratch_dir
-from termsift.llm import licenses
+from termsift.llm import fixity, licenses
 from termsift.llm.common import crc_split, read
 from termsift.llm.decontamination import find_spans
 from termsift.llm.embedding_dedup import near_duplicates
@@ -79,9 +79,14 @@ def _ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_texts(read(spark, sf_dir, "documents"))
 
 
+def _fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.audit_pages(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": _embedding_dedup,
+        "op2_warc_fixity": _fixity,
         "op3_best_fit_packing": _packing,
         "op4_ngram_join": _ngram_join,
         "op5_benchmark_decontamination": _decontamination,
@@ -95,5 +100,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc_fixity": fixity.ORACLE,
         "op9_license_scan": licenses.oracle(),
     }
