@@ -27,8 +27,8 @@ from termsift.llm.common import crc_split, slices
 WINDOW, STRIDE = 48, 36
 
 #: Bounds of the training sample: documents of each label, and the length of such a document.
-SAMPLE_PER_LABEL = 1500
-SAMPLE_CHARS = 12_000
+SAMPLE_PER_LABEL = 1200
+SAMPLE_CHARS = 8_000
 
 #: Empty texts among the examples, not toxic.
 EMPTY_EXAMPLES = 20
@@ -36,7 +36,7 @@ EMPTY_EXAMPLES = 20
 WORD_ROWS = 20_000
 CHAR_ROWS = 1 << 15
 DIM, HIDDEN = 6, 8
-EPOCHS, BATCH, RATE = 6, 64, 0.02
+EPOCHS, LEAST_STEPS, BATCH, RATE = 8, 200, 64, 0.02
 
 #: Words whose inputs a Python worker keeps; it starts anew beyond that.
 CACHED_WORDS = 250_000
@@ -57,7 +57,7 @@ def char_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     text = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     ends = np.repeat(np.cumsum(sizes), sizes)
-    owner = np.repeat(np.arange(len(words)), sizes)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     place = np.arange(len(text))
     rows, owners = [], []
     h = text + np.uint64(1)
@@ -66,12 +66,12 @@ def char_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if n in _SIZES:
             inside = place[: len(h)] + n <= ends[: len(h)]
             mixed = (h[inside] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
-            rows.append((mixed % np.uint64(CHAR_ROWS)).astype(np.int64))
+            rows.append((mixed % np.uint64(CHAR_ROWS)).astype(np.int32))
             owners.append(owner[: len(h)][inside])
         if len(h) <= 1:
             break
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     return np.concatenate(rows), np.concatenate(owners)
 
 
@@ -263,18 +263,22 @@ def window_rows(places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(documents: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """Up to ``SAMPLE_PER_LABEL`` training texts of each label, picked by a hash of their id."""
+    """Up to ``SAMPLE_PER_LABEL`` training texts of each label, picked by a hash of their id.
+
+    The ids are picked from the labels and sent to the documents, so that no text is moved but
+    those of the sample.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)")
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("_label"))
-    short = documents.select("doc_id", F.col("text").alias("_text"))
-    short = short.where(F.length("_text") <= SAMPLE_CHARS)
-    rows = short.where(~crc_split(F.col("doc_id"), 5, 0)).join(known, "doc_id")
-    picked = F.xxhash64("doc_id", "_text")
-    out = []
-    for label in (0, 1):
-        chosen = rows.where(F.col("_label") == label).orderBy(picked, "doc_id").limit(SAMPLE_PER_LABEL)
-        out += [(row["_text"], label) for row in chosen.select("_text").collect()]
-    return out
+    known = known.where(~crc_split(F.col("doc_id"), 5, 0))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_label"))
+    picked = [
+        known.where(F.col("_label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_LABEL)
+        for label in (0, 1)
+    ]
+    texts = documents.select("doc_id", F.col("text").alias("_text"))
+    texts = texts.where(F.length("_text") <= SAMPLE_CHARS)
+    rows = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "_text", "_label")
+    return [(r["_text"], r["_label"]) for r in sorted(rows.collect(), key=lambda r: (r[0], r[1]))]
 
 
 def _log_odds(present: list[np.ndarray], label: np.ndarray, width: int) -> np.ndarray:
@@ -292,18 +296,24 @@ def train(examples: list[tuple[str, int]], seed: int = 7) -> Network | float:
         return float((label.sum() + 1) / (len(label) + 2))
     examples = [*examples, *[("", 0)] * EMPTY_EXAMPLES]
     label = np.array([y for _, y in examples])
-    words = [_words(text) for text, _ in examples]
-    counts = Counter(w for each in words for w in set(each))
-    vocabulary = [w for w, n in counts.most_common(WORD_ROWS) if n >= 3]
+    # words by number at once: the words themselves are kept only once
+    row_of: dict[bytes, int] = {}
+    places, counts = [], Counter()
+    for text, _ in examples:
+        own = [row_of.setdefault(w, len(row_of)) for w in _words(text)]
+        places.append(np.array(own, np.int32))
+        counts.update(set(own))
+    distinct = list(row_of)
+    del row_of
+    vocabulary = [distinct[k] for k, n in counts.most_common(WORD_ROWS) if n >= 3]
     network = Network(vocabulary, seed)
     rng = np.random.default_rng(seed)
     # start from how words and n-grams stand to the labels
-    distinct = list(counts)
-    row_of = {w: k for k, w in enumerate(distinct)}
-    places = [np.fromiter(map(row_of.get, each), np.int64, len(each)) for each in words]
     grams, owner = char_grams(distinct)
-    starts = np.searchsorted(np.sort(owner), np.arange(len(distinct) + 1))
-    by_word = grams[np.argsort(owner, kind="stable")]
+    order = np.argsort(owner, kind="stable")
+    by_word = grams[order]
+    starts = np.searchsorted(owner[order], np.arange(len(distinct) + 1))
+    del grams, owner, order
     grams_in = lambda p: np.unique(
         np.concatenate([by_word[starts[k] : starts[k + 1]] for k in np.unique(p)] or [by_word[:0]])
     )
@@ -318,7 +328,8 @@ def train(examples: list[tuple[str, int]], seed: int = 7) -> Network | float:
     strength = np.where(ids >= 0, x[:, [0, DIM]].sum(axis=1)[np.where(ids >= 0, ids, 0)], -9).max(axis=1)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in network.p.items()}
     step = 0
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // (5 * int(label.sum()))))
+    for epoch in range(epochs):
         if epoch:
             strength = _strengths(network, ids, distinct)
         first = np.lexsort((-strength, doc))
@@ -326,6 +337,10 @@ def train(examples: list[tuple[str, int]], seed: int = 7) -> Network | float:
         positive = top[label[doc[top]] == 1]
         clean = np.flatnonzero(label[doc] == 0)
         hard = top[label[doc[top]] == 0]
+        hard = np.concatenate([
+            hard[np.argsort(-strength[hard], kind="stable")][: 2 * len(positive)],
+            np.flatnonzero((ids < 0).all(axis=1) & (label[doc] == 0))[:EMPTY_EXAMPLES],
+        ])
         negative = np.concatenate([hard, rng.choice(clean, min(len(clean), 2 * len(positive)), False)])
         order = rng.permutation(np.concatenate([positive, negative]))
         for at in range(0, len(order), BATCH):
@@ -337,7 +352,7 @@ def train(examples: list[tuple[str, int]], seed: int = 7) -> Network | float:
                 continue
             grad = network.gradient(where, network.inputs(own), own, label[doc[part]])
             step += 1
-            rate = RATE / (1 + epoch)
+            rate = RATE / (1 + epoch * EPOCHS / epochs)
             for name, g in grad.items():
                 m, v = moments[name]
                 m += 0.1 * (g - m)
@@ -352,8 +367,8 @@ def _strengths(network: Network, ids: np.ndarray, distinct: list[bytes]) -> np.n
     p, x = network.p, network.inputs(distinct)
     xf, xb = x @ p["Wf"] + p["cf"], x @ p["Wb"] + p["cb"]
     out = []
-    for at in range(0, len(ids), 2048):
-        rows = ids[at : at + 2048].T
+    for at in range(0, len(ids), 512):
+        rows = ids[at : at + 512].T
         safe = np.where(rows >= 0, rows, 0)
         out.append(network.scores(xf[safe], xb[safe], (rows >= 0)[:, :, None]))
     return np.concatenate(out)
