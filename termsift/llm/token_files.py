@@ -58,10 +58,12 @@ def train_dictionary(documents: DataFrame, tokenizer: str, end_id: int = END_ID)
     Any dictionary gives the same ids back; the sample decides on the size of the files only.
     Where there is too little to train on, the ids themselves are the dictionary.
     """
+    # ids are picked first, so that no texts meet but those of the sample
     short = documents.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS))
-    rows = short.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_DOCUMENTS)
+    ids = short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id")
+    rows = short.join(F.broadcast(ids.limit(SAMPLE_DOCUMENTS)), "doc_id")
     end = np.array([end_id], "<u2").tobytes()
-    texts = [row.text for row in rows.select("text").collect()]
+    texts = sorted(row.text for row in rows.collect())
     samples = [ids + end for ids in Encoder(tokenizer, "spaced").encode(texts)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
