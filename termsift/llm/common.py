@@ -18,6 +18,13 @@ def stored(table: DataFrame, name: str) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(write_scratch(table, name))
 
 
+def free_name(table: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name.lower() in {column.lower() for column in table.columns}:
+        name = f"_{name}"
+    return name
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
