@@ -1,31 +1,73 @@
-"""A cleaning and packing pipeline over ``documents``: STAGES, each a function of
-``(spark, docs, sf_dir)`` whose result is written as Parquet and read again by the next.
+"""A cleaning and packing pipeline over ``documents``.
+
+STAGES are (name, function) pairs; a function takes ``(spark, docs, sf_dir)``, and its result is
+written as Parquet and read again as the next one's ``docs``. All stages but the last return the
+columns of ``docs``.
+
+Nulls, ties, repeats: rows without text or id pass the filters as their scores say and are no
+duplicates of anything; the operators in ``termsift.llm`` tell the rest. Extra columns pass
+through, also under the names of scores.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from termsift.llm.common import read, stored
+from termsift.llm.common import free_name, read, stored
+from termsift.llm.decontamination import remove_spans
+from termsift.llm.ngram_join import keep_one
 from termsift.llm.packing import pack_documents
+from termsift.llm.quality import fit_quality, with_quality
+from termsift.llm.toxicity import fit_toxicity, with_toxicity
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity network does not reject."""
+    name = free_name(docs, "toxicity")
+    scored = with_toxicity(docs, fit_toxicity(docs, read(spark, sf_dir, "labels")), name)
+    return scored.where(F.col(name) < 0.5).drop(name)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    name = free_name(docs, "quality")
+    scored = with_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels")), name)
+    return scored.where(F.col(name) >= 0.5).drop(name)
+
+
+def deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates by word 5-grams, at a Jaccard similarity of 0.8."""
+    return keep_one(docs, ngram=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their passages of benchmark items."""
+    return remove_spans(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the texts into sequences; one row per piece."""
-    return pack_documents(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The texts packed into sequences; one row per piece, with its ids."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return pack_documents(spark, docs, path, keep_ids=True)
 
 
 STAGES = [
+    ("toxicity", toxicity),
+    ("quality", quality),
+    ("deduplication", deduplication),
+    ("decontamination", decontamination),
     ("packing", packing),
 ]
 
-#: Token ids, learned scores and tiles are beyond SQL; tests hold the rows against brute force.
+#: Token ids, learned scores and near-duplicates are beyond SQL; tests hold the stages against
+#: brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
+    """The rows of the last stage, from the whole of ``documents``."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
