@@ -79,7 +79,9 @@ def _best_split(x: np.ndarray, width: float, rng: np.random.Generator):
     return best and best[1:]
 
 
-def build_splits(x: np.ndarray, size: float, seed: int, threshold: float = THRESHOLD) -> tuple:
+def build_splits(
+    x: np.ndarray, size: float, seed: int, threshold: float = THRESHOLD, leaf: int = LEAF
+) -> tuple:
     """Splits of a node of ``size`` vectors from a sample of unit vectors.
 
     Arrays by node of the small tree: left and right child (-1: none), threshold, direction, and
@@ -97,7 +99,7 @@ def build_splits(x: np.ndarray, size: float, seed: int, threshold: float = THRES
         for column, value in ((left, -1), (right, -1), (cut, 0.0), (dense, False)):
             column.append(value)
         direction.append(np.zeros(x.shape[1]))
-        if len(own) * scale <= LEAF or level >= LEVELS or (level and len(own) < 64):
+        if len(own) * scale <= leaf or level >= LEVELS or (level and len(own) < 64):
             continue
         found = _best_split(x[own], width, rng)
         if found is None:
@@ -136,14 +138,14 @@ def _route(x: np.ndarray, splits: tuple, node: int, width: float):
         todo.append((own[along >= cut[k] - width], right[k]))
 
 
-def _split_once(state: DataFrame, oversize: DataFrame, threshold: float) -> DataFrame:
+def _split_once(state: DataFrame, oversize: DataFrame, threshold: float, leaf: int) -> DataFrame:
     """Send the vectors of the nodes in ``oversize`` (node, size) on to the parts of these nodes."""
     spark = state.sparkSession
 
     def build(table: pa.Table) -> pa.Table:
         node, size = table["node"][0].as_py(), table["size"][0].as_py()
         order = np.argsort(table["cid"].to_numpy(), kind="stable")
-        found = build_splits(_unit(_matrix(table["x"]))[order], size, node, threshold)
+        found = build_splits(_unit(_matrix(table["x"]))[order], size, node, threshold, leaf)
         left, right, cut, direction, dense = found
         return pa.Table.from_arrays(
             [
@@ -206,7 +208,9 @@ def _split_once(state: DataFrame, oversize: DataFrame, threshold: float) -> Data
     return state.mapInArrow(send, state.schema)
 
 
-def forest(classes: DataFrame, trees: int = TREES, threshold: float = THRESHOLD) -> DataFrame:
+def forest(
+    classes: DataFrame, trees: int = TREES, threshold: float = THRESHOLD, leaf: int = LEAF
+) -> DataFrame:
     """Classes with the leaves they are in: ``open`` small ones, ``closed`` dense ones.
 
     ``classes`` has ``cid, copies, x`` and ``root``, which only vectors to be compared share.
@@ -218,13 +222,13 @@ def forest(classes: DataFrame, trees: int = TREES, threshold: float = THRESHOLD)
     )
     while True:
         sizes = state.select(F.explode("open").alias("node")).groupBy("node")
-        large = sizes.agg(F.count("*").alias("size")).where(F.col("size") > LEAF)
+        large = sizes.agg(F.count("*").alias("size")).where(F.col("size") > leaf)
         large = large.orderBy("node").limit(ROUND_NODES)
         rows = [(r["node"], r["size"]) for r in large.collect()]
         if not rows:
             return state
         oversize = state.sparkSession.createDataFrame(rows, "node bigint, size bigint")
-        state = stored(_split_once(state, oversize, threshold), "forest")
+        state = stored(_split_once(state, oversize, threshold, leaf), "forest")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -272,7 +276,9 @@ def compare_leaf(
     return own @ copies, _roots(n, a, b)
 
 
-def link_classes(state: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def link_classes(
+    state: DataFrame, threshold: float = THRESHOLD, leaf: int = LEAF
+) -> DataFrame:
     """Links of the classes in their leaves: (cid, links, other), a few rows per class."""
     every = F.concat("open", "closed").alias("leaves")
     rows = state.select("cid", "copies", "x", "open", "closed", every)
@@ -282,7 +288,7 @@ def link_classes(state: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         *columns[:5], zero.alias("first"), zero.alias("last"), zero.alias("block")
     )
     dense = rows.withColumn("leaf", F.explode("closed"))
-    blocks = dense.groupBy("leaf").agg(F.ceil(F.count("*") / LEAF).cast("int").alias("blocks"))
+    blocks = dense.groupBy("leaf").agg(F.ceil(F.count("*") / leaf).cast("int").alias("blocks"))
     dense = dense.join(blocks, "leaf")
     dense = dense.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     dense = dense.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -313,7 +319,7 @@ def _usable(x: Column) -> Column:
 
 
 def near_duplicates(
-    embeddings: DataFrame, threshold: float = THRESHOLD, trees: int = TREES
+    embeddings: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF
 ) -> DataFrame:
     """Per row: ``vec_id, n_links, component_id, kept``."""
     x = F.col("embedding")
@@ -328,7 +334,7 @@ def near_duplicates(
         .where("cid is not null")
     )
     classes = stored(classes.select("cid", "copies", "x", "root", *keys), "classes")
-    found = stored(link_classes(forest(classes, trees, threshold), threshold), "links")
+    found = stored(link_classes(forest(classes, trees, threshold, leaf), threshold, leaf), "links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     group = components(found.where("cid != other"), "cid", "other")
     result = (
