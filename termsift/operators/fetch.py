@@ -5,7 +5,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termsift.cluster import may_broadcast
+from termsift.cluster import may_broadcast, write_scratch
 
 #: Bins of the range join are at most 2**20 ids wide, so no bin gathers more documents than that.
 _MAX_LEVEL = 20
@@ -86,6 +86,20 @@ def within(articles: DataFrame, bounds: IdBounds) -> DataFrame:
     return articles.where(F.col("doc_id").between(bounds.low, bounds.high))
 
 
+def placed_ids(doc_ids: DataFrame, ranges: DataFrame) -> tuple[DataFrame, bool]:
+    """Documents with the file of their own range, ``(doc_id, file)``, and whether they are few.
+
+    Written once, since it is measured and then read for the files and for the documents. An id
+    outside all ranges has no row: whatever article file holds it, it is not found.
+    """
+    size = range_size(ranges)
+    placed = doc_file_ranges(doc_ids, ranges, size).distinct()
+    path = write_scratch(placed, "placed")
+    placed = doc_ids.sparkSession.read.schema(placed.schema).parquet(path)
+    row = placed.agg(F.count("*"), F.sum(F.octet_length("file"))).first()
+    return placed, may_broadcast(row[0], row[1] or 0)
+
+
 def fetch_articles(
     articles: DataFrame,
     doc_ids: DataFrame,
@@ -96,17 +110,20 @@ def fetch_articles(
 
     The ids are counted first. A set of bounded size is broadcast and the articles, which are the
     large side, stay where they are; a larger one takes a shuffle join. With ``ranges``, articles
-    partitioned by ``file`` are read only from the files that hold matches, by dynamic partition
-    pruning.
+    have a ``file``, and an article is found only in the file of the range its id lies in, at any
+    size. Files without matches are not read where their names can be broadcast, by dynamic
+    partition pruning; that skips files and decides nothing.
     """
     bounds = bounds or id_bounds(doc_ids)
     if not bounds.n:
         return articles.limit(0)
     found = within(articles, bounds)
-    if ranges is not None:
-        size = range_size(ranges)
-        if may_broadcast(size.files, size.name_bytes):
-            files = F.broadcast(matched_files(doc_ids, ranges, size))
-            found = found.join(files, "file", "left_semi")
-    ids = doc_ids.select("doc_id")
-    return found.join(F.broadcast(ids) if may_broadcast(bounds.n) else ids, "doc_id", "left_semi")
+    if ranges is None:
+        ids = doc_ids.select("doc_id")
+        return found.join(F.broadcast(ids) if may_broadcast(bounds.n) else ids, "doc_id", "left_semi")
+    placed, few = placed_ids(doc_ids, ranges)
+    if few:
+        files = within(placed, bounds).select("file").distinct()
+        found = found.join(F.broadcast(files), "file", "left_semi")
+        placed = F.broadcast(placed)
+    return found.join(placed, ["doc_id", "file"], "left_semi")

@@ -3,12 +3,18 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termsift.cluster import may_broadcast
+from termsift.cluster import may_broadcast, path_exists
 from termsift.functions.queries import as_query
 from termsift.functions.snippets import best_hits, highlight, title_or_plain
 from termsift.functions.words import STOP_WORDS
 from termsift.operators.boolean import boolean_search, reach
-from termsift.operators.fetch import fetch_articles, id_bounds, matched_files, within
+from termsift.operators.fetch import (
+    doc_file_ranges,
+    fetch_articles,
+    id_bounds,
+    matched_files,
+    within,
+)
 from termsift.schemas import RESULTS
 from termsift.sources.lines import read_articles, read_file_ranges, read_index_shards
 
@@ -22,9 +28,9 @@ def snippet_words(query: str) -> list[str]:
 
 
 def with_snippets(
-    articles: DataFrame, words: list[str], drop_empty_snippet: bool = True
+    articles: DataFrame, words: list[str], drop_empty_snippet: bool = True, keep: tuple = ()
 ) -> DataFrame:
-    """Result rows of articles, each made from its own row alone.
+    """Result rows of articles, each made from its own row alone, and further columns to ``keep``.
 
     The best piece is exploded from an array of one element or none, so it is computed once and
     rows without a hit fall away in the same step.
@@ -34,13 +40,14 @@ def with_snippets(
         hits = best_hits(F.col("content"), words)
     else:
         hits = F.expr("CAST(array() AS array<struct<score:int,place:int,fragment:string>>)")
-    best = articles.select("doc_id", "url", "title", expand(hits).alias("_best"))
+    best = articles.select("doc_id", "url", "title", *keep, expand(hits).alias("_best"))
     text = F.coalesce(highlight(F.col("_best.fragment"), words), F.lit(""))
     return best.select(
         "doc_id",
         "url",
         title_or_plain(F.col("title"), words).alias("title"),
         text.alias("snippet"),
+        *keep,
     )
 
 
@@ -65,7 +72,8 @@ def search(
 
     A document is dropped when its content has none of the positive words, unless
     ``drop_empty_snippet`` is false. ``ordered`` sorts by document id; leave it out when writing a
-    large result. ``ranges`` is for articles partitioned by ``file``, see ``fetch_articles``.
+    large result. With ``ranges``, articles have a ``file``, and an article is found only in the
+    file of the range its id lies in, see ``fetch_articles``.
     """
     words = snippet_words(query)
     if drop_empty_snippet and not words:
@@ -84,8 +92,11 @@ def search(
         # A sort samples its input first. Sampling rows that are already shuffled is cheap;
         # sampling here would read the articles twice.
         return results.repartition("doc_id").orderBy("doc_id") if ordered else results
-    results = with_snippets(within(articles, bounds), words, drop_empty_snippet)
-    results = results.join(hits, "doc_id", "left_semi")
+    keys = ["doc_id"]
+    if ranges is not None:
+        keys, hits = ["doc_id", "file"], doc_file_ranges(hits, ranges)
+    results = with_snippets(within(articles, bounds), words, drop_empty_snippet, tuple(keys[1:]))
+    results = results.join(hits, keys, "left_semi").select(*RESULTS.names)
     return results.orderBy("doc_id") if ordered else results
 
 
@@ -99,16 +110,20 @@ def search_files(
 ) -> DataFrame:
     """Search over text files: index shards, a range file and a folder of article files.
 
-    Only the shards of the search words and the article files that hold matches are opened.
+    Only the shards of the search words and the article files that hold matches are opened. A
+    file that the ranges name and the folder does not have holds no articles.
     """
     compiled = as_query(query)
     postings = read_index_shards(spark, index_dir, sorted(set(compiled.words)))
-    files = matched_files(boolean_search(postings, compiled), read_file_ranges(spark, ranges_path))
+    ranges = read_file_ranges(spark, ranges_path)
+    files = matched_files(boolean_search(postings, compiled), ranges)
     names = [row["file"] for row in files.limit(MAX_LISTED_FILES + 1).collect()]
     if not names:
         return _no_results(spark)
-    if len(names) <= MAX_LISTED_FILES:
-        articles = read_articles(spark, [f"{articles_dir}/{name}" for name in sorted(names)])
-    else:
-        articles = read_articles(spark, articles_dir)
-    return search(articles.drop("file"), postings, query, **options)
+    paths = [articles_dir]
+    if len(names) <= MAX_LISTED_FILES:  # open only these; the ranges decide in any case
+        paths = [f"{articles_dir}/{name}" for name in sorted(names)]
+        paths = [path for path in paths if path_exists(spark, path)]
+        if not paths:
+            return _no_results(spark)
+    return search(read_articles(spark, paths), postings, query, ranges=ranges, **options)

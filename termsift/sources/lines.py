@@ -54,7 +54,7 @@ def index_lines(postings: DataFrame, ids_per_line: int = 1000) -> DataFrame:
     A term gets one line per run of ``ids_per_line`` consecutive ids, so a line stays short
     however common its term is; readers merge the lines of a term.
     """
-    run = F.floor(F.col("doc_id") / F.lit(ids_per_line)).alias("_run")
+    run = F.expr(f"(doc_id - pmod(doc_id, {ids_per_line}L)) DIV {ids_per_line}L").alias("_run")
     ids = F.sort_array(F.collect_set("doc_id"))
     return (
         postings.groupBy("prefix", "term", run)

@@ -7,7 +7,7 @@ from termsift import cluster
 from termsift.functions.snippets import best_fragment, fragments, highlight, snippet, title_or_plain
 from termsift.plans import search as plan
 from termsift.plans.search import search, search_files, snippet_words
-from termsift.schemas import LINES
+from termsift.schemas import FILE_RANGES, LINES
 from termsift.sources.index import build_postings
 from termsift.sources.lines import parse_articles, parse_postings
 from termsift.sources.sinks import result_line, write_results
@@ -143,6 +143,33 @@ def text_files(tmp_path_factory):
     return root
 
 
+@pytest.mark.parametrize("size", [64 << 20, 192, 0])
+def test_ranges_decide_at_every_size(spark, monkeypatch, size):
+    monkeypatch.setattr(cluster, "BROADCAST_BYTES", size)
+    rows_ = [(1, "w1"), (2, "w1"), (4, "w9"), (4, "w1"), (5, "w2")]
+    articles = spark.createDataFrame(
+        [(doc, "u", "t", "cat", file) for doc, file in rows_],
+        "doc_id long, url string, title string, content string, file string",
+    )
+    own = build_postings(articles)
+    ranges = spark.createDataFrame(list(RANGES), FILE_RANGES)
+    assert [r[0] for r in rows(search(articles, own, "cat", ranges=ranges))] == [1, 2, 5]
+
+
+@pytest.mark.parametrize("listed", [plan.MAX_LISTED_FILES, 1])
+def test_search_files_ignores_gaps_and_absent_files(spark, tmp_path, monkeypatch, listed):
+    monkeypatch.setattr(plan, "MAX_LISTED_FILES", listed)
+    for name in ("index", "articles"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "index" / "invertedindex_ca").write_text("cat 1 4 5 25\n")
+    (tmp_path / "ranges.csv").write_text("w1,1,3\nw2,5,8\nabsent,20,30\n")
+    for name, docs in (("w1", [1, 4]), ("w2", [5]), ("w9", [4])):
+        lines = [f"{doc},http://x/{doc},T,cat" for doc in docs]
+        (tmp_path / "articles" / name).write_text("\n".join(lines) + "\n")
+    paths = [str(tmp_path / name) for name in ("index", "ranges.csv", "articles")]
+    assert [r[0] for r in rows(search_files(spark, *paths, "cat"))] == [1, 5]
+
+
 @pytest.mark.parametrize("listed", [plan.MAX_LISTED_FILES, 0])
 def test_search_files(spark, text_files, monkeypatch, listed):
     monkeypatch.setattr(plan, "MAX_LISTED_FILES", listed)
