@@ -72,11 +72,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` as articles."""
+    """``documents`` as articles; the title is the first line."""
     return spread(_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         "doc_id",
         F.concat(F.lit("doc://"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"),
-        F.substring("text", 1, 60).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("content"),
     )
 
@@ -139,14 +139,19 @@ def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_file_ranges(spark, _once(spark, sf_dir, "ranges", write))
 
 
+def _gap_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file ranges without the first ten ids of each file: these lie in no range."""
+    return _ranges(spark, sf_dir).withColumn("begin_id", F.col("begin_id") + 10)
+
+
 def _text_lines(spark: SparkSession, sf_dir: str) -> str:
     lines = split_lines(spread(_table(spark, sf_dir, "documents").select("text")))
     return _once(spark, sf_dir, "lines", lambda path: lines.write.text(path))
 
 
-def _query_of(words: Column, number: Column) -> Column:
-    """A search string from the first words of a text, in one of four shapes."""
-    w = [F.coalesce(F.get(words, F.lit(i)), F.lit("zzzz")) for i in range(4)]
+def _query_of(w: list[Column], number: Column) -> Column:
+    """A search string of four words, in one of four shapes."""
+    w = [F.coalesce(word, F.lit("zzzz")) for word in w]
     shapes = [
         F.format_string("%s and (%s or %s) and not %s", *w),
         F.format_string("%s AND NOT (%s or %s) and %s", *w),
@@ -158,11 +163,14 @@ def _query_of(words: Column, number: Column) -> Column:
 
 
 def _queries(table: DataFrame, number: str) -> DataFrame:
+    """Search strings of every four distinct words of a text; all of its words are in one."""
     reserved = F.array(F.lit("and"), F.lit("or"), F.lit("not"))
-    words = F.array_except(letter_runs(F.col("text")), reserved)
-    return table.select(
-        F.col(number).alias("query_id"), _query_of(words, F.col(number)).alias("query")
-    )
+    words = table.select(number, F.array_except(letter_runs(F.col("text")), reserved).alias("words"))
+    last = F.greatest(F.size("words") - 1, F.lit(0))
+    grouped = words.select("*", F.explode(F.sequence(F.lit(0), last, F.lit(4))).alias("at"))
+    own = [F.get("words", F.col("at") + i) for i in range(4)]
+    query_id = F.col(number) * 100_000 + (F.col("at") / 4).cast("long")
+    return grouped.select(query_id.alias("query_id"), _query_of(own, F.col(number)).alias("query"))
 
 
 def document_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,7 +416,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # End to end
         "search": _flagship,
         "search_grouped": _search(GROUPED_QUERY, ["from", "than", "tion", "erin"]),
-        "search_stop_word": _search("that", ["that"]),
+        "search_stop_word": lambda spark, sf: search(
+            documents(spark, sf), _postings(spark, sf, ["that"]), "that", drop_empty_snippet=False
+        ),
+        "search_ranges": lambda spark, sf: search(
+            _article_files(spark, sf), _postings(spark, sf, ["from", "than"]), AND_NOT_QUERY,
+            ranges=_gap_ranges(spark, sf),
+        ),
+        "fetch_articles_ranges": lambda spark, sf: fetch_articles(
+            _article_files(spark, sf), _grouped_hits(spark, sf), _gap_ranges(spark, sf)
+        ),
         "search_pages": _search(AND_NOT_QUERY, ["from", "than"], pages),
         "word_count_job": _word_count_job,
     }
@@ -417,7 +434,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # -- the same in SQL --------------------------------------------------------------------------
 
 _DOCUMENTS = """documents_articles AS (
-  SELECT doc_id, 'doc://' || source || '/' || doc_id AS url, substring(text, 1, 60) AS title,
+  SELECT doc_id, 'doc://' || source || '/' || doc_id AS url, split_part(text, chr(10), 1) AS title,
          text AS content
   FROM documents)"""
 
@@ -538,7 +555,10 @@ FROM article_lines"""
 
 
 def _sql_query_words(table: str, number: str) -> str:
-    """The first four distinct words of each text, operators left out."""
+    """Every four distinct words of each text, operators left out."""
+    words = ",\n".join(
+        f"         coalesce(max(r.term) FILTER ((r.r - 1) % 4 = {i}), 'zzzz') AS w{i + 1}" for i in range(4)
+    )
     return f"""tokens AS (
   SELECT {number} AS query_id, unnest(l) AS term, generate_subscripts(l, 1) AS i
   FROM (SELECT {number}, {_RUNS.format("text")} AS l FROM {table})),
@@ -547,13 +567,10 @@ firsts AS (
   WHERE term NOT IN ('and', 'or', 'not') GROUP BY query_id, term),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS r FROM firsts),
 shaped AS (
-  SELECT t.{number} AS query_id, t.{number} % 4 AS shape,
-         coalesce(max(r.term) FILTER (r.r = 1), 'zzzz') AS w1,
-         coalesce(max(r.term) FILTER (r.r = 2), 'zzzz') AS w2,
-         coalesce(max(r.term) FILTER (r.r = 3), 'zzzz') AS w3,
-         coalesce(max(r.term) FILTER (r.r = 4), 'zzzz') AS w4
-  FROM {table} t LEFT JOIN ranked r ON r.query_id = t.{number} AND r.r <= 4
-  GROUP BY t.{number})"""
+  SELECT t.{number} * 100000 + coalesce((r.r - 1) // 4, 0) AS query_id, t.{number} % 4 AS shape,
+{words}
+  FROM {table} t LEFT JOIN ranked r ON r.query_id = t.{number}
+  GROUP BY t.{number}, coalesce((r.r - 1) // 4, 0))"""
 
 
 def _sql_shapes(name: str, shapes: list[str], join: str) -> str:
@@ -684,7 +701,12 @@ GROUP BY d.doc_id""",
         "search": f"{flagship}\nSELECT * FROM results",
         "search_grouped": _sql_search(GROUPED_QUERY, ["from", "than", "tion"])
         + "\nSELECT * FROM results",
-        "search_stop_word": _sql_search("that", []) + "\nSELECT * FROM results",
+        "search_stop_word": f"{_sql_hits('that')}\nSELECT doc_id, url, title, '' AS snippet"
+        " FROM documents_articles JOIN hits USING (doc_id)",
+        "search_ranges": f"{flagship}\nSELECT * FROM results WHERE doc_id % {IDS_PER_FILE} >= 10",
+        "fetch_articles_ranges": f"{_sql_hits(GROUPED_QUERY)}\nSELECT a.*,"
+        f" 'part_' || (doc_id // {IDS_PER_FILE}) AS file FROM documents_articles a"
+        f" JOIN hits USING (doc_id) WHERE doc_id % {IDS_PER_FILE} >= 10",
         "search_pages": _sql_search(AND_NOT_QUERY, ["from"], "pages") + "\nSELECT * FROM results",
         "word_count_job": f"SELECT word, count(*) AS n FROM ({_LINE_WORDS}) GROUP BY word",
     }

@@ -1,6 +1,7 @@
 """Every registered query against its SQL counterpart in DuckDB, on whole tables."""
 
 import os
+import re
 from pathlib import Path
 
 import duckdb
@@ -10,8 +11,12 @@ import __spark_entry__ as entry
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
-QUERIES = entry.queries()
+#: Operators for training data have tests of their own, where SQL is not up to them.
 ORACLES = entry.oracle_sql()
+QUERIES = {
+    name: query for name, query in entry.queries().items()
+    if name in ORACLES or not re.match(r"op\d+_|pipeline$", name)
+}
 
 
 @pytest.fixture(scope="module")
