@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termsift.cluster import drop_scratch, write_scratch
+from termsift.cluster import drop_scratch, may_broadcast, write_scratch
 
 #: Documents whose texts are handed to numpy together: bounded by bytes, not by rows.
 SLICE_BYTES = 1 << 20
@@ -66,15 +66,16 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if found == state:
             return current.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         state = found
+        # a table of edges of a checked size need not be shuffled for the joins
+        side = F.broadcast if may_broadcast(found[0]) else lambda table: table
         both = current.union(current.select("lo", "hi"))
         least = both.groupBy("hi").agg(F.least(F.min("lo"), F.first("hi")).alias("m"))
-        large = (
-            both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        ).distinct()
+        large = both.join(side(least), "hi").where("lo > hi")
+        large = large.select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         middle = write_scratch(large, "edges")
         large = spark.read.schema(start.schema).parquet(middle)
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        small = large.join(side(least), "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         small = small.where("hi != lo").union(least.select("hi", "m")).distinct()
         following = write_scratch(small, "edges")
         drop_scratch(spark, path)

@@ -101,10 +101,14 @@ def fingerprint(own: np.ndarray) -> int:
 
 
 def band_starts(largest: int, percent: int = PERCENT) -> list[int]:
-    """Smallest sizes of the bands: a set's smaller partner is in its band or the one before."""
+    """Smallest sizes of the bands: a set's smaller partner is in its band or the one before.
+
+    Wide bands have more segments for their smaller sets, narrow ones have more sets that need
+    keys for two bands; a factor of 1.6 makes the fewest keys.
+    """
     starts = [1]
     while starts[-1] <= largest:
-        starts.append(max(starts[-1] + 1, -(-starts[-1] * 100 // percent)))
+        starts.append(max(starts[-1] + 1, -(-starts[-1] * 100 // percent), starts[-1] * 8 // 5))
     return starts
 
 
@@ -119,7 +123,7 @@ class Bands:
         largest = self.starts[band + 1] - 1
         apart = 100 - self.percent
         differences = 2 * apart * largest // (100 + self.percent)
-        return differences, differences // 40 + 1
+        return differences, differences // 20 + 1
 
     def keys(self, own: np.ndarray) -> np.ndarray:
         """Keys of which every linked set has at least one, too."""
@@ -155,13 +159,19 @@ def linked(a: int, b: int, both: np.ndarray | int, percent: int = PERCENT):
     return 100 * both >= percent * (a + b - both)
 
 
-def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
-    """A row of 64-bit words per set; ``bits`` is a power of two from 64."""
-    out = np.zeros((len(sets), bits // 64), np.uint64)
-    for row, own in enumerate(sets):
-        place = own & _U(bits - 1)
-        np.bitwise_or.at(out[row], (place >> _U(6)).astype(np.int64), _U(1) << (place & _U(63)))
-    return out
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """A set's bits as 64-bit words: a power of two, four times as many as elements at least."""
+    bits = 1 << max(6, (4 * len(own) - 1).bit_length())
+    place = np.unique(own & _U(bits - 1)).astype(np.int64)
+    marks = np.zeros(bits, np.uint8)
+    marks[place] = 1
+    return np.packbits(marks, bitorder="little").view(np.uint64)
+
+
+def folded(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps as rows of the narrowest width among them."""
+    width = min(map(len, maps))
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, width), axis=0) for m in maps])
 
 
 def overlap_bound(maps: np.ndarray, sizes: np.ndarray, k: int, others: np.ndarray) -> np.ndarray:
@@ -172,27 +182,46 @@ def overlap_bound(maps: np.ndarray, sizes: np.ndarray, k: int, others: np.ndarra
     return np.minimum(sizes[k] - only_k, sizes[others] - only_other)
 
 
-def compare_tile(
-    sets: list[np.ndarray], group: np.ndarray, second: np.ndarray, percent: int = PERCENT
-) -> list[tuple[int, int]]:
-    """Links (by position) that join sets of different groups; one per joined pair of groups.
+def _near(
+    maps: np.ndarray, sizes: np.ndarray, group: np.ndarray, second: np.ndarray, percent: int
+) -> Iterator[tuple[int, np.ndarray]]:
+    """Per set, those further on in another group that it may link with, by their bit counts.
 
     ``second`` marks the second block of a tile of two; if there is only one, all are compared.
+    ``group`` may change on the way.
     """
-    sizes = np.array([len(s) for s in sets])
-    _, group = np.unique(group, return_inverse=True)
-    maps = bitmaps(sets, 1 << max(6, int(2 * sizes.max()).bit_length()))
     one = not second.any() or bool(second.all())
-    out = []
-    order = np.arange(len(sets))
-    for k in range(len(sets)):
-        others = order[k + 1 :] if one else order[second & ~second[k]]
+    order = np.arange(len(sizes))
+    for k in order if one else order[~second]:
+        others = order[k + 1 :] if one else order[second]
         others = others[group[others] != group[k]]
         others = others[linked(sizes[k], sizes[others], np.minimum(sizes[k], sizes[others]), percent)]
-        if not len(others):
-            continue
-        bound = overlap_bound(maps, sizes, k, others)
-        for other in others[linked(sizes[k], sizes[others], bound, percent)].tolist():
+        if len(others):
+            bound = overlap_bound(maps, sizes, k, others)
+            yield k, others[linked(sizes[k], sizes[others], bound, percent)]
+
+
+def may_link(
+    maps: list[np.ndarray], sizes: np.ndarray, group: np.ndarray, second: np.ndarray,
+    percent: int = PERCENT,
+) -> np.ndarray:
+    """Which sets of a tile may link with one of another group there."""
+    out = np.zeros(len(sizes), bool)
+    for k, others in _near(folded(maps), sizes, group, second, percent):
+        out[others] = True
+        out[k] |= len(others) > 0
+    return out
+
+
+def compare_tile(
+    sets: list[np.ndarray], group: np.ndarray, second: np.ndarray, percent: int = PERCENT
+) -> list[tuple[int, int]]:
+    """Links (by position) that join sets of different groups; one per joined pair of groups."""
+    sizes = np.array([len(s) for s in sets])
+    _, group = np.unique(group, return_inverse=True)
+    out = []
+    for k, others in _near(folded([bitmap(s) for s in sets]), sizes, group, second, percent):
+        for other in others.tolist():
             if group[other] == group[k]:
                 continue
             both = len(np.intersect1d(sets[k], sets[other], assume_unique=True))
@@ -277,7 +306,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
-    """The sets themselves: (set, elements) of ``wanted`` (doc_id, set), which has a row per set."""
+    """The sets themselves: (set, size, bits, elements) of ``wanted`` (doc_id, set), a row per set.
+
+    A set comes more than once only where rows repeat its document.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,58 +321,121 @@ def _sets(documents: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([f for f, k in zip(found, keep, strict=True) if k], pa.int64()),
+                        pa.array([len(s) for s, k in zip(sets, keep, strict=True) if k], pa.int64()),
+                        pa.array([bitmap(s).tobytes() for s, k in zip(sets, keep, strict=True) if k], pa.binary()),
                         pa.array([s.tobytes() for s, k in zip(sets, keep, strict=True) if k], pa.binary()),
                     ],
-                    names=["set", "elements"],
+                    names=["set", "size", "bits", "elements"],
                 )
 
     count = wanted.count()
     side = F.broadcast(wanted) if may_broadcast(count) else wanted
     texts = documents.select("doc_id", "text").join(side, "doc_id").select("set", "text")
-    return texts.mapInArrow(make, "set bigint, elements binary").dropDuplicates(["set"])
+    return texts.mapInArrow(make, "set bigint, size bigint, bits binary, elements binary")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers per row, broadcast where its counted rows allow it."""
+    return F.broadcast(table) if may_broadcast(table.count()) else table
 
 
 def _compare_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of (set, head)."""
+    """The linked ones of (set, head). Bitmaps first; sets only of the pairs that may link."""
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        two = np.array([False, True])
+        for batch in batches:
+            rows = batch.select(["bits", "head_bits", "size", "head_size"]).to_pylist()
+            keep = [
+                may_link(
+                    [np.frombuffer(r["bits"], np.uint64), np.frombuffer(r["head_bits"], np.uint64)],
+                    np.array([r["size"], r["head_size"]]), two, two, percent,
+                ).any()
+                for r in rows
+            ]
+            yield batch.select(["set", "head"]).filter(pa.array(keep, pa.bool_()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        two = np.array([False, True])
         for batch in batches:
             a = [np.frombuffer(b, np.uint64) for b in batch.column("elements").to_pylist()]
             b = [np.frombuffer(b, np.uint64) for b in batch.column("head_elements").to_pylist()]
-            two = np.array([False, True])
             keep = [bool(compare_tile([x, y], two, two, percent)) for x, y in zip(a, b, strict=True)]
             yield batch.select(["set", "head"]).filter(pa.array(keep, pa.bool_()))
 
-    heads = sets.select(F.col("set").alias("head"), F.col("elements").alias("head_elements"))
-    return pairs.join(sets, "set").join(heads, "head").mapInArrow(compare, "set bigint, head bigint")
+    named = lambda *columns: [F.col("set").alias("head"), *[F.col(c).alias(f"head_{c}") for c in columns]]
+    bits = pairs.join(sets.select("set", "size", "bits"), "set")
+    bits = bits.join(sets.select(*named("size", "bits")), "head")
+    near = stored(bits.mapInArrow(select, "set bigint, head bigint"), "pairs")
+    heads = stored(near.select("head").distinct(), "heads")
+    of_head = sets.select(*named("elements")).join(_small(heads), "head")
+    own = sets.select("set", "elements").join(_small(near), "set")
+    return own.join(of_head, "head").mapInArrow(compare, "set bigint, head bigint")
+
+
+def _tiles(members: DataFrame, percent: int) -> DataFrame:
+    """Which blocks of a cluster to compare: (cluster, block, i, j), a row per block and tile.
+
+    ``members`` (set, comp, cluster, size) get a column ``block``. The largest component of a
+    cluster is not compared with itself, and blocks whose sizes are too far apart never meet.
+    """
+    comps = members.groupBy("cluster", "comp").count()
+    largest = comps.groupBy("cluster").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
+    band = F.floor(F.log("size") / F.log(F.lit(1.1))).cast("int")
+    placed = members.join(largest, "cluster").withColumn("main", F.col("comp") == F.col("main"))
+    placed = placed.withColumn("band", band)
+    counts = placed.groupBy("cluster", "main", "band").count()
+    part = F.pmod(F.xxhash64("set"), F.ceil(F.col("count") / BLOCK))
+    name = F.concat_ws("-", "main", "band", part.cast("string")).alias("block")
+    placed = placed.join(counts, ["cluster", "main", "band"])
+    placed = stored(placed.select("set", "comp", "cluster", "size", "main", name), "members")
+    blocks = placed.groupBy("cluster", "block", "main").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    side = lambda k: blocks.select("cluster", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "main", "lo", "hi")])
+    near = (100 * F.col("hi_i") >= percent * F.col("lo_j")) & (100 * F.col("hi_j") >= percent * F.col("lo_i"))
+    once = ~F.col("main_i") & (F.col("main_j") | (F.col("block_i") <= F.col("block_j")))
+    pairs = side("i").join(side("j"), "cluster").where(once & near)
+    pairs = pairs.select("cluster", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
+    ends = pairs.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return placed.join(ends, ["cluster", "block"]).select("set", "comp", "cluster", "block", "i", "j")
 
 
 def _compare_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between groups among ``members`` (set, comp, cluster), all of a cluster compared."""
-    sized = members.join(sets, "set").withColumn("size", F.length("elements") / 8)
-    order = Window.partitionBy("cluster").orderBy("size", "set")
-    sized = sized.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    sized = stored(sized, "members")
-    blocks = sized.groupBy("cluster", "block").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    later = blocks.select("cluster", F.col("block").alias("j"), F.col("lo").alias("lo_j"))
-    tiles = blocks.select("cluster", F.col("block").alias("i"), F.col("hi")).join(later, "cluster")
-    tiles = tiles.where((F.col("i") <= F.col("j")) & (100 * F.col("hi") >= percent * F.col("lo_j")))
-    tiles = tiles.select("cluster", "i", "j")
-    first = sized.join(tiles.withColumn("block", F.col("i")), ["cluster", "block"])
-    second = sized.join(tiles.where("i != j").withColumn("block", F.col("j")), ["cluster", "block"])
+    """Links between components among ``members`` (set, comp, cluster, size), by cluster.
+
+    Bitmaps alone go to the tiles first; the sets follow where a pair may link.
+    """
+    second = lambda table: np.array(table["block"].to_pylist()) != table["i"][0].as_py()
+
+    def select(table: pa.Table) -> pa.Table:
+        maps = [np.frombuffer(b, np.uint64) for b in table["bits"].to_pylist()]
+        sizes, comp = table["size"].to_numpy(), table["comp"].to_numpy()
+        keep = may_link(maps, sizes, comp, second(table), percent)
+        return table.drop(["bits", "size"]).filter(pa.array(keep))
 
     def compare(table: pa.Table) -> pa.Table:
         sets = [np.frombuffer(b, np.uint64) for b in table["elements"].to_pylist()]
         own = table["set"].to_numpy()
-        is_second = table["block"].to_numpy() != table["i"].to_numpy()
-        found = compare_tile(sets, table["comp"].to_numpy(), is_second, percent)
+        found = compare_tile(sets, table["comp"].to_numpy(), second(table), percent)
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.Table.from_arrays(
             [pa.array(own[pairs[:, 0]]), pa.array(own[pairs[:, 1]])], names=["set", "head"]
         )
 
-    both = first.unionByName(second)
-    return both.groupBy("cluster", "i", "j").applyInArrow(compare, "set bigint, head bigint")
+    tiles = _tiles(members, percent)
+    schema = tiles.schema
+    tiles = tiles.join(sets.select("set", "size", "bits"), "set").select(*schema.names, "size", "bits")
+    near = stored(tiles.groupBy("cluster", "i", "j").applyInArrow(select, schema), "near")
+    near = sets.select("set", "elements").join(_small(near), "set")
+    return near.groupBy("cluster", "i", "j").applyInArrow(compare, "set bigint, head bigint")
+
+
+def _apart(runs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows of keys whose sets are in several components, with ``comp`` and the key's least one."""
+    comp = joined.select(F.col("node").alias("set"), F.col("root").alias("comp"))
+    comp = F.broadcast(comp) if may_broadcast(comp.count()) else comp
+    labelled = runs.join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    keys = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return stored(labelled.join(keys.where("low != high"), "key"), "apart")
 
 
 def near_duplicates(documents: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -356,19 +451,17 @@ def near_duplicates(documents: DataFrame, ngram: int = NGRAM, percent: int = PER
     classes = stored(classes.agg(F.min("doc_id").alias("doc_id")), "classes")
     sets = stored(_sets(documents, classes.join(candidates, "set"), ngram), "sets")
     # every candidate with one other
-    nearest = runs.where("set != head").groupBy("set").agg(F.min("head").alias("head"))
-    links = stored(_compare_pairs(nearest, sets, percent), "links")
+    pairs = runs.where("set != head").groupBy("set").agg(F.min("head").alias("head"))
+    links = stored(_compare_pairs(pairs, sets, percent), "links")
     joined = components(links, "set", "head")
-    # what shares a key and is not joined yet
-    comp = joined.select(F.col("node").alias("set"), F.col("root").alias("comp"))
-    labelled = runs.join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    rest = stored(labelled.join(open_keys.where("low != high"), "key"), "rest")
+    rest = _apart(runs, joined)
+    # what shares a key and is not joined yet, in tiles
     if not rest.isEmpty():
         cluster = components(rest.select("comp", "low"), "comp", "low")
         cluster = cluster.select(F.col("node").alias("comp"), F.col("root").alias("cluster"))
         members = rest.select("set", "comp").distinct().join(cluster, "comp", "left")
         members = members.withColumn("cluster", F.coalesce("cluster", "comp"))
+        members = members.join(sets.select("set", "size"), "set")
         more = stored(_compare_groups(members, sets, percent), "links")
         joined = components(links.unionByName(more), "set", "head")
     # from sets back to documents; rows with one doc_id are one node
@@ -390,5 +483,8 @@ def keep_one(documents: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -
     A document without an id stays; rows with the same id stay or go together.
     """
     found = near_duplicates(documents, ngram, percent)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti")
+    gone = stored(found.where("doc_id != component_id").select("doc_id").distinct(), "gone")
+    small = may_broadcast(gone.count())
+    return documents.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(
+        *documents.columns
+    )

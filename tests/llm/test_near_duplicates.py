@@ -1,0 +1,216 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tests.llm.cases import awkward, empty, prose
+from termsift.llm import embedding_dedup as E
+from termsift.llm import ngram_join as J
+from termsift.llm.common import components
+
+
+def roots(ids, pairs):
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components(spark, seed):
+    rnd = random.Random(seed)
+    pairs = [(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range([0, 30, 60][seed])]
+    pairs += [(k, k + 1) for k in range(100, 130)] + [(200, k) for k in range(150, 180)]
+    table = spark.createDataFrame(pairs, "a long, b long")
+    want = {i: r for i, r in roots({i for p in pairs for i in p}, pairs).items() if i != r}
+    assert {r.node: r.root for r in components(table, "a", "b").collect()} == want
+    assert components(table.where("false"), "a", "b").count() == 0
+
+
+# -- embeddings ---------------------------------------------------------------------------------
+
+
+def brute_vectors(rows):
+    usable = [
+        (i, label, np.array(x, float)) for i, label, x in rows
+        if label is not None and x and None not in x and np.isfinite(x).all() and np.any(x)
+    ]
+    pairs = []
+    for k, (_, label, x) in enumerate(usable):
+        for m, (_, other, y) in enumerate(usable[:k]):
+            if label == other and len(x) == len(y):
+                if x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= E.THRESHOLD:
+                    pairs.append((m, k))
+    links = Counter(k for pair in pairs for k in pair)
+    own = roots([i for i, _, _ in rows], [(usable[a][0], usable[b][0]) for a, b in pairs])
+    return Counter((usable[k][0], links[k]) for k in range(len(usable))), own
+
+
+@pytest.mark.parametrize("leaf", [E.LEAF, 64])
+def test_vectors_against_brute_force(spark, leaf):
+    rng = np.random.default_rng(3)
+    rows, vec = [], 0
+    for label in (1, 2):
+        centres = rng.normal(size=(60, 16))
+        for c, centre in enumerate(centres):
+            for _ in range([1, 2, 3, 60][c % 4] if c < 8 else 1):
+                x = centre + rng.normal(size=16) * rng.choice([0, 0.05, 0.25]) if c < 8 else centre
+                rows.append((vec * 7 % 1009, label, [float(v) for v in x.astype(np.float32)]))
+                vec += 1
+    bad = [None, [], [0.0] * 16, [1.0] * 15 + [None], [float("nan")] * 16, [float("inf")] + [1.0] * 15]
+    rows += [(2000 + k, 1, x) for k, x in enumerate(bad)]
+    rows += [(3000, None, rows[0][2]), (3001, 2, rows[0][2][:8]), (3002, 2, rows[0][2][:8]), (rows[0][0], 1, rows[0][2])]
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    out = E.near_duplicates(table, leaf=leaf).collect()
+    assert len(out) == len(rows)
+    links, own = brute_vectors([(i, y, None if x is None else [None if v is None else float(np.float32(v)) for v in x]) for i, y, x in rows])
+    got = Counter((r.vec_id, r.n_links) for r in out if not 2000 <= r.vec_id <= 3000)
+    assert sum(got.values()) == sum(links.values())
+    found = sum(k[1] * n for k, n in got.items()) / sum(k[1] * n for k, n in links.items())
+    assert found >= 0.97 and found <= 1
+    for r in out:
+        assert r.kept == (r.vec_id == r.component_id)
+        if 2000 <= r.vec_id <= 3000:
+            assert (r.n_links, r.component_id) == (0, r.vec_id)
+        elif leaf == E.LEAF:
+            assert r.component_id == own[r.vec_id]
+    if leaf == E.LEAF:
+        assert got == links
+
+
+def test_recall_on_scattered_pairs(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    noise = rng.normal(size=(900, 32))
+    noise -= (noise * x).sum(1)[:, None] * x
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    y = 0.935 * x + np.sqrt(1 - 0.935**2) * noise
+    both = np.concatenate([x, y])
+    rows = [(k, 1, v.tolist()) for k, v in enumerate(both)]
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    out = E.near_duplicates(table, leaf=128).collect()
+    want = int((np.triu(both @ both.T, 1) >= E.THRESHOLD).sum())
+    assert 0.95 * want <= sum(r.n_links for r in out) / 2 <= want
+
+
+def test_no_vectors(spark):
+    table = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
+    assert E.near_duplicates(table).count() == 0
+
+
+# -- texts ----------------------------------------------------------------------------------------
+
+
+def brute_texts(rows, ngram, percent):
+    sets = []
+    for _, text in rows:
+        folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        words = re.findall(r"[^\x20\x09-\x0D]+", folded)
+        sets.append({tuple(words[k : k + ngram]) for k in range(max(1, len(words) - ngram + 1))} if words else set())
+    pairs = []
+    for k, a in enumerate(sets):
+        for m, b in enumerate(sets[:k]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                pairs.append((rows[m][0], rows[k][0]))
+    own = roots([d for d, _ in rows], pairs)
+    return {d: (len(s), own[d]) for (d, _), s in zip(rows, sets, strict=True)}
+
+
+def edited(rnd, words):
+    words = list(words)
+    for _ in range(rnd.choice([0, 1, 1, 2, 3, 5])):
+        at, way = rnd.randrange(len(words)), rnd.random()
+        if way < 0.4:
+            words[at] = f"z{rnd.randint(0, 10**6)}"
+        elif way < 0.7:
+            words.insert(at, f"q{rnd.randint(0, 10**6)}")
+        elif len(words) > 3:
+            del words[at]
+    return " ".join(words)
+
+
+def groups(seed):
+    """Copies at all distances, and many texts that share one passage."""
+    rnd, texts = random.Random(seed), []
+    for _ in range(30):
+        base = prose(rnd, rnd.choice([1, 3, 5, 8, 12, 30, 60, 100, 300]), 5000).split()
+        texts += [edited(rnd, base) for _ in range(rnd.randint(1, 12))]
+    passage = prose(rnd, 40, 5000)
+    texts += [f"{prose(rnd, rnd.randint(3, 30), 9000)} {passage}" for _ in range(60)]
+    rnd.shuffle(texts)
+    return list(enumerate(texts, 1000))
+
+
+@pytest.mark.parametrize("ngram, percent", [(4, 85), (5, 80)])
+def test_texts_against_brute_force(spark, ngram, percent, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", 8)
+    rows = groups(8)
+    table = awkward(spark).where("doc_id is null or doc_id != 4").select("doc_id", "text")
+    table = table.union(spark.createDataFrame(rows, table.schema))
+    rows += [(1, None), (2, ""), (3, " "), (5, "one two three four five six"), (6, "...!!! ???"), (7, "ünïcödé 中文 text x")]
+    out = J.near_duplicates(table, ngram, percent).collect()
+    assert len(out) == len(rows) + 2
+    want = brute_texts(rows, ngram, percent)
+    for r in out:
+        if r.doc_id is None:
+            assert r.component_id is None
+        else:
+            assert (r.n_shingles, r.component_id) == want[r.doc_id]
+    kept = J.keep_one(table.selectExpr("*", "1 as gone"), ngram, percent)
+    assert kept.columns == ["doc_id", "text", "gone"]
+    ids = Counter(r.doc_id for r in kept.collect())
+    assert ids == Counter([None, 5, *{root for _, root in want.values()}])
+    assert J.near_duplicates(empty(spark), ngram, percent).count() == 0
+
+
+@pytest.mark.parametrize("percent", [85, 80, 60])
+def test_linked_sets_share_a_key(percent):
+    """The segments find every link, also where sets have many empty segments."""
+    rng = np.random.default_rng(percent)
+    bands = J.Bands(percent)
+    for _ in range(400):
+        n = int(rng.choice([1, 4, 7, 12, 40, 150, 700]))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        if rng.random() < 0.3:  # crowded hashes leave segments empty
+            a = np.unique(a >> np.uint64(rng.integers(1, 9)))
+        fresh = np.unique(rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 4))).astype(np.uint64))
+        b = np.union1d(rng.choice(a, max(1, len(a) - int(rng.integers(0, 1 + n // 4))), False), fresh)
+        both = len(np.intersect1d(a, b))
+        if J.linked(len(a), len(b), both, percent) and len(a) + len(b) > 2 * both:
+            assert np.intersect1d(bands.keys(a), bands.keys(b)).size
+
+
+def test_bit_counts_bound_the_overlap():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 120)).astype(np.uint64)) for _ in range(40)]
+    sizes = np.array([len(s) for s in sets])
+    for part in (range(40), range(20), [k for k in range(40) if sizes[k] > 60]):
+        maps, own = J.folded([J.bitmap(sets[k]) for k in part]), sizes[list(part)]
+        for row, k in enumerate(part):
+            bound = J.overlap_bound(maps, own, row, np.arange(len(own)))
+            assert all(len(np.intersect1d(sets[k], sets[m])) <= b for m, b in zip(part, bound, strict=True))
+
+
+def test_runs_across_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = sorted((int(a), int(b)) for a, b in zip(rng.integers(0, 20, 200), rng.integers(0, 8, 200), strict=True))
+    want = set()
+    for key in {k for k, _ in rows}:
+        own = sorted({s for k, s in rows if k == key})
+        want |= {(key, s, own[0]) for s in own} if len(own) > 1 else set()
+    for size in (1, 3, 50, 200):
+        table = pa.table({"key": [k for k, _ in rows], "set": [s for _, s in rows]})
+        out = [tuple(r.values()) for b in J._runs(iter(table.to_batches(size))) for r in b.to_pylist()]
+        assert len(out) == len(set(out)) and set(out) == want
