@@ -5,7 +5,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termsift.cluster import join_lookup, may_broadcast
+from termsift.cluster import join_lookup, may_broadcast, write_scratch
 from termsift.functions.queries import (
     AND,
     AND_NOT,
@@ -116,6 +116,9 @@ def boolean_search_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
     Queries that do not compile have no rows; ``compile_queries`` gives their errors.
     """
     compiled = compile_queries(queries.select("query_id", "query")).where("size(slots) > 0")
+    # Compiled once: the words are measured, asked for and joined, and the plans joined.
+    path = write_scratch(compiled.select("query_id", "words", "slots", "depth"), "compiled")
+    compiled = compiled.sparkSession.read.parquet(path)
     plans = compiled.select("query_id", "slots")
     words = compiled.select("query_id", "depth", F.posexplode("words").alias("slot", "term"))
     words = words.withColumn("prefix", term_prefix(F.col("term")))
@@ -127,6 +130,9 @@ def boolean_search_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
     ).first()
     words = words.drop("depth")
     small = may_broadcast(size["n"], size["bytes"] or 0)
+    # A long query of few words has a long plan.
+    steps = plans.agg(F.count("*"), F.sum(F.size("slots"))).first()
+    few_steps = may_broadcast(steps[0], 4 * (steps[1] or 0))
 
     # One bit per search word: the aggregate state and the shuffled rows have a fixed size. A
     # query of more words than bits has further columns.
@@ -152,7 +158,7 @@ def boolean_search_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
         postings = postings.repartition("doc_id")
     seen = join_lookup(postings, words, keys, small, salt_by="doc_id")
     seen = seen.groupBy("query_id", "doc_id").agg(*bits)
-    planned = join_lookup(seen, plans, ["query_id"], small, salt_by="doc_id")
+    planned = join_lookup(seen, plans, ["query_id"], few_steps, salt_by="doc_id")
     holds = _postfix_holds(masks, size["deepest"] or 0)
     return planned.where(holds).select("query_id", "doc_id")
 
