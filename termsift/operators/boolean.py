@@ -152,17 +152,49 @@ def boolean_search_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
         few_terms = may_broadcast(terms[0], terms[1] or 0)
     if few_terms:
         postings = postings.join(F.broadcast(asked), keys, "left_semi")
-    if small:
-        # Shuffled before the join, each posting once however many queries share its term. Common
-        # terms are spread by document, and the aggregate below finds its rows in place.
-        postings = postings.repartition("doc_id")
-    seen = join_lookup(postings, words, keys, small, salt_by="doc_id")
-    seen = seen.groupBy("query_id", "doc_id").agg(*bits)
+    # Every match of a query has one of its cover words: only these make candidates, and the other
+    # words are looked up for the candidates, by term and document.
+    counts = postings.groupBy(*keys).agg(F.count("*").alias("n"))
+    counted = words.join(counts, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    costs = F.transform(F.array_sort(F.collect_list(F.struct("slot", "n"))), lambda c: c["n"])
+    covers = counted.groupBy("query_id").agg(costs.alias("costs")).join(plans, "query_id")
+    path = write_scratch(covers.select("query_id", _cover().alias("cover")), "covers")
+    covers = postings.sparkSession.read.parquet(path)
+    words = words.join(covers, "query_id").select(
+        "query_id", "slot", *keys, F.array_contains("cover", F.col("slot")).alias("covers")
+    )
+    path = write_scratch(words, "words")
+    words = postings.sparkSession.read.parquet(path)
+    first, others = (words.where(c).drop("covers") for c in ("covers", "not covers"))
+    found = join_lookup(postings, first, keys, small, salt_by="doc_id")
+    path = write_scratch(found.select("query_id", "doc_id", "slot"), "candidates")
+    found = postings.sparkSession.read.parquet(path)
+    asked_of = found.select("query_id", "doc_id").distinct()
+    asked_of = join_lookup(asked_of, others, ["query_id"], small, salt_by="doc_id")
+    more = asked_of.join(postings, [*keys, "doc_id"]).select("query_id", "doc_id", "slot")
+    seen = found.union(more).groupBy("query_id", "doc_id").agg(*bits)
     planned = join_lookup(seen, plans, ["query_id"], few_steps, salt_by="doc_id")
     holds = _postfix_holds(masks, size["deepest"] or 0)
     return planned.where(holds).select("query_id", "doc_id")
 
 
+def _cover() -> Column:
+    """Slots of words of which every match has one, the fewest postings by ``costs`` of each slot.
+
+    A conjunction takes the cheaper side, a disjunction both, and what is excluded needs none.
+    """
+    left, right, rest = "st[size(st) - 2]", "st[size(st) - 1]", "slice(st, 1, size(st) - 2)"
+    both = f"named_struct('n', {left}.n + {right}.n, 'c', array_union({left}.c, {right}.c))"
+    start = "CAST(array() AS array<struct<n:bigint,c:array<int>>>)"
+    return F.expr(
+        f"""aggregate(slots, {start}, (st, s) -> CASE
+            WHEN s >= 0 THEN array_append(st, named_struct('n', costs[s], 'c', array(s)))
+            WHEN s = {SLOT_OF[AND]} THEN array_append({rest}, IF({left}.n <= {right}.n, {left}, {right}))
+            WHEN s = {SLOT_OF[OR]} THEN array_append({rest}, {both})
+            ELSE array_append({rest}, {left}) END)[0].c"""
+    )
+
+
 def _postfix_holds(masks: list[str], depth: int) -> Column:
     """Evaluate ``slots`` over the flags of one row, with a stack of truth values.
 

@@ -123,3 +123,13 @@ def test_set_operations(spark):
     assert ids(bool_or(left, right)) == {1, 2, 3}
     assert ids(bool_and_not(left, right)) == {2}
     assert [r[0] for r in sort_doc_ids(right).collect()] == [1, 3, 3]
+
+
+def test_batch_candidates_come_from_the_rare_word(spark):
+    """A common word that a query requires too makes no candidates of its own."""
+    rows = [("common", k, "co") for k in range(500)] + [("rare", k, "ra") for k in (3, 4)]
+    postings = spark.createDataFrame(rows, "term string, doc_id long, prefix string")
+    texts = ["rare and common", "common and rare", "common and not rare and rare", "rare or zzzz"]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
+    found = boolean_search_batch(postings, queries)
+    assert sorted(map(tuple, found.collect())) == [(q, d) for q in (0, 1, 3) for d in (3, 4)]
