@@ -358,10 +358,14 @@ def _compare_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = np.array([False, True])
         for batch in batches:
-            a = [np.frombuffer(b, np.uint64) for b in batch.column("elements").to_pylist()]
-            b = [np.frombuffer(b, np.uint64) for b in batch.column("head_elements").to_pylist()]
-            keep = [bool(compare_tile([x, y], two, two, percent)) for x, y in zip(a, b, strict=True)]
-            yield batch.select(["set", "head"]).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                a, b = (
+                    [np.frombuffer(b, np.uint64) for b in part.column(name).to_pylist()]
+                    for name in ("elements", "head_elements")
+                )
+                keep = [bool(compare_tile([x, y], two, two, percent)) for x, y in zip(a, b, strict=True)]
+                yield part.select(["set", "head"]).filter(pa.array(keep, pa.bool_()))
 
     named = lambda *columns: [F.col("set").alias("head"), *[F.col(c).alias(f"head_{c}") for c in columns]]
     bits = pairs.join(sets.select("set", "size", "bits"), "set")

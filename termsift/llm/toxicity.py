@@ -39,7 +39,7 @@ DIM, HIDDEN = 6, 8
 EPOCHS, LEAST_STEPS, BATCH, RATE = 8, 200, 64, 0.02
 
 #: Words whose inputs a Python worker keeps; it starts anew beyond that.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 100_000
 
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32
