@@ -37,8 +37,8 @@ NGRAM = 4
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 
-#: Candidates in a block; a tile holds two blocks.
-BLOCK = 256
+#: Candidates in a block, and bytes of their elements at most, about; a tile holds two blocks.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 
 #: Sets that a task knows to have sent already.
 _SEEN = 1_000_000
@@ -389,7 +389,9 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
     placed = members.join(largest, "cluster").withColumn("main", F.col("comp") == F.col("main"))
     placed = placed.withColumn("band", band)
     counts = placed.groupBy("cluster", "main", "band").count()
-    part = F.pmod(F.xxhash64("set"), F.ceil(F.col("count") / BLOCK))
+    each = 8 * F.pow(F.lit(1.1), F.col("band") + 1)
+    parts = F.ceil(F.col("count") * F.greatest(F.lit(1 / BLOCK), each / BLOCK_BYTES))
+    part = F.pmod(F.xxhash64("set"), parts)
     name = F.concat_ws("-", "main", "band", part.cast("string")).alias("block")
     placed = placed.join(counts, ["cluster", "main", "band"])
     placed = stored(placed.select("set", "comp", "cluster", "size", "main", name), "members")
