@@ -4,7 +4,8 @@ A word's input is its own learned vector and the mean of the vectors of its hash
 n-grams, so that unseen words are judged by their parts. A text is cut into overlapping windows of
 words; every window is scored and the highest score is the document's. The network is trained on
 the driver, on a bounded sample of labelled documents: a toxic document is represented by the
-window that the network itself scores highest so far, any other by random windows.
+window that the network itself scores highest so far, any other by random windows. The sample is
+bounded by documents and by windows of a document, which tasks choose; no document is too long.
 
 Nulls, ties, repeats: null and empty texts have one empty window and get a score; null labels and
 null ids are no examples, a document with several labels counts as toxic; rows with the same
@@ -14,6 +15,7 @@ the score is 0.5 or, with one label, just beside it.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,13 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termsift.llm.common import crc_split, slices
+from termsift.llm.common import crc_split, slices, stored
 
 WINDOW, STRIDE = 48, 36
 
-#: Bounds of the training sample: documents of each label, and the length of such a document.
+#: Bounds of the training sample: documents of each label, and windows of such a document. From a
+#: longer one, half of the windows are spread evenly, the others are those of the strongest words.
 SAMPLE_PER_LABEL = 1200
-SAMPLE_CHARS = 8_000
+SAMPLE_WINDOWS = 36
+
+#: Buckets of word hashes, by which tasks judge the windows of long documents.
+BUCKETS = 1 << 16
+
+#: Longer runs of letters are several words, so that a window is bounded in bytes too.
+WORD_BYTES = 64
 
 #: Empty texts among the examples, not toxic.
 EMPTY_EXAMPLES = 20
@@ -49,7 +58,10 @@ _SIZES = (3, 4, 5)
 
 
 def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_FOLD).split()
+    words = (text or "").encode().translate(_FOLD).split()
+    if max(map(len, words), default=0) <= WORD_BYTES:
+        return words
+    return [w[at : at + WORD_BYTES] for w in words for at in range(0, len(w), WORD_BYTES)]
 
 
 def char_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -262,11 +274,31 @@ def window_rows(places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 # -- training -------------------------------------------------------------------------------------
 
 
-def sample(documents: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
+def _buckets(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BUCKETS
+
+
+def choose_windows(words: list[bytes], odds: np.ndarray) -> list[bytes]:
+    """The text in up to ``SAMPLE_WINDOWS`` of its windows; neighbours among them are one piece."""
+    starts = windows_of(len(words))
+    n = len(starts)
+    if n <= SAMPLE_WINDOWS:
+        return [b" ".join(words)]
+    of_word = odds[_buckets(words)]
+    strength = np.array([of_word[at : at + WINDOW].max() for at in starts])
+    even = np.linspace(0, n - 1, SAMPLE_WINDOWS // 2).astype(int)
+    strength[even] = np.inf
+    chosen = np.sort(np.argsort(-strength, kind="stable")[:SAMPLE_WINDOWS])
+    runs = np.split(chosen, np.flatnonzero(np.diff(chosen) > 1) + 1)
+    return [b" ".join(words[starts[run[0]] : starts[run[-1]] + WINDOW]) for run in runs]
+
+
+def sample(documents: DataFrame, labels: DataFrame) -> list[tuple[list[bytes], int]]:
     """Up to ``SAMPLE_PER_LABEL`` training texts of each label, picked by a hash of their id.
 
     The ids are picked from the labels and sent to the documents, so that no text is moved but
-    those of the sample.
+    those of the sample. Tasks count over the whole texts how words stand to the labels and choose
+    the windows of long ones by that; only those reach the driver, in pieces of folded words.
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)")
     known = known.where(~crc_split(F.col("doc_id"), 5, 0))
@@ -276,33 +308,74 @@ def sample(documents: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
         for label in (0, 1)
     ]
     texts = documents.select("doc_id", F.col("text").alias("_text"))
-    texts = texts.where(F.length("_text") <= SAMPLE_CHARS)
-    rows = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "_text", "_label")
-    return [(r["_text"], r["_label"]) for r in sorted(rows.collect(), key=lambda r: (r[0], r[1]))]
+    texts = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "_text", "_label")
+    texts = stored(texts, "toxicity_sample")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        having = np.zeros((2, BUCKETS + 1), np.int64)  # the last bucket is in every text
+        for batch in batches:
+            for text, label in zip(batch["_text"].to_pylist(), batch["_label"].to_pylist(), strict=True):
+                having[label, np.unique(_buckets(_words(text)))] += 1
+                having[label, BUCKETS] += 1
+        used = np.flatnonzero(having.any(axis=0))
+        columns = [used, having[0, used], having[1, used]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "noes", "ones"])
+
+    counts = texts.mapInArrow(count, "bucket bigint, noes bigint, ones bigint")
+    counts = counts.groupBy("bucket").agg(F.sum("noes").alias("noes"), F.sum("ones").alias("ones"))
+    having = np.zeros((2, BUCKETS + 1))
+    for row in counts.collect():
+        having[:, row["bucket"]] = row["noes"], row["ones"]
+    noes, ones = having[:, :BUCKETS]
+    odds = _smoothed(ones, noes, having[1, BUCKETS], having[0, BUCKETS]).astype(np.float32)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                pieces = [choose_windows(_words(text), odds) for text in part["_text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part["doc_id"], part["_label"], pa.array(pieces, pa.list_(pa.binary()))],
+                    names=["doc_id", "_label", "pieces"],
+                )
+
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+    rows = texts.mapInArrow(cut, f"doc_id {id_type}, _label int, pieces array<binary>").collect()
+    found = sorted((r["doc_id"], [bytes(p) for p in r["pieces"]], r["_label"]) for r in rows)
+    return [(pieces, label) for _, pieces, label in found]
+
+
+def _smoothed(ones: np.ndarray, noes: np.ndarray, all_ones: int, all_noes: int) -> np.ndarray:
+    share = (all_ones + 1) / (all_noes + 1)
+    return np.log((ones + 0.5) / (noes + 0.5) / share) * np.minimum(1, (ones + noes) / 5)
 
 
 def _log_odds(present: list[np.ndarray], label: np.ndarray, width: int) -> np.ndarray:
     """Smoothed log odds of label 1 for each feature, by the number of documents that have it."""
     ones = np.bincount(np.concatenate([p for p, y in zip(present, label, strict=True) if y]), minlength=width)
     noes = np.bincount(np.concatenate([p for p, y in zip(present, label, strict=True) if not y]), minlength=width)
-    share = (label.sum() + 1) / (len(label) - label.sum() + 1)
-    return np.log((ones + 0.5) / (noes + 0.5) / share) * np.minimum(1, (ones + noes) / 5)
+    return _smoothed(ones, noes, label.sum(), len(label) - label.sum())
 
 
-def train(examples: list[tuple[str, int]], seed: int = 7) -> Network | float:
-    """Train on (text, label); without examples of both labels a constant score instead."""
+def train(examples: list[tuple[list[bytes], int]], seed: int = 7) -> Network | float:
+    """Train on (pieces, label); without examples of both labels a constant score instead."""
     label = np.array([y for _, y in examples])
     if not 0 < label.sum() < len(label):
         return float((label.sum() + 1) / (len(label) + 2))
-    examples = [*examples, *[("", 0)] * EMPTY_EXAMPLES]
+    examples = [*examples, *[([b""], 0)] * EMPTY_EXAMPLES]
     label = np.array([y for _, y in examples])
     # words by number at once: the words themselves are kept only once
     row_of: dict[bytes, int] = {}
-    places, counts = [], Counter()
-    for text, _ in examples:
-        own = [row_of.setdefault(w, len(row_of)) for w in _words(text)]
-        places.append(np.array(own, np.int32))
-        counts.update(set(own))
+    pieces, doc_of, places, counts = [], [], [], Counter()
+    for number, (texts, _) in enumerate(examples):
+        own = [
+            np.array([row_of.setdefault(w, len(row_of)) for w in text.split()], np.int32)
+            for text in texts
+        ]
+        pieces += own
+        doc_of += [number] * len(own)
+        places.append(np.concatenate(own))
+        counts.update(set(places[-1].tolist()))
     distinct = list(row_of)
     del row_of
     vocabulary = [distinct[k] for k, n in counts.most_common(WORD_ROWS) if n >= 3]
@@ -323,7 +396,8 @@ def train(examples: list[tuple[str, int]], seed: int = 7) -> Network | float:
     network.p["word"][:, 0] = odds / 2
     network.p["char"][:, 0] = _log_odds([grams_in(p) for p in places], label, CHAR_ROWS) / 2
     # windows
-    ids, doc = window_rows(places)
+    ids, piece = window_rows(pieces)
+    doc = np.array(doc_of)[piece]
     x = network.inputs(distinct)
     strength = np.where(ids >= 0, x[:, [0, DIM]].sum(axis=1)[np.where(ids >= 0, ids, 0)], -9).max(axis=1)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in network.p.items()}

@@ -45,6 +45,41 @@ def test_toxicity_held_out(spark, labelled):
     assert accuracy(rows, held_out, lambda d: d % 4 == 0, True) >= 0.95
 
 
+def test_long_labelled_documents_teach(spark):
+    """Every text has more windows than the sample takes, and the rude words are in one of them."""
+    rnd = random.Random(8)
+    docs = []
+    for k in range(240):
+        words = prose(rnd, rnd.randint(2000, 4000)).split()
+        at = rnd.randrange(len(words) - 10)
+        if k % 3 == 0:
+            words[at : at + 3] = [rnd.choice(["rudest", "vilest", "foulest"]) for _ in range(3)]
+        docs.append((k, " ".join(words)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "1 as quality", "cast(doc_id % 3 = 0 as int) as toxic")
+    examples = toxicity.sample(docs, labels)
+    assert len(examples) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(240))
+    for pieces, label in examples:
+        rows, _ = toxicity.window_rows([np.array(p.split()) == b"" for p in pieces])
+        assert len(rows) <= toxicity.SAMPLE_WINDOWS
+        assert any(w in p for p in pieces for w in (b"rudest", b"vilest", b"foulest")) == bool(label)
+    rows = toxicity.with_toxicity(docs, toxicity.train(examples), "s").collect()
+    held_out = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    assert accuracy(rows, held_out, lambda d: d % 3 == 0, True) >= 0.95
+
+
+def test_chosen_windows_are_windows_of_the_text():
+    words = [b"%d" % k for k in range(5000)]
+    odds = np.zeros(toxicity.BUCKETS)
+    odds[toxicity._buckets([b"4321"])] = 1
+    pieces = [p.split() for p in toxicity.choose_windows(words, odds)]
+    starts = {int(p[at]) for p in pieces for at in toxicity.windows_of(len(p))}
+    assert starts <= set(toxicity.windows_of(5000)) and len(starts) == toxicity.SAMPLE_WINDOWS
+    assert any(b"4321" in p for p in pieces) and pieces[0][0] == b"0" and pieces[-1][-1] == b"4999"
+    assert toxicity.choose_windows(words[:900], odds) == [b" ".join(words[:900])]
+    assert toxicity._words("x" * 150 + " y") == [b"x" * 64, b"x" * 64, b"x" * 22, b"y"]
+
+
 def test_quality_held_out(spark, labelled):
     docs, labels = labelled
     rows = quality.with_quality(docs, quality.fit_quality(docs, labels), "s").collect()
