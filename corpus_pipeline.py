@@ -20,13 +20,20 @@ from termsift.llm.decontamination import remove_spans
 from termsift.llm.ngram_join import keep_one
 from termsift.llm.packing import pack_documents
 from termsift.llm.quality import fit_quality, with_quality
-from termsift.llm.toxicity import fit_toxicity, with_toxicity
+from termsift.llm.toxicity import Network, fit_toxicity, with_toxicity
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity network does not reject."""
+    """Documents that the toxicity network does not reject; all of them where nothing was learned.
+
+    Without examples of both labels there is no network but a constant, which tells no document
+    from another: it rejects none.
+    """
+    model = fit_toxicity(docs, read(spark, sf_dir, "labels"))
+    if not isinstance(model, Network):
+        return docs
     name = free_name(docs, "toxicity")
-    scored = with_toxicity(docs, fit_toxicity(docs, read(spark, sf_dir, "labels")), name)
+    scored = with_toxicity(docs, model, name)
     return scored.where(F.col(name) < 0.5).drop(name)
 
 

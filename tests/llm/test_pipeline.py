@@ -66,6 +66,30 @@ def test_stages_take_their_decisions(spark, sf_dir):
     assert ids(packed) == clean and packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
 
 
+@pytest.mark.parametrize("toxic", [None, 0, 1])
+def test_toxicity_without_both_labels_rejects_nothing(spark, sf_dir, tmp_path, toxic):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [] if toxic is None else [(k, 1, toxic) for k in range(50)]
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    after = corpus_pipeline.toxicity(spark, docs, str(tmp_path))
+    assert after.schema == docs.schema and after.count() == docs.count()
+
+
+def test_toxicity_with_long_labelled_texts_only(spark, tmp_path):
+    rnd, docs = random.Random(10), []
+    for k in range(120):
+        words = prose(rnd, 1900).split()
+        for at in rnd.sample(range(len(words)), 40) if k % 3 == 0 else ():
+            words[at] = "vilest" + rnd.choice("xyz")
+        docs.append((k, " ".join(words)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "1 as quality", "cast(doc_id % 3 = 0 as int) as toxic")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.toxicity(spark, docs, str(tmp_path)).collect()}
+    toxic = set(range(0, 120, 3))
+    assert len(kept & toxic) <= 4 and len(kept - toxic) >= 76
+
+
 def test_run_is_the_stages_in_a_row(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns)
