@@ -62,6 +62,8 @@ def train_dictionary(documents: DataFrame, tokenizer: str, end_id: int = END_ID)
     short = documents.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS))
     ids = short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = short.join(F.broadcast(ids.limit(SAMPLE_DOCUMENTS)), "doc_id")
+    # an id may have any number of rows: one of them counts, combined before the shuffle
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
     end = np.array([end_id], "<u2").tobytes()
     texts = sorted(row.text for row in rows.collect())
     samples = [ids + end for ids in Encoder(tokenizer, "spaced").encode(texts)]

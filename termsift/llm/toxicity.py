@@ -9,7 +9,7 @@ bounded by documents and by windows of a document, which tasks choose; no docume
 
 Nulls, ties, repeats: null and empty texts have one empty window and get a score; null labels and
 null ids are no examples, a document with several labels counts as toxic; rows with the same
-doc_id are scored each for itself; extra columns pass through. Without examples of both labels
+doc_id are scored each for itself, and the least of their texts teaches; extra columns pass through. Without examples of both labels
 the score is 0.5 or, with one label, just beside it.
 """
 
@@ -308,7 +308,9 @@ def sample(documents: DataFrame, labels: DataFrame) -> list[tuple[list[bytes], i
         for label in (0, 1)
     ]
     texts = documents.select("doc_id", F.col("text").alias("_text"))
-    texts = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "_text", "_label")
+    texts = texts.join(F.broadcast(picked[0].union(picked[1])), "doc_id")
+    # an id may have any number of rows: one of them teaches, combined before the shuffle
+    texts = texts.groupBy("doc_id").agg(F.min("_text").alias("_text"), F.min("_label").alias("_label"))
     texts = stored(texts, "toxicity_sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,6 +68,15 @@ def test_long_labelled_documents_teach(spark):
     assert accuracy(rows, held_out, lambda d: d % 3 == 0, True) >= 0.95
 
 
+def test_one_row_of_each_id_teaches(spark):
+    rows = [(1, f"text {k}") for k in range(300)] + [(k, f"other {k}") for k in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "1 as quality", "cast(doc_id % 2 as int) as toxic").distinct()
+    examples = toxicity.sample(docs, labels)
+    assert len(examples) == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(1, 30))
+    assert ([b"text 0"], 1) in examples
+
+
 def test_chosen_windows_are_windows_of_the_text():
     words = [b"%d" % k for k in range(5000)]
     odds = np.zeros(toxicity.BUCKETS)

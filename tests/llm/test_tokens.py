@@ -130,3 +130,18 @@ def test_token_files_round_trip(spark, tmp_path):
 def test_token_files_of_an_empty_table(spark, tmp_path):
     token_files.write_token_files(empty(spark), f"{tmp_path}/none", BYTE)
     assert token_files.read_token_files(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_dictionary_takes_one_row_of_each_id(spark, monkeypatch):
+    taken = []
+    encode = token_files.Encoder.encode
+
+    def count(self, texts):
+        taken.extend(texts)
+        return encode(self, texts)
+
+    monkeypatch.setattr(token_files.Encoder, "encode", count)
+    rows = [(7, f"text {k} of one id") for k in range(100, 500)] + [(k, f"other {k}") for k in range(20, 60)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    token_files.train_dictionary(documents, BYTE)
+    assert len(taken) == 41 and "text 100 of one id" in taken
