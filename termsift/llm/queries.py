@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termsift.cluster import scratch_dir
-from termsift.llm import fixity, licenses
+from termsift.llm import collocations, fixity, licenses
 from termsift.llm.common import crc_split, read
 from termsift.llm.decontamination import find_spans
 from termsift.llm.embedding_dedup import near_duplicates
 from termsift.llm.language import fit_languages, with_language
+from termsift.llm.multi_index import nearest_neighbours
 from termsift.llm.ngram_join import near_duplicates as near_duplicate_texts
 from termsift.llm.packing import pack_documents
 from termsift.llm.quality import fit_quality, with_quality
 from termsift.llm.token_files import read_token_files, write_token_files
 from termsift.llm.toxicity import fit_toxicity, with_toxicity
+from termsift.llm.whitening import whitened_components
 
 
 def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +85,18 @@ def _fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit_pages(read(spark, sf_dir, "pages"))
 
 
+def _collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+def _whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_components(read(spark, sf_dir, "embeddings"))
+
+
+def _multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": _embedding_dedup,
@@ -95,6 +109,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": _quality,
         "op9_license_scan": _licenses,
         "op10_language": _language,
+        "op11_collocations": _collocations,
+        "op12_whitening": _whitening,
+        "op13_multi_index": _multi_index,
     }
 
 
@@ -102,4 +119,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc_fixity": fixity.ORACLE,
         "op9_license_scan": licenses.oracle(),
+        "op11_collocations": collocations.ORACLE,
     }
