@@ -5,14 +5,14 @@ hundred centroids make a fine grid of cells. A query walks over pairs of centroi
 their summed distance, taken from a heap, and the vectors of the cells it meets are reranked by
 their inner product in double precision.
 
-Nearness is the largest inner product. Vectors get one more component that makes all of them
-equally long, so that the distance of the grid follows the inner product whatever their lengths.
+Nearness is the largest inner product, so the distance of a half from a centroid is their negative
+inner product: its sum over both halves is what a vector at the centre of the cell would have.
 
-How far a query walks is not a fixed number of cells or candidates. The distances of a cell's
-vectors from the query are about normal, with a mean and a variance that follow from the centroids
-and their residuals; a query goes on until the cells it has met are expected to hold all but
-``MISSED`` of its nearest. In data with clusters that is soon, in data without any it is about half of
-the grid. The codebooks are fitted to a bounded sample, the grid holds every vector.
+How far a query walks is not a fixed number of cells or candidates. The inner products of a cell's
+vectors with the query are about normal, with a mean and a variance that follow from the centroids
+and the variances of their residuals; a query goes on until the cells it has met are expected to
+hold all but ``MISSED`` of its nearest. In data with clusters that is soon, in data without any it is
+half of the grid. The codebooks are fitted to a bounded sample, the grid holds every vector.
 
 Copies of a vector are one entry with its smallest ids, one more than a query can return: no others
 can be among the nearest. Entries are dealt into blocks of cells of bounded size; a block is held by
@@ -52,7 +52,7 @@ PER_CELL, MOST_CENTROIDS = 16, 512
 ROUNDS = 10
 
 #: Share of a query's nearest that is expected outside the cells it walks over.
-MISSED = 0.1
+MISSED = 0.05
 
 #: Entries of a block that a task holds, about; and queries that are compared at once.
 BLOCK, QUERIES = 2048, 256
@@ -64,30 +64,28 @@ _ENTRY, _QUERY = 0, 1
 
 
 class Grid(NamedTuple):
-    """Two codebooks, with how many vectors each pair of centroids has and how they scatter."""
+    """The codebooks of both halves, and how the vectors of a centroid scatter around it."""
 
     books: tuple[np.ndarray, np.ndarray]
-    scatter: tuple[np.ndarray, np.ndarray]  # mean squared residual of each centroid
-    longest: float  # squared length of the longest vector
-
-    def lift(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The halves of vectors that the grid holds, all of them equally long."""
-        half = x.shape[1] // 2
-        rest = np.sqrt(np.maximum(0, self.longest - (x**2).sum(axis=1)))
-        return x[:, :half], np.column_stack([x[:, half:], rest])
+    scatter: tuple[np.ndarray, np.ndarray]  # variance of the residuals, per centroid and dimension
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         """Number of the cell of each vector."""
-        first, second = (
-            nearest(half, book) for half, book in zip(self.lift(x), self.books, strict=True)
-        )
+        first, second = (nearest(h, book) for h, book in zip(halves(x), self.books, strict=True))
         return first * len(self.books[1]) + second
 
     def distances(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Squared distances of a query's halves from the centroids."""
-        half = len(query) // 2
-        halves = query[:half], np.append(query[half:], 0.0)
-        return tuple(((h - book) ** 2).sum(axis=1) for h, book in zip(halves, self.books, strict=True))
+        """Of a query's halves from the centroids."""
+        return tuple(-(book @ h[0]) for h, book in zip(halves(query[None]), self.books, strict=True))
+
+    def spread(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Variance of the inner products of a query's halves with the vectors of a centroid."""
+        return tuple(s @ h[0] ** 2 for h, s in zip(halves(query[None]), self.scatter, strict=True))
+
+
+def halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    half = x.shape[1] // 2
+    return x[:, :half], x[:, half:]
 
 
 def nearest(rows: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -98,15 +96,15 @@ def nearest(rows: np.ndarray, book: np.ndarray) -> np.ndarray:
 
 
 def codebook(rows: np.ndarray, centroids: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids of rows by k-means from random ones, and the mean squared residual of each."""
+    """Centroids of rows by k-means from random ones, and the variances of their residuals."""
     book = rows[rng.choice(len(rows), centroids, replace=False)].copy()
     for last in [False] * ROUNDS + [True]:
         own = nearest(rows, book)
         count = np.maximum(np.bincount(own, minlength=centroids), 1)[:, None]
-        if last:
-            residual = ((rows - book[own]) ** 2).sum(axis=1)
-            return book, np.bincount(own, residual, centroids) / count[:, 0]
         sums = np.zeros_like(book)
+        if last:
+            np.add.at(sums, own, (rows - book[own]) ** 2)
+            return book, sums / count
         np.add.at(sums, own, rows)
         book = np.where(np.bincount(own, minlength=centroids)[:, None] > 0, sums / count, book)
     raise AssertionError
@@ -123,31 +121,21 @@ def normal_below(z: np.ndarray) -> np.ndarray:
     return np.where(z < 0, tail, 1 - tail)
 
 
-def expected_hits(
-    grid: Grid, counts: np.ndarray, first: np.ndarray, second: np.ndarray, wanted: int
-) -> np.ndarray:
+def expected_hits(grid: Grid, counts: np.ndarray, query: np.ndarray, wanted: int) -> np.ndarray:
     """How many of a query's nearest each pair of centroids is expected to hold."""
-    book, other = grid.books
-    mean = (first + grid.scatter[0])[:, None] + (second + grid.scatter[1])[None]
-    spread = sum(
-        (4 * d * s + 2 * s * s)[tuple(at)] / max(b.shape[1], 1)
-        for d, s, b, at in (
-            (first, grid.scatter[0], book, (slice(None), None)),
-            (second, grid.scatter[1], other, (None, slice(None))),
-        )
-    )
-    spread = np.sqrt(spread) + 1e-9 * (1 + mean)
     there = counts > 0
-    mean, spread, weight = mean[there], spread[there], counts[there]
+    pair = lambda parts: (parts[0][:, None] + parts[1][None])[there]
+    mean, weight = -pair(grid.distances(query)), counts[there]
+    spread = np.sqrt(pair(grid.spread(query))) + 1e-9 * (1 + np.abs(mean))
     low, high = float((mean - 9 * spread).min()), float((mean + 9 * spread).max())
-    for _ in range(18):  # the distance within which as many as wanted are expected
+    for _ in range(18):  # the inner product beyond which as many as wanted are expected
         middle = (low + high) / 2
-        if (weight * normal_below((middle - mean) / spread)).sum() > wanted:
-            high = middle
-        else:
+        if (weight * normal_below((mean - middle) / spread)).sum() > wanted:
             low = middle
+        else:
+            high = middle
     out = np.zeros(counts.shape)
-    out[there] = weight * normal_below((high - mean) / spread)
+    out[there] = weight * normal_below((mean - low) / spread)
     return out
 
 
@@ -156,7 +144,7 @@ def walk(
 ) -> list[int]:
     """Cells with entries for a query, by summed distance, as far as it has to go."""
     first, second = grid.distances(query)
-    hits = expected_hits(grid, counts, first, second, wanted)
+    hits = expected_hits(grid, counts, query, wanted)
     enough = (1 - missed) * hits.sum()
     rows, columns = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     d1, d2 = first[rows].tolist(), second[columns].tolist()
@@ -180,20 +168,15 @@ def walk(
 
 
 def fit_grid(entries: DataFrame, n: int, seed: int = 5) -> Grid:
-    """Codebooks from a sample of the entries (vector); every length is looked at."""
+    """Codebooks from a sample of the entries (vector)."""
     parts = 1 << 20
     share = min(1.0, 0.9 * SAMPLE / n)
     picked = entries.where(F.pmod(F.xxhash64("vector"), F.lit(parts)) < int(share * parts))
     rows = picked if share < 1 else entries
-    table = rows.select("vector").limit(SAMPLE).toArrow()
-    x = matrix(table["vector"])
-    squares = F.aggregate("vector", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
-    longest = entries.agg(F.max(squares)).first()[0]
+    x = matrix(rows.select("vector").limit(SAMPLE).toArrow()["vector"])
     rng = np.random.default_rng(seed)
     centroids = int(np.clip(np.ceil(np.sqrt(n / PER_CELL)), 1, min(MOST_CENTROIDS, len(x))))
-    blank = Grid((np.zeros((1, 0)), np.zeros((1, 0))), (np.zeros(1), np.zeros(1)), float(longest))
-    books, scatter = zip(*(codebook(half, centroids, rng) for half in blank.lift(x)), strict=True)
-    return Grid(books, scatter, float(longest))
+    return Grid(*zip(*(codebook(half, centroids, rng) for half in halves(x)), strict=True))
 
 
 # -- entries --------------------------------------------------------------------------------------
