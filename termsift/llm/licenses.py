@@ -1,20 +1,24 @@
 """License scan by a positional rare-token index, in DataFrame expressions only.
 
 A template is a run of licence words with a mandatory key phrase. The document frequencies of all
-template words, counted over the whole table, say which of them is the rarest; that word is the
-template's entry in the index. A document is looked up by the entries it holds: every position of
-an entry gives one possible start of the template, the other words must stand at their relative
-positions, and the key phrase must be there in full. A template is found where the words in place
-hold ``MIN_SHARE`` of its inverse document frequency. Base phrases are templates that must be
-there in full.
+template words, counted over the whole table, give their inverse document frequency (IDF). The
+index has postings of (template, position) for the words of highest IDF of every template: so many
+that a place without any of them misses more of the template's IDF than ``MIN_SHARE`` allows. No
+place is lost by looking up these words alone, and common words are never looked up.
+
+A document is looked up by those words that it holds. Each occurrence is a vote for the start of
+a template, and votes are intersected by their relative position: a start goes on if the words
+that voted for it leave out no more than may be missing. There the key phrase must be in full, and
+the words in place must hold ``MIN_SHARE`` of the IDF. Base phrases are templates of which nothing
+may be missing.
 
 Everything happens inside a document's row: two scans of the texts and no shuffle but the one for
 the counts, which has a row per template word. Nothing depends on how often a word or a document
-is repeated.
+is repeated, and a very long text is one long row of words.
 
 Nulls, ties, repeats: a null text is empty, has no words and no places; rows with the same doc_id
-are scanned each for itself; of equally rare words the first in the template is its entry; extra
-columns are ignored; an empty table gives an empty table.
+are scanned each for itself; of equally rare words the first in the template are looked up first;
+extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -78,12 +82,40 @@ def word_weights(documents: DataFrame, templates: list[Template] = TEMPLATES) ->
     return {w: math.log(total / (found.get(w, 0) + 1)) for w in vocabulary}
 
 
-def _places(words: Column, template: Template, weights: dict[str, float]) -> Column:
-    """Array of (start, share) where the template stands; empty without its entry word."""
+class Postings(NamedTuple):
+    """Of one template: the positions that are looked up, and what of their IDF may be missing."""
+
+    at: list[int]
+    slack: float
+
+
+def postings_of(template: Template, weights: dict[str, float]) -> Postings:
+    """The fewest words, of the highest IDF, that cannot all be missing where the template stands."""
+    own = [weights[w] for w in template.words]
+    missing = 0.0 if template.base else (1 - MIN_SHARE) * sum(own)
+    at: list[int] = []
+    for k in sorted(range(len(own)), key=lambda k: (-own[k], k)):
+        at.append(k)
+        if sum(own[i] for i in at) > missing + 1e-9:
+            break
+    return Postings(at, missing)
+
+
+def _looked_up(words: Column, vocabulary: list[str]) -> Column:
+    """Array of (at, word) of the words that have postings."""
+    marked = F.transform(
+        words, lambda w, i: F.when(w.isin(vocabulary), F.struct(i.alias("at"), w.alias("word")))
+    )
+    return F.array_compact(marked)
+
+
+def _places(words: Column, hits: Column, template: Template, weights: dict[str, float]) -> Column:
+    """Array of (start, share) where the template stands."""
     size = len(template.words)
     own = [weights[w] for w in template.words]
-    entry = max(range(size), key=lambda k: (own[k], -k))
     total = sum(own)
+    postings = postings_of(template, weights)
+    enough = sum(own[k] for k in postings.at) - postings.slack - 1e-9
 
     def at(start: Column, k: int) -> Column:
         return F.coalesce(F.get(words, start + k) == template.words[k], F.lit(False))
@@ -100,16 +132,29 @@ def _places(words: Column, template: Template, weights: dict[str, float]) -> Col
         parts = [F.when(at(start, k), own[k]).otherwise(0.0) for k in range(size)]
         return sum(parts[1:], parts[0]) / total
 
-    entries = F.filter(
-        F.transform(words, lambda w, i: F.when(w == template.words[entry], i - entry)),
-        lambda start: start.isNotNull() & key_holds(start),
+    voters = [template.words[k] for k in postings.at]
+    vote = lambda hit, k: F.when(
+        hit["word"] == template.words[k], F.struct((hit["at"] - k).alias("start"), F.lit(own[k]).alias("idf"))
+    )
+    votes = F.array_compact(
+        F.flatten(F.transform(hits, lambda hit: F.array(*[vote(hit, k) for k in postings.at])))
     )
+    if len(postings.at) > 1:
+        # intersect the postings: the votes for one start are summed up
+        starts = F.array_distinct(F.transform(votes, lambda v: v["start"]))
+        agreed = lambda s: F.aggregate(
+            F.filter(votes, lambda v: v["start"] == s), F.lit(0.0), lambda sum_, v: sum_ + v["idf"]
+        )
+        starts = F.filter(starts, lambda s: agreed(s) >= enough)
+    else:
+        starts = F.transform(votes, lambda v: v["start"])
+    entries = F.filter(starts, lambda start: (start >= -template.key_from) & key_holds(start))
     found = F.transform(
         entries, lambda s: F.struct(s.cast("long").alias("start"), share(s).alias("share"))
     )
     found = F.filter(found, lambda p: p["share"] >= MIN_SHARE)
     none = F.array().cast("array<struct<start:bigint,share:double>>")
-    return F.when(F.array_contains(words, template.words[entry]), found).otherwise(none)
+    return F.when(F.exists(hits, lambda hit: hit["word"].isin(voters)), found).otherwise(none)
 
 
 def find_licenses(documents: DataFrame, templates: list[Template] = TEMPLATES) -> DataFrame:
@@ -118,11 +163,16 @@ def find_licenses(documents: DataFrame, templates: list[Template] = TEMPLATES) -
     ``places`` holds (label, start, share) of every template found.
     """
     weights = word_weights(documents, templates)
+    vocabulary = sorted({t.words[k] for t in templates for k in postings_of(t, weights).at})
     words = documents.select("doc_id", text_words(F.col("text")).alias("words"))
+    words = words.select("*", _looked_up(F.col("words"), vocabulary).alias("hits"))
     held = words.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        *[_places(F.col("words"), t, weights).alias(f"t{k}") for k, t in enumerate(templates)],
+        *[
+            _places(F.col("words"), F.col("hits"), t, weights).alias(f"t{k}")
+            for k, t in enumerate(templates)
+        ],
     )
     base = [k for k, t in enumerate(templates) if t.base]
     starts = lambda k: F.transform(f"t{k}", lambda p: p["start"])
@@ -135,13 +185,11 @@ def find_licenses(documents: DataFrame, templates: list[Template] = TEMPLATES) -
         F.lit(0.0),
         *[F.coalesce(F.array_max(F.transform(f"t{k}", lambda p: p["share"])), F.lit(0.0)) for k in every],
     )
-    named = [
-        F.transform(
-            f"t{k}",
-            lambda p, label=t.label: F.struct(F.lit(label).alias("label"), p["start"], p["share"]),
-        )
-        for k, t in enumerate(templates)
-    ]
+
+    def named(k: int) -> Column:
+        label = F.lit(templates[k].label).alias("label")
+        return F.transform(f"t{k}", lambda p: F.struct(label, p["start"], p["share"]))
+
     all_base = F.concat(*[starts(k) for k in base])
     return held.select(
         "doc_id",
@@ -152,7 +200,7 @@ def find_licenses(documents: DataFrame, templates: list[Template] = TEMPLATES) -
         joined(base).alias("base_labels"),
         joined(every).alias("labels"),
         F.round(best, 6).alias("score"),
-        F.concat(*named).alias("places"),
+        F.concat(*map(named, every)).alias("places"),
     )
 
 
@@ -173,13 +221,11 @@ hit AS (SELECT * FROM word WHERE word IN (SELECT word FROM template)),
 weight AS (SELECT word, ln((SELECT count(*) + 1 FROM documents) / (coalesce(df, 0) + 1)::DOUBLE) AS idf
   FROM (SELECT DISTINCT word FROM template)
   LEFT JOIN (SELECT word, count(DISTINCT doc_id) AS df FROM hit GROUP BY word) USING (word)),
-weighted AS (SELECT *, sum(idf) OVER (PARTITION BY t) AS total,
-    row_number() OVER (PARTITION BY t ORDER BY idf DESC, i) = 1 AS entry
-  FROM template JOIN weight USING (word)),
+weighted AS (SELECT *, sum(idf) OVER (PARTITION BY t) AS total FROM template JOIN weight USING (word)),
 place AS (SELECT doc_id, t, any_value(label) AS label, any_value(base) AS base, pos - i AS start,
     CASE WHEN any_value(base) OR any_value(total) <= 0 THEN 1.0 ELSE sum(idf) / any_value(total) END AS share
   FROM hit JOIN weighted USING (word) GROUP BY doc_id, t, pos - i
-  HAVING bool_or(entry) AND count(*) FILTER (is_key) = any_value(key_size)),
+  HAVING count(*) FILTER (is_key) = any_value(key_size)),
 found AS (SELECT * FROM place WHERE share >= {MIN_SHARE})
 SELECT doc_id, len(words)::BIGINT AS n_words, count(start) FILTER (base)::BIGINT AS n_base,
   min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,

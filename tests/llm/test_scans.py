@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -43,6 +44,47 @@ def test_base_places_against_brute_force(spark):
     assert found[104] == found[105] == "" and licenses.find_licenses(empty(spark)).count() == 0
 
 
+def test_a_place_may_miss_any_word_outside_the_key_phrase(spark):
+    filler = [f"plain text number {k} of the sea" for k in range(20)]
+    docs = [
+        "under the new general public license version 3", "under the creative commons attribution license",
+        "subject to a term of the mozilla public license v 2 0", "redistribution and use in source and any forms",
+        "under the gnu general public licence version 3", "all right reserved",
+    ]
+    rows = [(k, t) for k, t in enumerate(docs + filler)]
+    found = licenses.find_licenses(spark.createDataFrame(rows, "doc_id long, text string"))
+    labels = {r.doc_id: r.labels for r in found.collect()}
+    assert [labels[k] for k in range(6)] == ["gpl-3", "cc-by", "mpl-2", "bsd", "", ""]
+    # the words of highest inverse document frequency are looked up, and no common ones
+    weights = licenses.word_weights(spark.createDataFrame(rows, "doc_id long, text string"))
+    for t in licenses.TEMPLATES:
+        postings = licenses.postings_of(t, weights)
+        rest = [weights[w] for k, w in enumerate(t.words) if k not in postings.at]
+        assert min(weights[t.words[k]] for k in postings.at) >= max(rest, default=0)
+        assert sum(weights[t.words[k]] for k in postings.at) > postings.slack
+
+
+def test_places_against_brute_force(spark):
+    rnd, words = random.Random(3), sorted({w for t in licenses.TEMPLATES for w in t.words})
+    texts = [" ".join(rnd.choices(words, k=40)) for _ in range(30)]
+    for t in licenses.TEMPLATES * 6:
+        own = [w if rnd.random() < 0.85 else "x" for w in t.words]
+        texts.append(" ".join([*rnd.choices(words, k=3), *own, *rnd.choices(words, k=3)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = licenses.word_weights(docs)
+    wanted = set()
+    for k, text in enumerate(texts):
+        own = text.split()
+        for t in licenses.TEMPLATES:
+            for start in range(-len(t.words), len(own)):
+                same = [0 <= start + i < len(own) and own[start + i] == w for i, w in enumerate(t.words)]
+                share = sum(weights[w] for w, s in zip(t.words, same) if s) / sum(weights[w] for w in t.words)
+                if all(same[t.key_from : t.key_to]) and (all(same) if t.base else share >= licenses.MIN_SHARE):
+                    wanted.add((k, t.label, start))
+    found = licenses.find_licenses(docs).select("doc_id", F.explode("places").alias("p")).collect()
+    assert {(r.doc_id, r.p.label, r.p.start) for r in found} == wanted and len(wanted) > 15
+
+
 def test_no_python_in_the_plan(spark, capsys):
     licenses.find_licenses(awkward(spark, TEXTS)).explain()
     assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
