@@ -1,7 +1,7 @@
 """Token ids in binary files, each document compressed apart with one shared dictionary.
 
-A folder holds ``dictionary.zstd`` (trained on the serialized ids of a bounded sample of short
-documents) and one ``shard-NNNNN.tok`` per range of documents, in ascending doc_id order:
+A folder holds ``dictionary.zstd`` (trained on the serialized ids of a bounded sample: a run of each
+of some documents) and one ``shard-NNNNN.tok`` per range of documents, in ascending doc_id order:
 
     magic | sha256 of the dictionary | frames | index | length of the index | magic
 
@@ -41,7 +41,7 @@ MAGIC = b"TOKIDS01"
 END_ID = 0
 LEVEL = 3
 
-#: The dictionary: its size, and the bounded sample of documents it is trained on.
+#: The dictionary: its size, and the bounded sample it is trained on, documents and what of each.
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_DOCUMENTS = 1000
 SAMPLE_CHARS = 4000
@@ -52,21 +52,37 @@ _INDEX = pa.schema(
 _MANIFEST = "shard bigint, n_docs bigint, n_tokens bigint"
 
 
+def _sample(documents: DataFrame) -> list[str]:
+    """A run of up to ``SAMPLE_CHARS`` characters from each of ``SAMPLE_DOCUMENTS`` documents.
+
+    Ids are picked first, by their hashes and from a few times as many as are wanted, so that no
+    texts meet but those of the sample. A long text gives a run from anywhere in it.
+    """
+    there = documents.select("doc_id", "text").where(F.length("text") > 0)
+    parts, n = 1 << 30, documents.count()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
+    spare = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    run = F.substring("text", F.pmod(F.xxhash64("text"), spare).cast("int") + 1, F.lit(SAMPLE_CHARS))
+    for share in (16 * SAMPLE_DOCUMENTS / max(n, 1), 1.0):  # all, where few ids have many rows
+        some = there.where(place < int(min(share, 1) * parts))
+        ids = some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id")
+        rows = some.join(F.broadcast(ids.limit(SAMPLE_DOCUMENTS)), "doc_id")
+        # an id may have any number of rows: one of them counts, combined before the shuffle
+        rows = rows.groupBy("doc_id").agg(F.min(run).alias("text"))
+        texts = sorted(row.text for row in rows.collect())
+        if texts:
+            return texts
+    return []
+
+
 def train_dictionary(documents: DataFrame, tokenizer: str, end_id: int = END_ID) -> bytes:
-    """A dictionary from the ids of up to ``SAMPLE_DOCUMENTS`` documents of ordinary length.
+    """A dictionary from the ids of up to ``SAMPLE_DOCUMENTS`` documents, short or long.
 
     Any dictionary gives the same ids back; the sample decides on the size of the files only.
     Where there is too little to train on, the ids themselves are the dictionary.
     """
-    # ids are picked first, so that no texts meet but those of the sample
-    short = documents.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS))
-    ids = short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = short.join(F.broadcast(ids.limit(SAMPLE_DOCUMENTS)), "doc_id")
-    # an id may have any number of rows: one of them counts, combined before the shuffle
-    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
     end = np.array([end_id], "<u2").tobytes()
-    texts = sorted(row.text for row in rows.collect())
-    samples = [ids + end for ids in Encoder(tokenizer, "spaced").encode(texts)]
+    samples = [ids + end for ids in Encoder(tokenizer, "spaced").encode(_sample(documents))]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:

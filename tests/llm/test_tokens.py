@@ -145,3 +145,22 @@ def test_dictionary_takes_one_row_of_each_id(spark, monkeypatch):
     documents = spark.createDataFrame(rows, "doc_id long, text string")
     token_files.train_dictionary(documents, BYTE)
     assert len(taken) == 41 and "text 100 of one id" in taken
+
+
+def test_dictionary_from_long_texts_only(spark):
+    rnd = random.Random(5)
+    words = [f"word{k}" for k in range(300)]
+    documents = spark.createDataFrame(
+        [(k, " ".join(rnd.choices(words, k=3000))) for k in range(60)], "doc_id long, text string"
+    )
+    texts = token_files._sample(documents)
+    assert len(texts) == 60 and {len(t) for t in texts} == {token_files.SAMPLE_CHARS}
+    assert len({t[:20] for t in texts}) == 60
+    made = token_files.train_dictionary(documents, BYTE)
+    assert len(made) > 1000 and made[:4] == b"\x37\xa4\x30\xec"  # a zstandard dictionary
+
+
+def test_dictionary_of_few_ids_with_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "SAMPLE_DOCUMENTS", 1)
+    documents = spark.range(3000).selectExpr("id % 2 as doc_id", "'some text' as text")
+    assert token_files._sample(documents) == ["some text"]
