@@ -18,6 +18,7 @@ from termsift.functions.queries import (
     fold,
 )
 from termsift.functions.words import term_prefix
+from termsift.operators.doc_sets import bitmaps, may_broadcast_bitmaps, test_bits
 from termsift.sources.index import filter_terms
 
 #: Flags of search words in one bigint; the sign bit stays out.
@@ -171,6 +172,9 @@ def boolean_search_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
     found = postings.sparkSession.read.parquet(path)
     asked_of = found.select("query_id", "doc_id").distinct()
     asked_of = join_lookup(asked_of, others, ["query_id"], small, salt_by="doc_id")
+    path = write_scratch(asked_of, "asked")
+    asked_of = postings.sparkSession.read.parquet(path)
+    postings = _of_candidates(postings, asked_of)
     more = asked_of.join(postings, [*keys, "doc_id"]).select("query_id", "doc_id", "slot")
     seen = found.union(more).groupBy("query_id", "doc_id").agg(*bits)
     planned = join_lookup(seen, plans, ["query_id"], few_steps, salt_by="doc_id")
@@ -178,6 +182,24 @@ def boolean_search_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
     return planned.where(holds).select("query_id", "doc_id")
 
 
+def _of_candidates(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """Postings that can be among ``asked`` (prefix, term, doc_id, ...), before any shuffle.
+
+    Exactly those, by a bitmap of the documents asked for each word, where these can be broadcast; else
+    those of the documents asked for any word, by one bitmap; else all of them.
+    """
+    keys = ["prefix", "term"]
+    for by in (keys, []):
+        bits = bitmaps(asked, *by)
+        path = write_scratch(bits, "bitmaps")
+        bits = asked.sparkSession.read.schema(bits.schema).parquet(path)
+        text = sum((F.octet_length(key) for key in by), F.lit(0))
+        rows, text_bytes = bits.agg(F.count("*"), F.sum(text)).first()
+        if may_broadcast_bitmaps(rows, text_bytes or 0):
+            return test_bits(postings, bits, *by)
+    return postings
+
+
 def _cover() -> Column:
     """Slots of words of which every match has one, the fewest postings by ``costs`` of each slot.
 

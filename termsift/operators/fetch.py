@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termsift.cluster import may_broadcast, write_scratch
+from termsift.operators.doc_sets import DocSet, in_runs, keep_documents, write_ids
 
 #: Bins of the range join are at most 2**20 ids wide, so no bin gathers more documents than that.
 _MAX_LEVEL = 20
@@ -65,27 +66,6 @@ def matched_files(
     return doc_file_ranges(doc_ids, ranges, size).select("file").distinct()
 
 
-class IdBounds(NamedTuple):
-    """Size and bounds of a table of document ids; the bounds are null when it is empty."""
-
-    n: int
-    low: int | None
-    high: int | None
-
-
-def id_bounds(doc_ids: DataFrame) -> IdBounds:
-    """Count a table of ids. One row reaches the driver, whatever the size of the table."""
-    row = doc_ids.agg(
-        F.count("doc_id").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
-    ).first()
-    return IdBounds(*row)
-
-
-def within(articles: DataFrame, bounds: IdBounds) -> DataFrame:
-    """Articles between the bounds: a literal predicate, so Parquet statistics skip the rest."""
-    return articles.where(F.col("doc_id").between(bounds.low, bounds.high))
-
-
 def placed_ids(doc_ids: DataFrame, ranges: DataFrame) -> tuple[DataFrame, bool]:
     """Documents with the file of their own range, ``(doc_id, file)``, and whether they are few.
 
@@ -102,28 +82,26 @@ def placed_ids(doc_ids: DataFrame, ranges: DataFrame) -> tuple[DataFrame, bool]:
 
 def fetch_articles(
     articles: DataFrame,
-    doc_ids: DataFrame,
+    doc_ids: DataFrame | DocSet,
     ranges: DataFrame | None = None,
-    bounds: IdBounds | None = None,
 ) -> DataFrame:
     """The articles of some documents.
 
-    The ids are counted first. A set of bounded size is broadcast and the articles, which are the
-    large side, stay where they are; a larger one takes a shuffle join. With ``ranges``, articles
-    have a ``file``, and an article is found only in the file of the range its id lies in, at any
-    size. Files without matches are not read where their names can be broadcast, by dynamic
-    partition pruning; that skips files and decides nothing.
+    The ids are computed once and written, and what is needed of them is read from there. A set of
+    bounded size is broadcast, as ids or as a bitmap, and the articles, which are the large side,
+    stay where they are; a larger one takes a shuffle join. With ``ranges``, articles have a
+    ``file``, and an article is found only in the file of the range its id lies in, at any size.
+    Files without matches are not read where their names can be broadcast, by dynamic partition
+    pruning; row groups outside the runs of the ids are not read. Both skip and decide nothing.
     """
-    bounds = bounds or id_bounds(doc_ids)
-    if not bounds.n:
+    docs = doc_ids if isinstance(doc_ids, DocSet) else write_ids(doc_ids)
+    if not docs.n:
         return articles.limit(0)
-    found = within(articles, bounds)
     if ranges is None:
-        ids = doc_ids.select("doc_id")
-        return found.join(F.broadcast(ids) if may_broadcast(bounds.n) else ids, "doc_id", "left_semi")
-    placed, few = placed_ids(doc_ids, ranges)
+        return keep_documents(articles, docs)[0]
+    found = articles.where(in_runs(F.col("doc_id"), docs.runs))
+    placed, few = placed_ids(docs.ids, ranges)
     if few:
-        files = within(placed, bounds).select("file").distinct()
-        found = found.join(F.broadcast(files), "file", "left_semi")
+        found = found.join(F.broadcast(placed.select("file").distinct()), "file", "left_semi")
         placed = F.broadcast(placed)
     return found.join(placed, ["doc_id", "file"], "left_semi")

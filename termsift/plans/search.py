@@ -1,20 +1,18 @@
 """Search: from a search string to ``(doc_id, url, title, snippet)``."""
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termsift.cluster import may_broadcast, path_exists
+from termsift.cluster import path_exists
 from termsift.functions.queries import as_query
 from termsift.functions.snippets import best_hits, highlight, title_or_plain
 from termsift.functions.words import STOP_WORDS
 from termsift.operators.boolean import boolean_search, reach
-from termsift.operators.fetch import (
-    doc_file_ranges,
-    fetch_articles,
-    id_bounds,
-    matched_files,
-    within,
-)
+from termsift.operators.doc_sets import in_runs, keep_documents, write_ids
+from termsift.operators.fetch import fetch_articles, matched_files, placed_ids
 from termsift.schemas import RESULTS
 from termsift.sources.lines import read_articles, read_file_ranges, read_index_shards
 
@@ -51,6 +49,12 @@ def with_snippets(
     )
 
 
+def has_any(text: Column, words: list[str]) -> Column:
+    """Whether a text holds any of the words, as words or inside others: a first, cheap test."""
+    lower = F.lower(text)
+    return F.coalesce(reduce(or_, [lower.contains(word) for word in words]), F.lit(False))
+
+
 def _no_results(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RESULTS)
 
@@ -65,10 +69,10 @@ def search(
 ) -> DataFrame:
     """Articles that satisfy a query, with highlighted title and snippet.
 
-    Article text is never shuffled. The number of matches is bounded by the counts of the search
-    words, or counted when that is not enough. A small number is broadcast to the articles. A large
-    one is joined by a shuffle after every text has been cut down to its snippet, which needs no
-    other row.
+    Article text is never shuffled. The matches are computed once and written. As ids or as a bitmap
+    they are broadcast to the articles, and only those of matches are cut into pieces. A set beyond
+    that is joined by a shuffle after every text has been cut down to its snippet, which needs no
+    other row; texts without any of the words are not cut.
 
     A document is dropped when its content has none of the positive words, unless
     ``drop_empty_snippet`` is false. ``ordered`` sorts by document id; leave it out when writing a
@@ -81,22 +85,26 @@ def search(
     bounds = reach(postings, query)
     if not bounds.n:
         return _no_results(articles.sparkSession)
-    hits = boolean_search(postings, query, bounds)
-    if not may_broadcast(bounds.n):
-        bounds = id_bounds(hits)
-        if not bounds.n:
-            return _no_results(articles.sparkSession)
-    if may_broadcast(bounds.n):
-        found = fetch_articles(articles, hits, ranges, bounds)
+    docs = write_ids(boolean_search(postings, query, bounds))
+    if not docs.n:
+        return _no_results(articles.sparkSession)
+    if ranges is None:
+        found, stays = keep_documents(articles, docs)
+        placed, keys = docs.ids, ["doc_id"]
+    else:
+        placed, stays = placed_ids(docs.ids, ranges)
+        keys = ["doc_id", "file"]
+        found = fetch_articles(articles, docs, ranges) if stays else articles
+    if stays:
         results = with_snippets(found, words, drop_empty_snippet)
         # A sort samples its input first. Sampling rows that are already shuffled is cheap;
         # sampling here would read the articles twice.
         return results.repartition("doc_id").orderBy("doc_id") if ordered else results
-    keys = ["doc_id"]
-    if ranges is not None:
-        keys, hits = ["doc_id", "file"], doc_file_ranges(hits, ranges)
-    results = with_snippets(within(articles, bounds), words, drop_empty_snippet, tuple(keys[1:]))
-    results = results.join(hits, keys, "left_semi").select(*RESULTS.names)
+    texts = articles.where(in_runs(F.col("doc_id"), docs.runs))
+    if drop_empty_snippet:
+        texts = texts.where(has_any(F.col("content"), words))
+    results = with_snippets(texts, words, drop_empty_snippet, tuple(keys[1:]))
+    results = results.join(placed, keys, "left_semi").select(*RESULTS.names)
     return results.orderBy("doc_id") if ordered else results
 
 

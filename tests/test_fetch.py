@@ -4,6 +4,14 @@ import pytest
 from data import ARTICLE_LINES, RANGES
 
 from termsift import cluster
+from termsift.operators.doc_sets import (
+    MAX_RUNS,
+    bitmaps,
+    fold_runs,
+    keep_documents,
+    test_bits,
+    write_ids,
+)
 from termsift.operators.fetch import doc_file_ranges, fetch_articles, matched_files
 from termsift.schemas import DOC_IDS, FILE_RANGES, LINES
 from termsift.sources.index import read_article_files, write_articles
@@ -91,3 +99,64 @@ def test_only_files_with_matches_are_read(spark, tmp_path, either_join):
     plan = found._jdf.queryExecution().executedPlan().toString()
     # The join on file and id lets Spark prune by itself where it finds the ids small.
     assert "dynamicpruning" in plan or not cluster.BROADCAST_BYTES
+
+
+def test_runs_are_parted_at_the_widest_gaps():
+    spans = [(1, 3), (5, 9), (40, 41), (50, 60), (900, 900)]
+    assert fold_runs(spans, 10) == spans
+    assert fold_runs(spans, 3) == [(1, 9), (40, 60), (900, 900)]
+    assert fold_runs(spans, 1) == [(1, 900)] and fold_runs([], 5) == []
+    assert fold_runs([(1, 2), (3, 4)], 5) == [(1, 4)]
+
+
+def test_a_set_is_folded_and_measured(spark):
+    ids = [-(1 << 62), -7, 0, 5, 6, 7, 1 << 40, (1 << 62) + 5]
+    docs = write_ids(ids_of(spark, [*ids, None]))
+    assert docs.n == len(ids) and len(docs.runs) <= MAX_RUNS
+    assert all(any(a <= i <= b for a, b in docs.runs) for i in ids)
+    assert write_ids(ids_of(spark, [])).runs == []
+
+
+@pytest.mark.parametrize("ids", [[1], [0, -1, -32767, -32768, 5], [32768, 32769, 65536, 1 << 40], range(7, 90_000, 8)])
+def test_bitmaps_test_exactly(spark, ids):
+    asked = sorted({i + d for i in ids for d in (-1, 0, 1, 8, 32768)})
+    found = test_bits(ids_of(spark, asked), bitmaps(ids_of(spark, list(ids))))
+    assert sorted(r[0] for r in found.collect()) == sorted(set(asked) & set(ids))
+
+
+@pytest.mark.parametrize("size, form", [(64 << 20, "ids"), (100_000, "bitmap"), (0, "shuffle")])
+def test_forms_of_a_set_give_the_same(spark, monkeypatch, size, form):
+    docs = write_ids(spark.range(0, 60_000, 3).withColumnRenamed("id", "doc_id"))
+    monkeypatch.setattr(cluster, "BROADCAST_BYTES", size)
+    rows = spark.range(70_000).selectExpr("id AS doc_id", "id * 2 AS x")
+    found, stays = keep_documents(rows, docs)
+    assert found.columns == ["doc_id", "x"] and found.count() == 20_000
+    assert found.agg({"x": "sum"}).first()[0] == 2 * sum(range(0, 60_000, 3))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert stays == (form != "shuffle") and ("_bits" in plan) == (form == "bitmap")
+
+
+def test_scattered_ids_reach_the_scan_as_runs(spark, tmp_path):
+    path = str(tmp_path / "articles")
+    table = spark.range(200_000).selectExpr("id AS doc_id", "cast(id AS string) AS content").coalesce(1)
+    table.write.option("parquet.block.size", 64 << 10).parquet(path)
+    ids = [2000 * k + (k * k) % 900 for k in range(0, 100, 1)]
+    near = [i for i in ids if i < 30_000 or i > 170_000]  # two ends of the table
+    articles = spark.read.parquet(path)
+    found = fetch_articles(articles, ids_of(spark, near))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Or(" in plan.split("PushedFilters: [")[1].split("ReadSchema")[0]
+    assert sorted(r["doc_id"] for r in found.collect()) == near
+
+    def rows_read(frame):
+        frame.collect()
+        text = frame._jdf.queryExecution().executedPlan()
+        leaves = text.collectLeaves() if "AdaptiveSparkPlan" not in text.getClass().getName() else text.finalPhysicalPlan().collectLeaves()
+        return sum(
+            leaves.apply(k).metrics().apply("numOutputRows").value()
+            for k in range(leaves.size())
+            if "Scan" in leaves.apply(k).nodeName() and "content" in leaves.apply(k).toString()
+        )
+
+    bounds = articles.where(f"doc_id BETWEEN {near[0]} AND {near[-1]}")
+    assert rows_read(fetch_articles(articles, ids_of(spark, near))) < rows_read(bounds) / 2
