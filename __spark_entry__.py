@@ -8,6 +8,7 @@ session, once per application and data folder.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,12 @@ from termsift.functions.snippets import (
     title_or_plain,
 )
 from termsift.functions.words import STOP_WORDS, drop_stop_words, letter_runs
-from termsift.operators.boolean import boolean_search, boolean_search_batch, matched_terms
+from termsift.operators.boolean import (
+    boolean_search,
+    boolean_search_batch,
+    boolean_search_blocks,
+    matched_terms,
+)
 from termsift.operators.counts import split_lines, split_words, terms_by_prefix, word_count
 from termsift.operators.fetch import doc_file_ranges, fetch_articles, matched_files
 from termsift.operators.sets import (
@@ -33,8 +39,9 @@ from termsift.operators.sets import (
     no_match,
     sort_doc_ids,
 )
-from termsift.plans.search import search, with_snippets
+from termsift.plans.search import search, search_files, with_snippets
 from termsift.plans.word_count import word_count_job
+from termsift.sources.blocks import block_postings, build_blocks, read_blocks, write_blocks
 from termsift.sources.index import (
     build_file_ranges,
     build_postings,
@@ -51,7 +58,9 @@ from termsift.sources.lines import (
     parse_postings,
     read_articles,
     read_file_ranges,
+    read_index_shards,
     read_lines,
+    write_index_shards,
 )
 from termsift.sources.sinks import result_line, write_results, write_word_count
 
@@ -122,6 +131,25 @@ def _postings(
     return read_postings(spark, _index(spark, sf_dir, articles), words)
 
 
+def _blocks(spark: SparkSession, sf_dir: str, words: list[str] | None = None) -> DataFrame:
+    path = _once(
+        spark,
+        sf_dir,
+        "blocks",
+        lambda path: write_blocks(build_blocks(build_postings(documents(spark, sf_dir))), path),
+    )
+    return read_blocks(spark, path, words)
+
+
+def _shards(spark: SparkSession, sf_dir: str) -> str:
+    return _once(
+        spark,
+        sf_dir,
+        "shards",
+        lambda path: write_index_shards(build_postings(documents(spark, sf_dir)), path),
+    )
+
+
 def _article_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _once(
         spark,
@@ -227,6 +255,23 @@ def _read_articles(spark, sf):
     return read_articles(spark, path).drop("file")
 
 
+def _search_files(spark, sf):
+    """Search over text alone: shards, a range file, and files of article lines in order of id."""
+
+    def write_lines(path: str) -> None:
+        own = documents(spark, sf).repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id")
+        article_lines(own).write.text(path)
+
+    texts = _once(spark, sf, "sorted_lines", write_lines)
+    ranges = _once(
+        spark,
+        sf,
+        "line_ranges",
+        lambda path: build_file_ranges(read_articles(spark, texts)).write.csv(path),
+    )
+    return search_files(spark, _shards(spark, sf), ranges, texts, AND_NOT_QUERY)
+
+
 def _articles_pruned(spark, sf):
     found = fetch_articles(_article_files(spark, sf), _grouped_hits(spark, sf), _ranges(spark, sf))
     return found.select("doc_id", "url", "title", "content", "file")
@@ -312,9 +357,8 @@ def entry(spark: SparkSession) -> DataFrame:
 try:
     import corpus_pipeline
     from termsift.llm import queries as llm_queries
-except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "termsift.llm", "termsift.llm.queries"):
-        raise
+except ImportError as missing:  # the folders, or one of the libraries they need, are not there
+    warnings.warn(f"no operators for training data: {missing}", stacklevel=1)
     corpus_pipeline = llm_queries = None
 
 
@@ -342,6 +386,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "write_word_count": _write_word_count,
         "write_results": _write_results,
         "build_postings": lambda spark, sf: build_postings(documents(spark, sf)),
+        "build_blocks": lambda spark, sf: block_postings(_blocks(spark, sf)),
+        "blocks_pruned": lambda spark, sf: block_postings(_blocks(spark, sf, WORDS)),
+        "write_index_shards": lambda spark, sf: parse_postings(
+            read_lines(spark, f"{_shards(spark, sf)}/*")
+        ),
+        "index_shards_pruned": lambda spark, sf: read_index_shards(spark, _shards(spark, sf), WORDS),
         "build_postings_pages": lambda spark, sf: build_postings(pages(spark, sf)),
         "build_file_ranges": lambda spark, sf: build_file_ranges(_article_files(spark, sf)),
         # Projections and filters
@@ -380,6 +430,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "boolean_search_unknown": _hits("zzzz or from", ["zzzz", "from"]),
         "boolean_search_none": _hits("from and zzzz", ["zzzz", "from"]),
         "boolean_search_pages": _hits(GROUPED_QUERY, ["from", "than", "tion", "erin"], pages),
+        "boolean_search_blocks": lambda spark, sf: boolean_search_blocks(
+            _blocks(spark, sf, ["from", "than", "tion", "erin"]), GROUPED_QUERY
+        ),
+        "boolean_search_blocks_rare": lambda spark, sf: boolean_search_blocks(
+            _blocks(spark, sf, ["erin", "from"]), "erin and from"
+        ),
         "boolean_search_batch": lambda spark, sf: boolean_search_batch(
             read_postings(spark, _index(spark, sf)), benchmark_queries(spark, sf)
         ),
@@ -426,6 +482,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fetch_articles_ranges": lambda spark, sf: fetch_articles(
             _article_files(spark, sf), _grouped_hits(spark, sf), _gap_ranges(spark, sf)
         ),
+        "search_files": _search_files,
         "search_pages": _search(AND_NOT_QUERY, ["from", "than"], pages),
         "word_count_job": _word_count_job,
     }
@@ -477,6 +534,7 @@ _SETS = {
     "zzzz or from": f"{_set('zzzz')} UNION {_set('from')}",
     "from and zzzz": f"{_set('from')} INTERSECT {_set('zzzz')}",
     "that": f"{_set('that')}",
+    "erin and from": f"{_set('erin')} INTERSECT {_set('from')}",
 }
 
 
@@ -604,6 +662,12 @@ def oracle_sql() -> dict[str, str]:
         f" FROM ({_LINE_WORDS}) GROUP BY word",
         "write_results": f"{flagship}\nSELECT * FROM results",
         "build_postings": f"{_with()}\nSELECT term, doc_id, prefix FROM postings",
+        "build_blocks": f"{_with()}\nSELECT term, doc_id, prefix FROM postings",
+        "blocks_pruned": f"{_with()}\nSELECT term, doc_id, prefix FROM postings"
+        f" WHERE term IN ({_list(WORDS)})",
+        "write_index_shards": f"{_with()}\nSELECT term, doc_id, prefix FROM postings",
+        "index_shards_pruned": f"{_with()}\nSELECT term, doc_id, prefix FROM postings"
+        f" WHERE term IN ({_list(WORDS)})",
         "build_postings_pages": f"{_with('pages')}\nSELECT term, doc_id, prefix FROM postings",
         "build_file_ranges": f"WITH {_FILES}\nSELECT file, min(doc_id) AS begin_id,"
         " max(doc_id) AS end_id FROM file_of GROUP BY file",
@@ -660,6 +724,8 @@ GROUP BY d.doc_id""",
         "boolean_search_unknown": _sql_boolean("zzzz or from"),
         "boolean_search_none": _sql_boolean("from and zzzz"),
         "boolean_search_pages": _sql_boolean(GROUPED_QUERY, "pages"),
+        "boolean_search_blocks": _sql_boolean(GROUPED_QUERY),
+        "boolean_search_blocks_rare": _sql_boolean("erin and from"),
         "boolean_search_batch": f"""{_with()},
 {_sql_query_words("benchmark", "item_id")},
 seen AS (
@@ -707,6 +773,13 @@ GROUP BY d.doc_id""",
         "fetch_articles_ranges": f"{_sql_hits(GROUPED_QUERY)}\nSELECT a.*,"
         f" 'part_' || (doc_id // {IDS_PER_FILE}) AS file FROM documents_articles a"
         f" JOIN hits USING (doc_id) WHERE doc_id % {IDS_PER_FILE} >= 10",
+        "search_files": _sql_snippets(
+            f"{_sql_hits(AND_NOT_QUERY)},\n{_ARTICLE_LINES},\nfields AS ({_ARTICLE_FIELDS}),\n"
+            "found AS (SELECT f.* FROM fields f JOIN hits USING (doc_id))",
+            "found",
+            ["from"],
+        )
+        + "\nSELECT * FROM results",
         "search_pages": _sql_search(AND_NOT_QUERY, ["from"], "pages") + "\nSELECT * FROM results",
         "word_count_job": f"SELECT word, count(*) AS n FROM ({_LINE_WORDS}) GROUP BY word",
     }

@@ -52,6 +52,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(folder)
 
 
+def rename_folders(spark: SparkSession, path: str, mark: str, target: str) -> None:
+    """Move the folders ``<mark><name>`` of a path to ``<target>/<name>``."""
+    files, folder = _file_system(spark, path)
+    join = spark._jvm.org.apache.hadoop.fs.Path
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith(mark) and not files.rename(status.getPath(), join(f"{target}/{name[len(mark):]}")):
+            raise OSError(f"{name} could not be renamed to {target}")
+
+
 def spread(table: DataFrame) -> DataFrame:
     """Use every core on an input that is cut into fewer pieces than there are cores.
 
@@ -68,15 +78,16 @@ def may_broadcast(rows: int, text_bytes: int = 0) -> bool:
 
 
 def join_lookup(
-    rows: DataFrame, lookup: DataFrame, keys: list[str], small: bool, salt_by: str
+    rows: DataFrame, lookup: DataFrame, keys: list[str], small: bool, salt_by: str,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join of many rows with a lookup table, safe for keys that hold most of the rows.
+    """Inner or left join of many rows with a lookup table, safe for keys that hold most rows.
 
     A lookup that was found small is broadcast and the rows stay where they are. A larger one is
     joined by a shuffle in which every key is cut into salted pieces.
     """
     if small:
-        return rows.join(F.broadcast(lookup), keys)
+        return rows.join(F.broadcast(lookup), keys, how)
     pieces = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
-    return salted.join(lookup.withColumn("_salt", pieces), [*keys, "_salt"]).drop("_salt")
+    return salted.join(lookup.withColumn("_salt", pieces), [*keys, "_salt"], how).drop("_salt")

@@ -2,7 +2,7 @@
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from termsift.cluster import join_lookup, may_broadcast, write_scratch
@@ -18,7 +18,8 @@ from termsift.functions.queries import (
     fold,
 )
 from termsift.functions.words import term_prefix
-from termsift.operators.doc_sets import bitmaps, may_broadcast_bitmaps, test_bits
+from termsift.operators.doc_sets import bitmaps, may_broadcast_bitmaps, test_bits, write_ids
+from termsift.sources.blocks import block_postings
 from termsift.sources.index import filter_terms
 
 #: Flags of search words in one bigint; the sign bit stays out.
@@ -39,9 +40,23 @@ def reach(postings: DataFrame, query: str | Query) -> Reach:
     """Bound the result of a query from one row per search word, without computing it."""
     query = as_query(query)
     counted = filter_terms(postings, list(dict.fromkeys(query.words))).groupBy("term")
-    rows = counted.agg(
+    counts = counted.agg(
         F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
-    ).collect()
+    )
+    return _reach(counts.collect(), query)
+
+
+def reach_blocks(blocks: DataFrame, query: str | Query) -> Reach:
+    """The same from posting blocks, none of which is opened."""
+    query = as_query(query)
+    counted = filter_terms(blocks, list(dict.fromkeys(query.words))).groupBy("term")
+    counts = counted.agg(
+        F.sum("n").alias("n"), F.min("first_id").alias("low"), F.max("last_id").alias("high")
+    )
+    return _reach(counts.collect(), query)
+
+
+def _reach(rows: list[Row], query: Query) -> Reach:
     total = sum(r["n"] for r in rows)
     known = {
         r["term"]: Reach(total, r["n"], r["low"], r["high"], frozenset([r["term"]])) for r in rows
@@ -103,6 +118,55 @@ def boolean_search(
     return seen.where(condition(query.postfix, flag.__getitem__)).select("doc_id")
 
 
+def blocks_of(
+    blocks: DataFrame, doc_ids: DataFrame, words: list[str]
+) -> DataFrame:
+    """Blocks of some words that can hold one of the documents; the others are skipped unopened.
+
+    The cuts of a term say which block an id lies in, so this is an equality join with the
+    broadcast blocks of the ids. ``doc_ids`` must be of a checked size.
+    """
+    held = filter_terms(blocks, words)
+    shifts = held.select("term", "shift").distinct().collect()  # one row per word
+    if not shifts:
+        return held
+    cuts = F.array(
+        *[F.struct(F.lit(r["term"]).alias("term"), F.lit(r["shift"]).alias("shift")) for r in shifts]
+    )
+    wanted = doc_ids.select("doc_id", F.explode(cuts).alias("_cut"))
+    block = "shiftright(doc_id, _cut.shift) AS _block"
+    wanted = wanted.selectExpr("_cut.term AS term", block).distinct()
+    held = held.withColumn("_block", F.expr("shiftright(first_id, shift)"))
+    return held.join(F.broadcast(wanted), ["term", "_block"], "left_semi").drop("_block")
+
+
+def boolean_search_blocks(
+    blocks: DataFrame, query: str | Query, bounds: Reach | None = None
+) -> DataFrame:
+    """Documents that satisfy a query, ``(doc_id)``, from posting blocks.
+
+    Blocks outside the bounds of the result are not read. Where every match must contain one of a
+    few rare words, only blocks that can hold a document of these are opened for the other words.
+    """
+    query = as_query(query)
+    words = list(dict.fromkeys(query.words))
+    bounds = bounds or reach_blocks(blocks, query)
+    if not bounds.n:
+        return block_postings(blocks.limit(0)).select("doc_id")
+    held = filter_terms(blocks, words)
+    held = held.where((F.col("last_id") >= bounds.low) & (F.col("first_id") <= bounds.high))
+    others = [word for word in words if word not in bounds.cover]
+    if others and may_broadcast(bounds.n * len(others)) and 2 * bounds.n < bounds.rows:
+        rare = block_postings(filter_terms(held, sorted(bounds.cover)))
+        docs = write_ids(rare.select("doc_id"))
+        common = block_postings(blocks_of(held, docs.ids, others))
+        hits = rare.unionByName(common.join(F.broadcast(docs.ids), "doc_id", "left_semi"))
+    else:
+        hits = block_postings(held)
+    seen, flag = _flags(hits.where(F.col("doc_id").between(bounds.low, bounds.high)), words)
+    return seen.where(condition(query.postfix, flag.__getitem__)).select("doc_id")
+
+
 def matched_terms(postings: DataFrame, words: list[str]) -> DataFrame:
     """Per document, the sorted list of the words it contains: ``(doc_id, terms)``."""
     words = sorted(set(words))

@@ -6,18 +6,17 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termsift.cluster import path_exists
 from termsift.functions.queries import as_query
 from termsift.functions.snippets import best_hits, highlight, title_or_plain
 from termsift.functions.words import STOP_WORDS
 from termsift.operators.boolean import boolean_search, reach
-from termsift.operators.doc_sets import in_runs, keep_documents, write_ids
+from termsift.operators.doc_sets import DocSet, in_runs, keep_documents, write_ids
 from termsift.operators.fetch import fetch_articles, matched_files, placed_ids
 from termsift.schemas import RESULTS
 from termsift.sources.lines import read_articles, read_file_ranges, read_index_shards
 
-#: File names that may be listed on the driver to open only those files.
-MAX_LISTED_FILES = 10_000
+#: File names that a predicate on names may have; beyond it, all files are opened.
+MAX_LISTED_FILES = 1000
 
 
 def snippet_words(query: str) -> list[str]:
@@ -59,6 +58,12 @@ def _no_results(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], RESULTS)
 
 
+def find_matches(postings: DataFrame, query: str) -> DocSet:
+    """The documents of a query, computed once and written."""
+    bounds = reach(postings, query)
+    return write_ids(boolean_search(postings, query, bounds) if bounds.n else postings.limit(0))
+
+
 def search(
     articles: DataFrame,
     postings: DataFrame,
@@ -66,6 +71,7 @@ def search(
     drop_empty_snippet: bool = True,
     ordered: bool = True,
     ranges: DataFrame | None = None,
+    matches: DocSet | None = None,
 ) -> DataFrame:
     """Articles that satisfy a query, with highlighted title and snippet.
 
@@ -77,15 +83,13 @@ def search(
     A document is dropped when its content has none of the positive words, unless
     ``drop_empty_snippet`` is false. ``ordered`` sorts by document id; leave it out when writing a
     large result. With ``ranges``, articles have a ``file``, and an article is found only in the
-    file of the range its id lies in, see ``fetch_articles``.
+    file of the range its id lies in, see ``fetch_articles``. ``matches`` are the documents of
+    the query where they are known already.
     """
     words = snippet_words(query)
     if drop_empty_snippet and not words:
         return _no_results(articles.sparkSession)
-    bounds = reach(postings, query)
-    if not bounds.n:
-        return _no_results(articles.sparkSession)
-    docs = write_ids(boolean_search(postings, query, bounds))
+    docs = matches or find_matches(postings, query)
     if not docs.n:
         return _no_results(articles.sparkSession)
     if ranges is None:
@@ -118,20 +122,19 @@ def search_files(
 ) -> DataFrame:
     """Search over text files: index shards, a range file and a folder of article files.
 
-    Only the shards of the search words and the article files that hold matches are opened. A
-    file that the ranges name and the folder does not have holds no articles.
+    Only the shards of the search words are opened. Article files without matches are skipped by a
+    predicate on their names, where these are few enough for one; the ranges decide in any case.
+    A file that the ranges name and the folder does not have holds no articles.
     """
     compiled = as_query(query)
     postings = read_index_shards(spark, index_dir, sorted(set(compiled.words)))
     ranges = read_file_ranges(spark, ranges_path)
-    files = matched_files(boolean_search(postings, compiled), ranges)
+    matches = find_matches(postings, query)
+    files = matched_files(matches.ids, ranges) if matches.n else ranges.select("file").limit(0)
     names = [row["file"] for row in files.limit(MAX_LISTED_FILES + 1).collect()]
     if not names:
         return _no_results(spark)
-    paths = [articles_dir]
-    if len(names) <= MAX_LISTED_FILES:  # open only these; the ranges decide in any case
-        paths = [f"{articles_dir}/{name}" for name in sorted(names)]
-        paths = [path for path in paths if path_exists(spark, path)]
-        if not paths:
-            return _no_results(spark)
-    return search(read_articles(spark, paths), postings, query, ranges=ranges, **options)
+    articles = read_articles(spark, articles_dir)
+    if len(names) <= MAX_LISTED_FILES:
+        articles = articles.where(F.col("file").isin(sorted(names)))
+    return search(articles, postings, query, ranges=ranges, matches=matches, **options)

@@ -1,6 +1,13 @@
 """Declared schemas of every table the package reads or writes."""
 
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import (
+    ArrayType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 
 def _struct(*fields: tuple) -> StructType:
@@ -12,6 +19,17 @@ LINES = _struct(("value", StringType()))
 #: One row per (term, document) pair; ``prefix`` is the partition column.
 POSTINGS = _struct(("term", StringType()), ("doc_id", LongType()), ("prefix", StringType()))
 
+#: Runs of the ids of a term; ``offsets`` are from ``first_id``, ``prefix`` is the partition column.
+BLOCKS = _struct(
+    ("term", StringType()),
+    ("shift", IntegerType()),
+    ("first_id", LongType()),
+    ("last_id", LongType()),
+    ("n", IntegerType()),
+    ("offsets", ArrayType(LongType())),
+    ("prefix", StringType()),
+)
+
 ARTICLES = _struct(
     ("doc_id", LongType()),
     ("url", StringType()),

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termsift.cluster import path_exists
+from termsift.cluster import drop_scratch, path_exists, rename_folders
 from termsift.functions.words import term_prefix
 from termsift.schemas import FILE_RANGES, LINES
 
@@ -66,6 +66,26 @@ def index_lines(postings: DataFrame, ids_per_line: int = 1000) -> DataFrame:
     )
 
 
+def write_index_shards(postings: DataFrame, path: str, ids_per_line: int = 1000) -> None:
+    """Write postings as text shards, one folder per prefix; fails when the path exists.
+
+    One job writes all shards below a hidden folder, with large prefixes cut into several files and
+    lines sorted; each shard then gets its name by a rename, and none of them is there half.
+    """
+    spark = postings.sparkSession
+    if path_exists(spark, path):
+        raise FileExistsError(path)
+    lines = index_lines(postings, ids_per_line)
+    lines = lines.withColumn("shard", F.concat(F.lit(INDEX_SHARD), "prefix")).drop("prefix")
+    dealt = lines.hint("rebalance", "shard").sortWithinPartitions("shard", "value")
+    hidden = f"{path}/_writing"
+    try:
+        dealt.write.partitionBy("shard").text(hidden)
+        rename_folders(spark, hidden, "shard=", path)
+    finally:
+        drop_scratch(spark, hidden)
+
+
 def read_index_shards(spark: SparkSession, path: str, words: list[str]) -> DataFrame:
     """Postings of some words from text shards; only the shards of their prefixes are opened.
 

@@ -6,7 +6,7 @@ from test_query_language import evaluate, random_query
 
 from termsift import cluster
 from termsift.functions.queries import AND, AND_NOT, OR, compile_query, fold
-from termsift.operators.boolean import boolean_search, boolean_search_batch, matched_terms, reach
+from termsift.operators.boolean import _of_candidates, boolean_search, boolean_search_batch, matched_terms, reach
 from termsift.operators.sets import bool_and, bool_and_not, bool_or, no_match, sort_doc_ids
 from termsift.schemas import LINES, QUERIES
 from termsift.sources.lines import parse_postings
@@ -133,3 +133,17 @@ def test_batch_candidates_come_from_the_rare_word(spark):
     queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
     found = boolean_search_batch(postings, queries)
     assert sorted(map(tuple, found.collect())) == [(q, d) for q in (0, 1, 3) for d in (3, 4)]
+
+
+@pytest.mark.parametrize("size, kept", [(64 << 20, 4), (5000, 5), (0, 2003)])
+def test_postings_of_candidates_only_are_shuffled(spark, monkeypatch, size, kept):
+    """By word and document; by document where bitmaps per word are too large; else all."""
+    monkeypatch.setattr(cluster, "BROADCAST_BYTES", size)
+    rows = [("common", k, "co") for k in range(2000)] + [("rare", k, "ra") for k in (3, 4, 90)]
+    postings = spark.createDataFrame(rows, "term string, doc_id long, prefix string")
+    asked = [(1, 3, 0, "co", "common"), (1, 4, 0, "co", "common"), (2, 3, 1, "ra", "rare"), (2, 4, 1, "ra", "rare"), (2, 9, 1, "ra", "rare")]
+    asked = spark.createDataFrame(asked, "query_id long, doc_id long, slot int, prefix string, term string")
+    found = _of_candidates(postings, asked)
+    assert found.columns == postings.columns and found.count() == kept
+    wanted = [("common", 3), ("common", 4), ("rare", 3), ("rare", 4)]
+    assert {(r.term, r.doc_id) for r in found.collect()} >= set(wanted)

@@ -1,7 +1,7 @@
 import pytest
 from data import ARTICLE_LINES, INDEX, INDEX_LINES, RANGES
 
-from termsift.schemas import ARTICLES, LINES
+from termsift.schemas import ARTICLES, LINES, POSTINGS
 from termsift.sources.index import (
     build_file_ranges,
     build_postings,
@@ -21,6 +21,7 @@ from termsift.sources.lines import (
     read_file_ranges,
     read_index_shards,
     read_lines,
+    write_index_shards,
 )
 
 PAIRS = {(term, i, term[:2]) for term, ids in INDEX.items() for i in ids}
@@ -146,3 +147,27 @@ def test_existing_output_is_kept(spark, tmp_path, path):
             write_postings(build_postings(articles), str(tmp_path / path))
         else:
             write_articles(articles, str(tmp_path / path))
+
+
+def test_written_index_shards(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    rows = [("common", k) for k in range(5000)] + [("cat", 3), ("cat", 4), ("c", 9), ("école", 2), ("dog", -1)]
+    postings = spark.createDataFrame([(t, d, t[:2]) for t, d in rows], POSTINGS)
+    write_index_shards(postings, path, ids_per_line=100)
+    assert sorted(p.name for p in (tmp_path / "shards").iterdir()) == [
+        "invertedindex_c", "invertedindex_ca", "invertedindex_co", "invertedindex_do", "invertedindex_éc",
+    ]
+    found = read_index_shards(spark, path, ["cat", "common", "école", "dog", "c", "zzzz"])
+    assert sorted((r.term, r.doc_id) for r in found.collect()) == sorted(rows)
+    assert max(len(r.value.split()) for r in read_lines(spark, path + "/*").collect()) <= 101
+    with pytest.raises(FileExistsError):
+        write_index_shards(postings, path)
+
+
+def test_shards_that_fail_leave_nothing(spark, tmp_path):
+    postings = spark.range(3).selectExpr(
+        "'ab' AS term", "cast(raise_error('broken') AS bigint) AS doc_id", "'ab' AS prefix"
+    )
+    with pytest.raises(Exception, match="broken"):
+        write_index_shards(postings, str(tmp_path / "shards"))
+    assert not [p for p in (tmp_path / "shards").glob("*")]
