@@ -16,7 +16,10 @@ half of the grid. The codebooks are fitted to a bounded sample, the grid holds e
 
 Copies of a vector are one entry with its smallest ids, one more than a query can return: no others
 can be among the nearest. Entries are dealt into blocks of cells of bounded size; a block is held by
-one task while the queries that meet it stream past, and returns only the best of each.
+one task while the queries that meet it stream past, and returns only the best of each. By the same
+estimate a query has a bound that a few times the wanted number should pass, so that what it gets
+back does not grow with the blocks; queries for which the bound was too high go a second time
+without one.
 
 Nulls, ties, repeats: vectors that are null, empty, zero, hold null or non-finite components or have
 another length than most, and rows without an id, take no part; equal scores are ordered by id;
@@ -55,7 +58,10 @@ ROUNDS = 10
 MISSED = 0.05
 
 #: Entries of a block that a task holds, about; and queries that are compared at once.
-BLOCK, QUERIES = 2048, 256
+BLOCK, QUERIES = 1024, 256
+
+#: A block returns what is beyond the bound that so many times the wanted ones are expected to pass.
+PASSING = 5
 
 #: Copies of a vector from which it is counted as common, and the parts its rows are dealt into.
 COMMON, PARTS = 1000, 12
@@ -121,30 +127,42 @@ def normal_below(z: np.ndarray) -> np.ndarray:
     return np.where(z < 0, tail, 1 - tail)
 
 
-def expected_hits(grid: Grid, counts: np.ndarray, query: np.ndarray, wanted: int) -> np.ndarray:
-    """How many of a query's nearest each pair of centroids is expected to hold."""
+class Odds(NamedTuple):
+    """Mean and spread of the inner products of a query with the vectors of cells, and their number."""
+
+    mean: np.ndarray
+    spread: np.ndarray
+    weight: np.ndarray
+
+    def beyond(self, bound: float) -> np.ndarray:
+        """How many of each cell are expected beyond a bound."""
+        return self.weight * normal_below((self.mean - bound) / self.spread)
+
+    def bound(self, number: float) -> float:
+        """The inner product that so many are expected to pass."""
+        low, high = float((self.mean - 9 * self.spread).min()), float((self.mean + 9 * self.spread).max())
+        for _ in range(18):
+            middle = (low + high) / 2
+            low, high = (middle, high) if self.beyond(middle).sum() > number else (low, middle)
+        return low
+
+
+def odds(grid: Grid, counts: np.ndarray, query: np.ndarray) -> Odds:
     there = counts > 0
     pair = lambda parts: (parts[0][:, None] + parts[1][None])[there]
-    mean, weight = -pair(grid.distances(query)), counts[there]
+    mean = -pair(grid.distances(query))
     spread = np.sqrt(pair(grid.spread(query))) + 1e-9 * (1 + np.abs(mean))
-    low, high = float((mean - 9 * spread).min()), float((mean + 9 * spread).max())
-    for _ in range(18):  # the inner product beyond which as many as wanted are expected
-        middle = (low + high) / 2
-        if (weight * normal_below((mean - middle) / spread)).sum() > wanted:
-            low = middle
-        else:
-            high = middle
-    out = np.zeros(counts.shape)
-    out[there] = weight * normal_below((mean - low) / spread)
-    return out
+    return Odds(mean, spread, counts[there])
 
 
 def walk(
     grid: Grid, counts: np.ndarray, query: np.ndarray, wanted: int, missed: float = MISSED
-) -> list[int]:
-    """Cells with entries for a query, by summed distance, as far as it has to go."""
+) -> tuple[list[int], float]:
+    """Cells with entries for a query, by summed distance, as far as it has to go; and its bound."""
     first, second = grid.distances(query)
-    hits = expected_hits(grid, counts, query, wanted)
+    own = odds(grid, counts, query)
+    hits = np.zeros(counts.shape)
+    hits[counts > 0] = own.beyond(own.bound(wanted))
     enough = (1 - missed) * hits.sum()
     rows, columns = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
     d1, d2 = first[rows].tolist(), second[columns].tolist()
@@ -164,7 +182,7 @@ def walk(
             seen += held[a][b]
             if met >= enough and seen > wanted:
                 break
-    return out
+    return out, own.bound(PASSING * wanted)
 
 
 def fit_grid(entries: DataFrame, n: int, seed: int = 5) -> Grid:
@@ -245,7 +263,10 @@ def blocks_of(counts: np.ndarray, size: int = BLOCK) -> Blocks:
 # -- search ---------------------------------------------------------------------------------------
 
 
-def _walks(queries: DataFrame, grid: Grid, counts: np.ndarray, blocks: Blocks, wanted: int, missed: float):
+def _walks(
+    queries: DataFrame, grid: Grid, counts: np.ndarray, blocks: Blocks, wanted: int, missed: float,
+    bounded: bool,
+) -> DataFrame:
     """Queries by the blocks they meet, with the cells they meet there."""
     shared = queries.sparkSession.sparkContext.broadcast((grid, counts, blocks))
 
@@ -255,7 +276,8 @@ def _walks(queries: DataFrame, grid: Grid, counts: np.ndarray, blocks: Blocks, w
         for batch in batches:
             vectors = matrix(batch.column("vector"))
             for at in range(batch.num_rows):
-                cells = np.array(walk(grid, counts, vectors[at], wanted, missed))
+                found, bound = walk(grid, counts, vectors[at], wanted, missed)
+                cells = np.array(found)
                 row = cells // width
                 block, inside = np.unique(blocks.first[row], return_inverse=True)
                 order = np.argsort(inside, kind="stable")
@@ -272,13 +294,14 @@ def _walks(queries: DataFrame, grid: Grid, counts: np.ndarray, blocks: Blocks, w
                         pa.array(target, pa.int32()), pa.array(np.full(len(target), _QUERY), pa.int32()),
                         one.column("vector").take(taken), one.column("ids").take(taken),
                         pa.array(lists, pa.list_(pa.int32())),
+                        pa.array(np.full(len(target), bound if bounded else -np.inf)),
                     ],
-                    names=["block", "kind", "vector", "ids", "cells"],
+                    names=["block", "kind", "vector", "ids", "cells", "bound"],
                 )
 
     kind = queries.schema["vector"].dataType.simpleString()
     ids = queries.schema["ids"].dataType.simpleString()
-    return queries.mapInArrow(go, f"block int, kind int, vector {kind}, ids {ids}, cells array<int>")
+    return queries.mapInArrow(go, f"block int, kind int, vector {kind}, ids {ids}, cells array<int>, bound double")
 
 
 def _pick(scores: np.ndarray, allowed: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
@@ -292,12 +315,17 @@ def _pick(scores: np.ndarray, allowed: np.ndarray, wanted: int) -> tuple[np.ndar
 
 
 def best_of(
-    queries: np.ndarray, own: np.ndarray, allowed: np.ndarray, entries: np.ndarray, ids: list[np.ndarray],
-    wanted: int,
+    queries: np.ndarray, own: np.ndarray, bound: np.ndarray, allowed: np.ndarray, entries: np.ndarray,
+    ids: list[np.ndarray], wanted: int,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, id, score) of the best ``wanted`` candidates of each query; its own id is none."""
+    """(query, id, score) of the best ``wanted`` candidates of each query that pass its bound.
+
+    The query's own id is none of them.
+    """
+    scores = queries @ entries.T
+    allowed = allowed & (scores >= bound[:, None])
     # one entry may hold nothing but the query's own id
-    q, e = _pick(queries @ entries.T, allowed, wanted + 1)
+    q, e = _pick(scores, allowed, wanted + 1)
     parts = [np.arange(0)], [np.arange(0)], [np.zeros(0)]
     for at in range(0, len(q), 1 << 16):
         # summed row by row, so that copies have the very same score wherever they stand
@@ -351,7 +379,10 @@ def _rerank(batches: Iterator[pa.RecordBatch], wanted: int) -> Iterator[pa.Recor
                 visited[rows[hit], place[hit]] = True
                 own = np.array([i[0] for i in own_ids.to_pylist()], np.int64)
                 queries = matrix(part.column("vector"))
-                query, candidate, score = best_of(queries, own, visited[:, cell], entries, ids, wanted)
+                bound = part.column("bound").to_numpy()
+                query, candidate, score = best_of(
+                    queries, own, bound, visited[:, cell], entries, ids, wanted
+                )
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(own[query]), part.column("key").take(pa.array(query)),
@@ -392,13 +423,25 @@ def nearest_neighbours(
         dealt.cast("int").alias("block"), F.lit(_ENTRY).alias("kind"), "vector", "ids",
         F.array("cell").alias("cells"),
     )
+    held = held.withColumn("bound", F.lit(None).cast("double"))
     queries = rows.where("_query").select("vector", F.array("id").alias("ids")).distinct()
-    both = held.unionByName(_walks(queries, grid, counts, blocks, wanted, missed))
-    both = both.withColumn("key", F.xxhash64("vector"))
-    sorted_ = both.repartition("block").sortWithinPartitions("block", "kind")
-    best = sorted_.mapInArrow(
-        lambda batches: _rerank(batches, wanted), "query_id bigint, key bigint, vec_id bigint, score double"
-    )
+    queries = stored(queries.withColumn("key", F.xxhash64("vector")), "queries")
     order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wanted)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+
+    def ranked(some: DataFrame, bounded: bool) -> DataFrame:
+        walks = _walks(some.select("vector", "ids"), grid, counts, blocks, wanted, missed, bounded)
+        both = held.unionByName(walks).withColumn("key", F.xxhash64("vector"))
+        dealt = both.repartition("block").sortWithinPartitions("block", "kind")
+        best = dealt.mapInArrow(
+            lambda batches: _rerank(batches, wanted), "query_id bigint, key bigint, vec_id bigint, score double"
+        )
+        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wanted)
+
+    found = stored(ranked(queries, True), "nearest")
+    # the bound was too high for queries that have too few; theirs are sought without one
+    full = found.where(F.col("rank") == wanted).select(F.array("query_id").alias("ids"), "key")
+    rest = stored(queries.join(full, ["ids", "key"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        short = rest.select(F.element_at("ids", 1).alias("query_id"), "key")
+        found = found.join(short, ["query_id", "key"], "left_anti").unionByName(ranked(rest, False))
+    return found.select("query_id", "rank", "vec_id", "score")

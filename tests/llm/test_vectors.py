@@ -142,7 +142,7 @@ def test_clusters_are_not_walked_through(spark):
     entries = spark.createDataFrame([(v.tolist(),) for v in x], "vector array<double>")
     grid = mi.fit_grid(entries, len(x))
     counts = np.bincount(grid.cells(x), minlength=len(grid.books[0]) ** 2).reshape(len(grid.books[0]), -1)
-    walked = [counts.ravel()[mi.walk(grid, counts.astype(float), x[k], 20)].sum() for k in range(50)]
+    walked = [counts.ravel()[mi.walk(grid, counts.astype(float), x[k], 20)[0]].sum() for k in range(50)]
     assert np.mean(walked) < 0.2 * len(x)
 
 
@@ -169,6 +169,19 @@ def test_common_vectors_keep_their_smallest_ids(spark, monkeypatch):
     assert own[1.0, 2.0] == list(range(1, 22)) and len(own) == 31
 
 
+def test_bounds_only_save_rows(spark, monkeypatch):
+    """What a query gets back does not depend on its bound, be it too high for all or for some."""
+    rng = np.random.default_rng(9)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.normal(size=(600, 6)))]
+    docs = table(spark, rows)
+    results = []
+    for passing in (5, 1, 0.01, 1e9):
+        monkeypatch.setattr(mi, "PASSING", passing)
+        found = mi.nearest_neighbours(docs, F.col("vec_id") % 20 == 0).collect()
+        results.append(sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found))
+    assert len(results[0]) == 600 and all(r == results[0] for r in results)
+
+
 def test_rows_of_the_grid_are_dealt_into_blocks():
     counts = np.zeros((6, 2), np.int64)
     counts[:, 0] = [10, 20, 250, 5, 5, 90]
