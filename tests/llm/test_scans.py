@@ -96,42 +96,99 @@ def sides(spark):
     return spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, n string")
 
 
-def brute_audit(a, b):
-    out = set()
-    key = lambda rows, k: sorted((r.record for r in rows if r.id == k), key=bytes)
-    for k in {r.id for r in a} | {r.id for r in b}:
-        x, y = key(a, k), key(b, k)
-        if x != y:
-            kind = "missing" if not y else "extra" if not x else "changed"
-            out.add((None if k == fixity.NO_ID else k, kind, len(x) or None, len(y) or None))
-    return out
-
-
-def test_audit_against_brute_force(spark):
-    pages = sides(spark)
-    a = fixity.warc_records(pages)
-    other = pages.where("page_id is null or page_id % 97 != 5").withColumn(
-        "html", F.when(F.col("page_id").isin(5, 6, 2000) | F.col("page_id").isNull(), "y").otherwise(F.col("html"))
-    )
-    b = fixity.warc_records(other.union(spark.createDataFrame([(10**12, "far", "z", "x")], pages.schema)))
-    found = {(r.id, r.kind, r.n_a, r.n_b) for r in fixity.audit(a, b).collect()}
-    assert found == brute_audit(a.collect(), b.collect()) and len(found) > 5
-
-
-def test_equal_and_empty_replicas(spark):
-    a = fixity.warc_records(sides(spark))
+def replica(spark, files):
+    """Files as lists of (id, content) or of a number of bytes that belong to no record."""
+    rows = []
+    for number, own in files.items():
+        at = 0
+        for entry in own:
+            if isinstance(entry, int):
+                at += entry
+                continue
+            rows.append((number, at, entry[0], entry[1].encode()))
+            at += len(entry[1])
+    return spark.createDataFrame(rows, "file long, offset long, id long, record binary")
+
+
+def files_of(seed=0, per_file=120):
+    rnd = random.Random(seed)
+    return {
+        f: [(1000 * f + k, f"record {f} {k} " + "x" * rnd.randint(0, 3000)) for k in range(per_file)]
+        for f in (-3, 0, 1, 2, 40)
+    }
+
+
+def found(spark, a, b):
+    return {(r.id, r.kind) for r in fixity.audit(replica(spark, a), replica(spark, b)).collect()}
+
+
+def test_every_kind_of_damage_is_located(spark):
+    a, b = files_of(), files_of()
+    assert found(spark, a, b) == set()
+    b[0][10], b[0][11] = b[0][11], b[0][10]  # swapped
+    b[1][5] = (1005, b[1][5][1][:-7])  # truncated
+    b[1][50] = (1050, "?" + b[1][50][1][1:])  # another byte
+    del b[2][20]  # lost
+    b[2].insert(60, (2999, "added"))
+    b[40].append(b[-3].pop(30))  # into another file
+    b[40].insert(70, 512)  # bytes of no record
+    swapped = {(k, "moved") for k in (10, 11, 12)}
+    # of a record that went to another file, the one behind it follows another one, too
+    assert found(spark, a, b) == swapped | {
+        (1005, "changed"), (1050, "changed"), (2020, "missing"), (2999, "extra"),
+        (-2970, "moved"), (-2969, "moved"), (40070, "shifted"),
+    }
+    rows = {r.id: r for r in fixity.audit(replica(spark, a), replica(spark, b)).collect()}
+    assert rows[1005].bytes_b == rows[1005].bytes_a - 7 and rows[1005].offset_a == rows[1005].offset_b
+    assert (rows[-2970].file_a, rows[-2970].file_b) == (-3, 40)
+
+
+def test_records_that_moved_together(spark):
+    a, b = files_of(1), files_of(1)
+    b[0][40:40] = [b[0].pop(3) for _ in range(5)]  # records 3 to 7 behind record 44
+    assert found(spark, a, b) == {(3, "moved"), (8, "moved"), (45, "moved")}
+
+
+def test_an_added_record_is_not_held_against_those_behind_it(spark):
+    a, b = files_of(2), files_of(2)
+    b[0].insert(0, (999, "first"))
+    assert found(spark, a, b) == {(999, "extra")}
+    del a[0][100]
+    assert found(spark, a, b) == {(999, "extra"), (100, "extra")}
+
+
+def test_only_ranges_that_differ_are_left(spark):
+    a, b = files_of(3, 400), files_of(3, 400)
+    b[1][200] = (1200, "!" + b[1][200][1][1:])
+    sides_ = [fixity.digests(replica(spark, x)) for x in (a, b)]
+    bad = fixity.differing_ranges(*sides_).collect()
+    at = sum(len(text) for _, text in a[1][:200])
+    assert [(r.file, r.part) for r in bad] == [(1, at >> fixity.RANGE_BITS)]
+    leaf = fixity.ranges(sides_[0])
+    levels = fixity.tree(leaf, fixity.steps([leaf]))
+    sizes = [level.count() for level in levels]
+    assert sizes == sorted(sizes, reverse=True) and sizes[0] > 30 and sizes[-1] <= 2
+
+
+def test_pages_against_a_copy(spark):
+    a = fixity.place_records(fixity.warc_records(sides(spark)))
     assert fixity.audit(a, a.orderBy(F.rand())).count() == 0
     none = a.where("false")
     assert fixity.audit(none, none).count() == 0
-    kinds = {r.kind for r in fixity.audit(a, none).select("kind").distinct().collect()}
-    assert kinds == {"missing"}
-
-
-def test_only_branches_that_differ_are_left(spark):
-    a = fixity.leaves(fixity.warc_records(sides(spark).where("page_id is not null")))
-    levels = fixity.tree(a)
-    assert levels[-1].count() <= 2 and all(x.count() > y.count() for x, y in zip(levels, levels[1:], strict=False))
-
+    for pair, kind in (((a, none), "missing"), ((none, a), "extra")):
+        rows = fixity.audit(*pair).collect()
+        assert {r.kind for r in rows} == {kind} and len(rows) == sides(spark).count()
+        assert sum(r.id is None for r in rows) == 2
+    other = sides(spark).where("page_id is null or page_id % 97 != 5").withColumn(
+        "html", F.when(F.col("page_id").isin(5, 6, 2000) | F.col("page_id").isNull(), "y").otherwise(F.col("html"))
+    )
+    b = fixity.place_records(fixity.warc_records(other))
+    rows = [(r.id, r.kind) for r in fixity.audit(a, b).collect()]
+    ids = [*range(-40, 2100, 3), 6, 6]
+    lost = [k for k in ids if k % 97 == 5]
+    changed = [k for k in ids if k in (5, 6, 2000) and k not in lost] + [None, None]
+    wanted = [(k, "missing") for k in lost] + [(k, "changed") for k in changed]
+    assert sorted(rows, key=str) == sorted(wanted, key=str)
 
 
 def test_record_is_a_warc_record(spark):
