@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termsift.cluster import scratch_dir
-from termsift.llm import collocations, fixity, licenses
+from termsift.llm import collocations, fixity, licenses, sql
 from termsift.llm.common import crc_split, read
 from termsift.llm.decontamination import find_spans
 from termsift.llm.embedding_dedup import near_duplicates
@@ -117,7 +117,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_embedding_dedup": sql.EMBEDDING_DEDUP,
         "op2_warc_fixity": fixity.ORACLE,
+        "op4_ngram_join": sql.NGRAM_JOIN,
+        "op5_benchmark_decontamination": sql.DECONTAMINATION,
         "op9_license_scan": licenses.oracle(),
         "op11_collocations": collocations.ORACLE,
     }
