@@ -29,7 +29,13 @@ from termsift.operators.boolean import (
     boolean_search_blocks,
     matched_terms,
 )
-from termsift.operators.counts import split_lines, split_words, terms_by_prefix, word_count
+from termsift.operators.counts import (
+    split_lines,
+    split_words,
+    term_chunks,
+    terms_by_prefix,
+    word_count,
+)
 from termsift.operators.fetch import doc_file_ranges, fetch_articles, matched_files
 from termsift.operators.sets import (
     bool_and,
@@ -449,6 +455,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # Aggregations
         "word_count": _word_counts,
         "terms_by_prefix": _terms_by_prefix,
+        "term_chunks": lambda spark, sf: term_chunks(build_postings(documents(spark, sf))).select(
+            "prefix", F.explode("terms").alias("term")
+        ),
         "matched_terms": _matched_terms,
         "matched_files": lambda spark, sf: matched_files(
             _grouped_hits(spark, sf), _ranges(spark, sf)
@@ -746,6 +755,7 @@ SELECT query_id, doc_id FROM seen WHERE CASE shape
 SELECT query_id, substring(term, 1, 2) AS prefix, string_agg(term, ' ' ORDER BY term) AS terms
 FROM (SELECT query_id, unnest(list_distinct([w1, w2, w3, w4])) AS term FROM shaped)
 GROUP BY ALL""",
+        "term_chunks": f"{_with()}\nSELECT DISTINCT prefix, term FROM postings",
         "matched_terms": f"{_with()}\nSELECT doc_id, string_agg(term, ' ' ORDER BY term) AS terms"
         f" FROM postings WHERE term IN ({_list(WORDS)}) GROUP BY doc_id",
         "matched_files": f"{grouped}\nSELECT DISTINCT file FROM hits JOIN file_of USING (doc_id)",

@@ -7,7 +7,7 @@ from termsift.operators.boolean import (
     boolean_search_blocks,
     matched_terms,
 )
-from termsift.operators.counts import split_words, terms_by_prefix, word_count
+from termsift.operators.counts import split_words, term_chunks, terms_by_prefix, word_count
 from termsift.operators.fetch import doc_file_ranges, fetch_articles, matched_files
 from termsift.operators.sets import bool_and, bool_and_not, bool_or, no_match, sort_doc_ids
 from termsift.plans.search import search, search_files
@@ -51,6 +51,7 @@ __all__ = [
     "search_files",
     "sort_doc_ids",
     "split_words",
+    "term_chunks",
     "terms_by_prefix",
     "word_count",
     "word_count_job",

@@ -12,8 +12,9 @@ BROADCAST_BYTES = 64 << 20
 #: What a row of a few numbers takes in a broadcast table, texts aside.
 _ROW_BYTES = 64
 
-#: Pieces into which a key is cut when the other side is too large to broadcast.
-SALTS = 32
+#: Rows of a piece, about, into which a common key is cut when the other side is too large to
+#: broadcast; and pieces at most.
+PIECE_ROWS, MOST_PIECES = 1_000_000, 1024
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -84,10 +85,31 @@ def join_lookup(
     """Inner or left join of many rows with a lookup table, safe for keys that hold most rows.
 
     A lookup that was found small is broadcast and the rows stay where they are. A larger one is
-    joined by a shuffle in which every key is cut into salted pieces.
+    joined by a shuffle. The rows of each key are counted for it, and a key with many is cut into
+    as many pieces as it has use for; only the lookups of such keys are copied.
     """
     if small:
         return rows.join(F.broadcast(lookup), keys, how)
-    pieces = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
-    return salted.join(lookup.withColumn("_salt", pieces), [*keys, "_salt"], how).drop("_salt")
+    cut = common_keys(rows, keys)
+    if cut is None:
+        return rows.join(lookup, keys, how)
+    pieces = F.coalesce("_pieces", F.lit(1))
+    salted = rows.join(cut, keys, "left")
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64(salt_by), pieces).cast("int"))
+    copies = lookup.join(cut, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    joined = salted.drop("_pieces").join(copies.drop("_pieces"), [*keys, "_salt"], how)
+    return joined.drop("_salt")
+
+
+def common_keys(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Keys with more rows than a piece, and their ``_pieces``; None where there are none.
+
+    Counted before the shuffle. There is less than one such key for every ``PIECE_ROWS`` rows.
+    """
+    pieces = F.ceil(F.col("count") / PIECE_ROWS).cast("int")
+    counted = rows.groupBy(*keys).count().where(F.col("count") > PIECE_ROWS)
+    counted = counted.select(*keys, F.least(pieces, F.lit(MOST_PIECES)).alias("_pieces"))
+    spark = rows.sparkSession
+    cut = spark.read.schema(counted.schema).parquet(write_scratch(counted, "common"))
+    n = cut.count()
+    return (F.broadcast(cut) if may_broadcast(n) else cut) if n else None
