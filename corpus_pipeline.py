@@ -5,8 +5,9 @@ written as Parquet and read again as the next one's ``docs``. All stages but the
 columns of ``docs``.
 
 Nulls, ties, repeats: rows without text or id pass the filters as their scores say and are no
-duplicates of anything; the operators in ``termsift.llm`` tell the rest. Extra columns pass
-through, also under the names of scores.
+duplicates of anything; of equal texts the smallest id stays; very long texts go through all stages
+whole and are cut only when they are packed; an empty table gives an empty result. The operators in
+``termsift.llm`` tell the rest. Extra columns pass through, also under the names of scores.
 """
 
 from __future__ import annotations
