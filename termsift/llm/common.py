@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +19,59 @@ from termsift.cluster import drop_scratch, may_broadcast, write_scratch
 SLICE_BYTES = 1 << 20
 
 
-def stored(table: DataFrame, name: str) -> DataFrame:
-    """The table, written to the shared scratch folder and read back: its lineage ends there."""
-    return table.sparkSession.read.schema(table.schema).parquet(write_scratch(table, name))
+#: Bytes of a batch that goes to Python while a table is written for later steps.
+BATCH_BYTES = 8 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+_folders: ContextVar[list[str] | None] = ContextVar("folders", default=None)
+
+
+def stored(table: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """The table, written to the shared scratch folder and read back: its lineage ends there.
+
+    Inside ``scratch_dropped`` the folder goes at the end, unless the result still reads it.
+    """
+    path = written(table, name)
+    folders = _folders.get()
+    if folders is not None and not keep:
+        folders.append(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def written(table: DataFrame, name: str) -> str:
+    """Path of the table in the scratch folder; its rows went to Python in small batches."""
+    spark = table.sparkSession
+    usual = spark.conf.get(_BATCHES)
+    small_batches(spark)
+    try:
+        return write_scratch(table, name)
+    finally:
+        spark.conf.set(_BATCHES, usual)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on, rows of long texts or sets go to Python in batches of few megabytes."""
+    spark.conf.set(_BATCHES, str(BATCH_BYTES))
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: shuffle files of finished jobs are deleted with it."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+@contextmanager
+def scratch_dropped(spark: SparkSession) -> Iterator[None]:
+    """Drop what ``stored`` writes meanwhile, whether the work ends well or not."""
+    folders: list[str] = []
+    token = _folders.set(folders)
+    try:
+        yield
+    finally:
+        _folders.reset(token)
+        for path in folders:
+            drop_scratch(spark, path)
+        release_shuffles(spark)
 
 
 def free_name(table: DataFrame, name: str) -> str:
@@ -47,6 +103,47 @@ def slices(values, size: Callable = len, limit: int = SLICE_BYTES):
         yield run
 
 
+_tool: dict[tuple, Any] = {}
+
+
+def _release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def worker_tool(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task, made once: one thing at a time.
+
+    A worker serves all stages of an application. What the stage before has kept, a cache of words
+    or of token ids, is given back to the system before the next one fills its own.
+    """
+    if key not in _tool:
+        if _tool:
+            _tool.clear()
+            _release_memory()
+        _tool[key] = make()
+        _release_memory()  # of what making it took
+    return _tool[key]
+
+
+def tidy(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A step over batches that keeps nothing in the worker, neither its own nor of earlier stages."""
+
+    def run(batches: Iterator) -> Iterator:
+        if _tool:
+            _tool.clear()
+            _release_memory()
+        try:
+            yield from step(batches)
+        finally:
+            _release_memory()
+
+    return run
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Connected components of an edge table as (node, root): the root is the smallest node.
 

@@ -15,7 +15,7 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-from termsift.llm.common import slices
+from termsift.llm.common import slices, worker_tool
 
 #: Pieces whose ids a Python worker keeps; beyond it the cache starts anew.
 CACHED_PIECES = 1_000_000
@@ -147,11 +147,6 @@ class Encoder:
         return [np.array(e.ids, "<u2") for e in found]
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, cut: str) -> Encoder:
     """The encoder of a Python worker, loaded once."""
-    if (path, cut) not in _encoders:
-        _encoders[path, cut] = Encoder(path, cut)
-    return _encoders[path, cut]
+    return worker_tool((Encoder, path, cut), lambda: Encoder(path, cut))

@@ -9,12 +9,15 @@ bounded by documents and by windows of a document, which tasks choose; no docume
 
 Nulls, ties, repeats: null and empty texts have one empty window and get a score; null labels and
 null ids are no examples, a document with several labels counts as toxic; rows with the same
-doc_id are scored each for itself, and the least of their texts teaches; extra columns pass through. Without examples of both labels
-the score is 0.5 or, with one label, just beside it.
+doc_id are scored each for itself, and the least of their texts teaches; extra columns pass
+through; an empty table gives an empty table. All windows of a very long text are scored, some
+thousand at a time; of windows of equal score the text has that score. Without examples of both
+labels, as with an empty table of labels, the score is 0.5 or, with one label, just beside it.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termsift.llm.common import crc_split, slices, stored
+from termsift.llm.common import crc_split, slices, stored, worker_tool
 
 WINDOW, STRIDE = 48, 36
 
@@ -450,22 +453,17 @@ def _strengths(network: Network, ids: np.ndarray, distinct: list[bytes]) -> np.n
     return np.concatenate(out)
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def with_toxicity(documents: DataFrame, model: Network | float, column: str = "toxicity") -> DataFrame:
     """Documents with the score of each whole text, from 0 to 1."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    name = uuid.uuid4().hex
     where = documents.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         if isinstance(model, Network):
-            scorer = _scorers.get(id(model))
-            if scorer is None or scorer.network is not model:
-                _scorers.clear()
-                scorer = _scorers[id(model)] = Scorer(model)
+            scorer = worker_tool((Scorer, name), lambda: Scorer(model))
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 rows = batch.slice(at, 1024)
