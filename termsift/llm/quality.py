@@ -3,14 +3,15 @@
 A text becomes a dozen smoothed, transformed statistics. Each class of the labelled documents is a
 normal distribution whose covariance is shrunk towards the pooled one and towards its diagonal.
 Count, sum and products of the statistics are summed over all labelled training documents, in the
-tasks that made them; the driver sees one matrix per task and class. The score is the posterior
+tasks that made them and then by Spark; the driver sees one matrix per class. The score is the posterior
 probability from the difference of the Mahalanobis log densities, by Cholesky factors that are
 computed once and sent along.
 
 Nulls, ties, repeats: null and empty texts have the statistics of no words and get a score; null
 labels and null ids are no examples, a document with several labels counts by its lowest; rows
-with the same doc_id are scored each for itself; extra columns pass through. Without examples of
-both labels the score is a constant.
+with the same doc_id are scored each for itself; extra columns pass through; an empty table gives
+an empty table. A very long text is read whole, by itself. Without examples of both labels, as with
+an empty table of labels, the score is a constant; texts with equal statistics have equal scores.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termsift.llm.common import crc_split
+from termsift.cluster import may_broadcast
+from termsift.llm.common import crc_split, tidy
 
 #: Words of ordinary text that every document is mixed with, so that short ones stay near it.
 SMOOTHING = 20
@@ -120,46 +122,32 @@ def fit_quality(documents: DataFrame, labels: DataFrame) -> Discriminant | float
     known = labels.where("doc_id is not null and quality in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("_label"))
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [statistics(text) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))],
-                names=["doc_id", "x"],
-            )
+    few = may_broadcast(known.count())
+    train = documents.select("doc_id", "text").where(~crc_split(F.col("doc_id"), 3, 1))
+    train = train.join(F.broadcast(known) if few else known, "doc_id").select("text", "_label")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, list] = {}
+        total = np.zeros((2, 1 + _STATISTICS + _STATISTICS**2))
         for batch in batches:
-            x = np.array(batch.column("x").to_pylist()).reshape(-1, _STATISTICS)
-            label = batch.column("_label").to_numpy()
-            for k in np.unique(label).tolist():
-                own = x[label == k]
-                now = total.get(k, [0, 0, 0])
-                new = (len(own), own.sum(axis=0), own.T @ own)
-                total[k] = [a + b for a, b in zip(now, new, strict=True)]
+            labels = batch.column("_label").to_pylist()
+            for text, label in zip(batch.column("text").to_pylist(), labels, strict=True):
+                x = statistics(text)
+                total[label] += np.concatenate(([1.0], x, np.outer(x, x).ravel()))
+        label, place = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(list(total), pa.int32()),
-                pa.array([t[0] for t in total.values()], pa.int64()),
-                pa.array([t[1] for t in total.values()], pa.list_(pa.float64())),
-                pa.array([t[2].ravel() for t in total.values()], pa.list_(pa.float64())),
-            ],
-            names=["label", "n", "s", "p"],
+            [pa.array(label), pa.array(place), pa.array(total[label, place])],
+            names=["label", "place", "value"],
         )
 
-    train = documents.select("doc_id", "text").where(
-        F.col("doc_id").isNotNull() & ~crc_split(F.col("doc_id"), 3, 1)
-    )
-    x = train.mapInArrow(features, "doc_id bigint, x array<double>").join(known, "doc_id")
-    rows = x.select("x", "_label").mapInArrow(
-        sums, "label int, n bigint, s array<double>, p array<double>"
-    )
-    moments: dict[int, tuple] = {}
-    for row in rows.collect():
-        n, s, p = moments.get(row.label, (0, 0, 0))
-        square = np.array(row.p).reshape(_STATISTICS, _STATISTICS)
-        moments[row.label] = (n + row.n, s + np.array(row.s), p + square)
+    parts = train.mapInArrow(tidy(sums), "label bigint, place bigint, value double")
+    table = np.zeros((2, 1 + _STATISTICS + _STATISTICS**2))
+    for row in parts.groupBy("label", "place").agg(F.sum("value").alias("value")).collect():
+        table[row.label, row.place] = row.value
+    moments = {
+        k: (own[0], own[1 : 1 + _STATISTICS], own[1 + _STATISTICS :].reshape(_STATISTICS, -1))
+        for k, own in enumerate(table)
+        if own[0]
+    }
     return discriminant(moments)
 
 
@@ -183,4 +171,4 @@ def with_quality(
                 )
 
     schema = documents.select("*", F.lit(0.0).alias(column)).schema
-    return documents.mapInArrow(score, schema)
+    return documents.mapInArrow(tidy(score), schema)

@@ -237,3 +237,31 @@ def test_languages_of_awkward_texts(spark, spoken):
     none = language.fit_languages(empty(spark))
     assert {r.p for r in language.with_language(awkward(spark), none, "p", "s").collect()} == {"und"}
     assert language.with_language(empty(spark), known, "p", "s").count() == 0
+
+
+def test_scorer_against_plain_windows(monkeypatch):
+    """Cached, sorted and batched windows have the scores of windows run one by one."""
+    rnd, rng = random.Random(3), np.random.default_rng(3)
+    network = toxicity.Network([f"w{k}".encode() for k in range(50)], 5)
+    for name, values in network.p.items():
+        network.p[name] = (values + rng.normal(0, 0.2, values.shape)).astype(np.float32)
+    p = network.p
+
+    def plain(text):
+        words = toxicity._words(text)
+        best = 0.0
+        for start in toxicity.windows_of(len(words)):
+            own = words[start : start + toxicity.WINDOW]
+            x = network.inputs(own) if own else np.zeros((1, 2 * toxicity.DIM), np.float32)
+            mask = np.full((len(x), 1, 1), bool(own))
+            score = network.scores((x @ p["Wf"] + p["cf"])[:, None], (x @ p["Wb"] + p["cb"])[:, None], mask)
+            best = max(best, float(score[0]))
+        return best
+
+    texts = [prose(rnd, n, 90) for n in (1, 5, 47, 48, 49, 84, 85, 300, 2000)] + ["", None, "!?", "ä" * 500]
+    texts += [prose(rnd, rnd.randint(1, 200), 90) for _ in range(60)]
+    monkeypatch.setattr(toxicity, "CACHED_WORDS", 60)  # the cache starts anew on the way
+    scorer = toxicity.Scorer(network)
+    assert np.allclose(scorer(texts), [plain(t) for t in texts], atol=1e-5)
+    assert np.allclose(scorer(texts[::-1]), [plain(t) for t in texts[::-1]], atol=1e-5)
+    assert len({round(plain(t), 3) for t in texts}) > 20
