@@ -98,3 +98,37 @@ def test_empty_tables(spark):
     assert D.remove_spans(docs, none).count() == docs.count()
     assert D.find_spans(empty(spark), benchmark).count() == 0
     assert D.find_spans(docs, none).where("contaminated or n_items > 0").count() == 0
+
+
+def test_items_without_an_id_hit_but_are_not_named(spark):
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"x {text} y"), (2, "else")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, text), (7, text), (None, None)], "item_id long, text string")
+    rows = {r.doc_id: r for r in D.find_spans(docs, items).collect()}
+    assert (rows[1].n_hit, rows[1].n_items, rows[1]["items"]) == (11, 1, ["7"]) and not rows[2].contaminated
+    alone = D.find_spans(docs, items.where("item_id is null")).collect()
+    assert {(r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in alone} == {(1, 11, 0, True), (2, 0, 0, False)}
+
+
+def test_many_blocks_give_what_one_gives(spark, monkeypatch):
+    """With any number of blocks, one at a time in the driver and in a worker."""
+    rnd = random.Random(8)
+    items = [(k, prose(rnd, rnd.choice([3, 12, 25]), 300, "b")) for k in range(60)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    texts = []
+    for _ in range(40):
+        parts = [prose(rnd, rnd.randint(5, 60), 300, "c")]
+        for _, text in rnd.sample(items, rnd.randint(0, 3)):
+            parts += [text, prose(rnd, rnd.randint(0, 40), 300, "c")]
+        texts.append(" ".join(parts))
+    nested = items[1][1].split()
+    texts.append(prose(rnd, 60, 300, "c") + " " + " ".join([*nested[:2], items[0][1], *nested[2:]]))
+    docs = awkward(spark, texts + texts[:3])
+    one = [D.find_spans(docs, benchmark).collect(), D.remove_spans(docs, benchmark).collect()]
+    monkeypatch.setattr(D, "automata", lambda b, w=D.WINDOW, f=D.automata: f(b, w, 150))
+    assert len(D.automata(benchmark)) >= 5
+    many = D.find_spans(docs, benchmark), D.remove_spans(docs, benchmark)
+    assert many[1].schema == docs.schema
+    for a, b in zip(one, many, strict=True):
+        assert sorted(map(str, a)) == sorted(map(str, b.collect()))
+    assert any(r.contaminated for r in one[0])
