@@ -4,11 +4,15 @@ Texts become token ids, documents longer than a sequence are cut, and the pieces
 the histogram of lengths decides how: patterns of a few lengths that fill a sequence exactly are
 fitted to the histogram by non-negative least squares, rounded, and what they leave is packed by
 best fit, all of it on counts by length. The histogram has one bin per possible length, so this
-costs the same for any number of documents. Spark then deals every piece to its place: pieces of
-one length are numbered, and the plan says which numbers go to which pattern.
+costs the same for any number of documents. Every piece is then dealt to its place: pieces of one
+length are numbered, and the plan says which numbers go to which pattern. The task that cuts a piece
+numbers it among its own of that length; the numbers of the tasks follow each other by the counts of
+(task, length), so that no piece moves, however common its length.
 
 Nulls, ties, repeats: a null text is empty and holds the end id only; rows with the same doc_id
-are packed each for itself; extra columns are ignored; an empty table gives an empty table.
+are packed each for itself; extra columns are ignored; an empty table gives an empty table. A very
+long text becomes many whole pieces, made in one task; pieces of equal length are placed in the
+order in which they were read.
 """
 
 from __future__ import annotations
@@ -20,19 +24,21 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from termsift.cluster import join_lookup, may_broadcast
 from termsift.llm.common import stored
 from termsift.llm.tokens import encoder
 
 SEQUENCE = 4096
 END_ID = 1
 
-#: Pieces of one length are numbered in so many groups, so that a common length is no hot key.
-GROUPS = 64
-
-_PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"
+_PIECES = (
+    "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary,"
+    " task int, number bigint"
+)
 
 
 def token_pieces(
@@ -42,12 +48,14 @@ def token_pieces(
     """One row per piece of at most ``sequence`` ids: its place in the document, crc32 and ids.
 
     ``ids`` holds little-endian unsigned 16-bit ids, or null with ``keep_ids=False``; the crc32 is
-    that of the ids as little-endian unsigned 32-bit integers.
+    that of the ids as little-endian unsigned 32-bit integers. ``number`` counts the pieces of a
+    length within a ``task``.
     """
     end = np.array([end_id], "<u2").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = encoder(tokenizer, "bare")
+        task, seen = TaskContext.get().partitionId(), np.zeros(sequence + 1, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
@@ -58,10 +66,16 @@ def token_pieces(
                     for number, start in enumerate(range(0, len(ids) // 2, sequence)):
                         own = ids[2 * start : 2 * (start + sequence)]
                         crc = zlib.crc32(np.frombuffer(own, "<u2").astype("<u4"))
-                        rows.append((doc, number, start, len(own) // 2, crc, own if keep_ids else None))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
-                columns = zip(*rows, strict=True) if rows else [[]] * 6
+                        n = len(own) // 2
+                        kept = own if keep_ids else None
+                        rows.append((doc, number, start, n, crc, kept, task, int(seen[n])))
+                        seen[n] += 1
+                kinds = (
+                    pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(),
+                    pa.int32(), pa.int64(),
+                )
+                names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids", "task", "number")
+                columns = zip(*rows, strict=True) if rows else [[]] * 8
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names
                 )
@@ -236,27 +250,29 @@ def _best_fit(left: np.ndarray) -> list[tuple[list[int], int]]:
 def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset`` added. ``pieces`` must be a written table.
 
-    The driver sees counts by length and group only: at most ``sequence * GROUPS`` numbers.
+    The driver sees the counts of lengths only: at most ``sequence`` numbers. Those of (task, length)
+    stay in Spark and go to the pieces by broadcast, where their counted rows allow it.
     """
-    group = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(GROUPS)).cast("int")
-    grouped = pieces.withColumn("_group", group)
-    counts = grouped.groupBy("length", "_group").count().toPandas()
-    table = np.zeros((sequence + 1, GROUPS), np.int64)
-    table[counts["length"], counts["_group"]] = counts["count"]
-    before = np.cumsum(table, axis=1) - table
+    counts = stored(pieces.groupBy("task", "length").count(), "lengths")
+    by_length = counts.groupBy("length").agg(F.sum("count").alias("n")).toPandas()
+    histogram = np.zeros(sequence + 1, np.int64)
+    histogram[by_length["length"]] = by_length["n"]
     spark = pieces.sparkSession
-    shared = spark.sparkContext.broadcast((before, plan_sequences(table.sum(axis=1))))
-    order = Window.partitionBy("length", "_group").orderBy("doc_id", "piece", "ids_crc32")
-    numbered = grouped.withColumn("_number", F.row_number().over(order))
-    names = pieces.columns
+    shared = spark.sparkContext.broadcast(plan_sequences(histogram))
+    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before")
+    before = counts.select("task", "length", before)
+    numbered = join_lookup(
+        pieces, before, ["task", "length"], may_broadcast(counts.count()), salt_by="number"
+    )
+    names = [name for name in pieces.columns if name not in ("task", "number")]
+    numbered = numbered.select(*names, (F.col("number") + F.col("_before")).alias("_number"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, plan = shared.value
+        plan = shared.value
         for batch in batches:
             length = batch.column("length").to_numpy()
-            number = batch.column("_number").to_numpy() - 1
-            number = number + before[length, batch.column("_group").to_numpy()]
-            key = (length << _KEY_BITS) + number
+            key = (length << _KEY_BITS) + batch.column("_number").to_numpy()
             at = np.searchsorted(plan.key, key, side="right") - 1
             sequence_id = plan.sequence[at] + key - plan.key[at]
             columns = [batch.column(name) for name in names]
@@ -265,7 +281,7 @@ def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
                 names=[*names, "sequence_id", "offset"],
             )
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    schema = ", ".join(f"{name} {pieces.schema[name].dataType.simpleString()}" for name in names)
     return numbered.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
 
 
