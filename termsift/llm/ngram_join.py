@@ -17,7 +17,8 @@ Equal sets are one set all along. Elements are 64-bit hashes of the n-grams.
 Nulls, ties, repeats: a text without words, or null, has an empty set and links with nothing; with
 fewer words than an n-gram has, all of them are one element; a row without an id has no component
 and links with nothing; rows with the same doc_id are compared each for itself; extra columns are
-ignored; an empty table gives an empty table.
+ignored; an empty table gives an empty table. Of equal sets the document with the smallest id stands
+for all. The set of a very long text is made whole, and such sets share tiles with few others.
 """
 
 from __future__ import annotations
@@ -29,8 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termsift.cluster import may_broadcast
-from termsift.llm.common import components, stored
+from termsift.cluster import drop_scratch, join_lookup, may_broadcast
+from termsift.llm.common import (
+    components,
+    release_shuffles,
+    scratch_dropped,
+    stored,
+    tidy,
+    written,
+)
 
 NGRAM = 4
 
@@ -40,6 +48,9 @@ PERCENT = 85
 #: Candidates in a block, and bytes of their elements at most, about; a tile holds two blocks.
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
 
+#: Parts of the keys for each of the usual shuffle partitions.
+KEY_PARTS = 4
+
 #: Sets that a task knows to have sent already.
 _SEEN = 1_000_000
 
@@ -266,7 +277,7 @@ def signed(documents: DataFrame, ngram: int, percent: int) -> DataFrame:
                 )
 
     return documents.select("doc_id", "text").mapInArrow(
-        sign, "doc_id bigint, n_shingles bigint, set bigint, keys array<bigint>"
+        tidy(sign), "doc_id bigint, n_shingles bigint, set bigint, keys array<bigint>"
     )
 
 
@@ -331,7 +342,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
     count = wanted.count()
     side = F.broadcast(wanted) if may_broadcast(count) else wanted
     texts = documents.select("doc_id", "text").join(side, "doc_id").select("set", "text")
-    return texts.mapInArrow(make, "set bigint, size bigint, bits binary, elements binary")
+    return texts.mapInArrow(tidy(make), "set bigint, size bigint, bits binary, elements binary")
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -370,11 +381,11 @@ def _compare_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     named = lambda *columns: [F.col("set").alias("head"), *[F.col(c).alias(f"head_{c}") for c in columns]]
     bits = pairs.join(sets.select("set", "size", "bits"), "set")
     bits = bits.join(sets.select(*named("size", "bits")), "head")
-    near = stored(bits.mapInArrow(select, "set bigint, head bigint"), "pairs")
+    near = stored(bits.mapInArrow(tidy(select), "set bigint, head bigint"), "pairs")
     heads = stored(near.select("head").distinct(), "heads")
     of_head = sets.select(*named("elements")).join(_small(heads), "head")
     own = sets.select("set", "elements").join(_small(near), "set")
-    return own.join(of_head, "head").mapInArrow(compare, "set bigint, head bigint")
+    return own.join(of_head, "head").mapInArrow(tidy(compare), "set bigint, head bigint")
 
 
 def _tiles(members: DataFrame, percent: int) -> DataFrame:
@@ -386,20 +397,26 @@ def _tiles(members: DataFrame, percent: int) -> DataFrame:
     comps = members.groupBy("cluster", "comp").count()
     largest = comps.groupBy("cluster").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
     band = F.floor(F.log("size") / F.log(F.lit(1.1))).cast("int")
-    placed = members.join(largest, "cluster").withColumn("main", F.col("comp") == F.col("main"))
-    placed = placed.withColumn("band", band)
-    counts = placed.groupBy("cluster", "main", "band").count()
+    # a cluster may hold most of the members: what is known of it goes to them, measured or salted
+    look_up = lambda rows, table, keys: join_lookup(
+        rows, table, keys, may_broadcast(table.count()), salt_by="set"
+    )
+    placed = look_up(members, stored(largest, "largest"), ["cluster"])
+    placed = placed.withColumn("main", F.col("comp") == F.col("main")).withColumn("band", band)
+    counts = stored(placed.groupBy("cluster", "main", "band").count(), "bands")
     each = 8 * F.pow(F.lit(1.1), F.col("band") + 1)
     parts = F.ceil(F.col("count") * F.greatest(F.lit(1 / BLOCK), each / BLOCK_BYTES))
     part = F.pmod(F.xxhash64("set"), parts)
     name = F.concat_ws("-", "main", "band", part.cast("string")).alias("block")
-    placed = placed.join(counts, ["cluster", "main", "band"])
+    placed = look_up(placed, counts, ["cluster", "main", "band"])
     placed = stored(placed.select("set", "comp", "cluster", "size", "main", name), "members")
     blocks = placed.groupBy("cluster", "block", "main").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
+    blocks = stored(blocks, "blocks")
     side = lambda k: blocks.select("cluster", *[F.col(c).alias(f"{c}_{k}") for c in ("block", "main", "lo", "hi")])
     near = (100 * F.col("hi_i") >= percent * F.col("lo_j")) & (100 * F.col("hi_j") >= percent * F.col("lo_i"))
     once = ~F.col("main_i") & (F.col("main_j") | (F.col("block_i") <= F.col("block_j")))
-    pairs = side("i").join(side("j"), "cluster").where(once & near)
+    pairs = join_lookup(side("i"), side("j"), ["cluster"], may_broadcast(blocks.count()), salt_by="block_i")
+    pairs = pairs.where(once & near)
     pairs = pairs.select("cluster", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
     ends = pairs.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     return placed.join(ends, ["cluster", "block"]).select("set", "comp", "cluster", "block", "i", "j")
@@ -444,21 +461,32 @@ def _apart(runs: DataFrame, joined: DataFrame) -> DataFrame:
     return stored(labelled.join(keys.where("low != high"), "key"), "apart")
 
 
-def near_duplicates(documents: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """Per document: ``doc_id, n_shingles, component_id``."""
-    documents = documents.select("doc_id", "text")
-    docs = stored(signed(documents, ngram, percent), "signed")
-    keys = docs.where(F.size("keys") > 0).select("set", F.explode("keys").alias("key"))
-    ordered = keys.repartition("key").sortWithinPartitions("key", "set")
-    runs = stored(ordered.mapInArrow(_runs, "key bigint, set bigint, head bigint"), "runs")
+def _joined_sets(
+    documents: DataFrame, ngram: int, percent: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with their sets, one document of each set, and the linked sets as (node, root)."""
+    spark = documents.sparkSession
+    path = written(signed(documents, ngram, percent), "signed")
+    try:
+        docs = spark.read.parquet(path)
+        keys = docs.where(F.size("keys") > 0).select("set", F.explode("keys").alias("key"))
+        # by far the most rows of all steps: sorted in smaller parts than the others
+        parts = KEY_PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ordered = keys.repartition(parts, "key").sortWithinPartitions("key", "set")
+        runs = stored(ordered.mapInArrow(tidy(_runs), "key bigint, set bigint, head bigint"), "runs")
+        docs = stored(docs.select("doc_id", "n_shingles", "set"), "sizes", keep=True)
+    finally:
+        drop_scratch(spark, path)
+    release_shuffles(spark)
     # sets of candidates, from one document each
     candidates = runs.select("set").distinct()
     classes = docs.where("set is not null and doc_id is not null").groupBy("set")
-    classes = stored(classes.agg(F.min("doc_id").alias("doc_id")), "classes")
+    classes = stored(classes.agg(F.min("doc_id").alias("doc_id")), "classes", keep=True)
     sets = stored(_sets(documents, classes.join(candidates, "set"), ngram), "sets")
     # every candidate with one other
     pairs = runs.where("set != head").groupBy("set").agg(F.min("head").alias("head"))
     links = stored(_compare_pairs(pairs, sets, percent), "links")
+    release_shuffles(spark)
     joined = components(links, "set", "head")
     rest = _apart(runs, joined)
     # what shares a key and is not joined yet, in tiles
@@ -470,13 +498,20 @@ def near_duplicates(documents: DataFrame, ngram: int = NGRAM, percent: int = PER
         members = members.join(sets.select("set", "size"), "set")
         more = stored(_compare_groups(members, sets, percent), "links")
         joined = components(links.unionByName(more), "set", "head")
+    return docs, classes, joined
+
+
+def near_duplicates(documents: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """Per document: ``doc_id, n_shingles, component_id``."""
+    documents = documents.select("doc_id", "text")
+    with scratch_dropped(documents.sparkSession):
+        docs, classes, joined = _joined_sets(documents, ngram, percent)
     # from sets back to documents; rows with one doc_id are one node
     comp = joined.select(F.col("node").alias("set"), F.col("root").alias("comp"))
     grouped = classes.join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     least = grouped.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_set = grouped.join(least, "comp").select("set", "component_id")
-    own = docs.select("doc_id", "n_shingles", "set")
-    return own.join(of_set, "set", "left").select(
+    return docs.join(of_set, "set", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),

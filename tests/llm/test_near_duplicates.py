@@ -214,3 +214,24 @@ def test_runs_across_batches():
         table = pa.table({"key": [k for k, _ in rows], "set": [s for _, s in rows]})
         out = [tuple(r.values()) for b in J._runs(iter(table.to_batches(size))) for r in b.to_pylist()]
         assert len(out) == len(set(out)) and set(out) == want
+
+
+def test_recall_at_production_parameters(spark):
+    """Links planted among scattered vectors of a few labels, with the leaves and trees of the query."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 64))
+    planted = rng.permutation(4000)[:600].reshape(300, 2)
+    for a, b in planted:  # cosines from just above the threshold to nearly one
+        cosine = rng.uniform(0.932, 0.999)
+        u = x[a] / np.linalg.norm(x[a])
+        v = x[b] - (x[b] @ u) * u
+        x[b] = cosine * u + np.sqrt(1 - cosine**2) * v / np.linalg.norm(v)
+    label = rng.integers(0, 2, 4000)
+    label[planted[:, 1]] = label[planted[:, 0]]
+    rows = [(k, v.tolist(), int(label[k])) for k, v in enumerate(x)]
+    found = E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    own = {r.vec_id: (r.n_links, r.component_id) for r in found.collect()}
+    hit = sum(own[a] == own[b] == (1, min(a, b)) for a, b in planted.tolist())
+    assert hit >= 0.95 * len(planted)
+    assert sum(n for n, _ in own.values()) == 2 * hit  # and nothing else is linked
+    print("recall at production parameters", hit / len(planted))
