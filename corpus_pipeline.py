@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termsift.llm.common import free_name, read, stored
+from termsift.llm.common import free_name, read, small_batches, stored
 from termsift.llm.decontamination import remove_spans
 from termsift.llm.ngram_join import keep_one
 from termsift.llm.packing import pack_documents
@@ -30,6 +30,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Without examples of both labels there is no network but a constant, which tells no document
     from another: it rejects none.
     """
+    small_batches(spark)  # whole rows pass through the tasks, their texts included
     model = fit_toxicity(docs, read(spark, sf_dir, "labels"))
     if not isinstance(model, Network):
         return docs
@@ -40,6 +41,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
+    small_batches(spark)
     name = free_name(docs, "quality")
     scored = with_quality(docs, fit_quality(docs, read(spark, sf_dir, "labels")), name)
     return scored.where(F.col(name) >= 0.5).drop(name)
@@ -47,16 +49,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates by word 5-grams, at a Jaccard similarity of 0.8."""
+    small_batches(spark)
     return keep_one(docs, ngram=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their passages of benchmark items."""
+    small_batches(spark)
     return remove_spans(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts packed into sequences; one row per piece, with its ids."""
+    small_batches(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
     return pack_documents(spark, docs, path, keep_ids=True)
 
