@@ -2,7 +2,7 @@
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from termsift.cluster import join_lookup, may_broadcast, write_scratch
@@ -25,6 +25,9 @@ from termsift.sources.index import filter_terms
 #: Flags of search words in one bigint; the sign bit stays out.
 _MASK_BITS = 63
 
+#: Asked words up to which a document's are one bitmap of Spark's.
+_DOCUMENT_BITS = 32_768
+
 
 class Reach(NamedTuple):
     """What the counts of its words say about the result of a query."""
@@ -209,12 +212,9 @@ def boolean_search_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
         for i, name in enumerate(masks)
     ]
     keys = ["prefix", "term"]
-    asked = words.select(keys)
-    few_terms = small
-    if not small:  # many queries may still share few terms
-        asked = asked.distinct()
-        terms = asked.agg(F.count("*"), F.sum(F.octet_length("term"))).first()
-        few_terms = may_broadcast(terms[0], terms[1] or 0)
+    asked = words.select(keys).distinct()  # many queries may share few terms
+    terms = asked.agg(F.count("*"), F.sum(F.octet_length("term"))).first()
+    few_terms = may_broadcast(terms[0], terms[1] or 0)
     if few_terms:
         postings = postings.join(F.broadcast(asked), keys, "left_semi")
     # Every match of a query has one of its cover words: only these make candidates, and the other
@@ -225,12 +225,15 @@ def boolean_search_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
     covers = counted.groupBy("query_id").agg(costs.alias("costs")).join(plans, "query_id")
     path = write_scratch(covers.select("query_id", _cover().alias("cover")), "covers")
     covers = postings.sparkSession.read.parquet(path)
-    words = words.join(covers, "query_id").select(
-        "query_id", "slot", *keys, F.array_contains("cover", F.col("slot")).alias("covers")
+    words = counted.join(covers, "query_id").select(
+        "query_id", "slot", *keys, "n", F.array_contains("cover", F.col("slot")).alias("covers")
     )
     path = write_scratch(words, "words")
     words = postings.sparkSession.read.parquet(path)
-    first, others = (words.where(c).drop("covers") for c in ("covers", "not covers"))
+    if few_terms and terms[0] <= _DOCUMENT_BITS:
+        depth = size["deepest"] or 0
+        return _evaluate_documents(postings, words, plans, terms[0], depth, small, few_steps)
+    first, others = (words.where(c).drop("covers", "n") for c in ("covers", "not covers"))
     found = join_lookup(postings, first, keys, small, salt_by="doc_id")
     path = write_scratch(found.select("query_id", "doc_id", "slot"), "candidates")
     found = postings.sparkSession.read.parquet(path)
@@ -242,10 +245,65 @@ def boolean_search_batch(postings: DataFrame, queries: DataFrame) -> DataFrame:
     more = asked_of.join(postings, [*keys, "doc_id"]).select("query_id", "doc_id", "slot")
     seen = found.union(more).groupBy("query_id", "doc_id").agg(*bits)
     planned = join_lookup(seen, plans, ["query_id"], few_steps, salt_by="doc_id")
-    holds = _postfix_holds(masks, size["deepest"] or 0)
+    if len(masks) == 1:
+        bit = f"(shiftright({masks[0]}, s) & 1L)"
+    else:
+        mask = f"array({', '.join(masks)})[s DIV {_MASK_BITS}]"
+        bit = f"(shiftright({mask}, s % {_MASK_BITS}) & 1L)"
+    holds = _postfix_holds(bit, size["deepest"] or 0)
     return planned.where(holds).select("query_id", "doc_id")
 
 
+def _evaluate_documents(
+    postings: DataFrame, words: DataFrame, plans: DataFrame, n_terms: int, depth: int, small: bool,
+    few_steps: bool,
+) -> DataFrame:
+    """Candidates of the cover words, evaluated on one bitmap of asked words per document.
+
+    ``postings`` are those of the asked words, ``words`` (query_id, slot, prefix, term, n, covers).
+    Where cover words are the smaller part, only postings of documents with one of them are gathered
+    by document, by a bitmap if it can be broadcast; candidates and documents are joined where they lie.
+    """
+    keys = ["prefix", "term"]
+    spark = postings.sparkSession
+    # as many rows as a bitmap has bits, at most
+    number = (F.row_number().over(Window.orderBy(*keys)) - 1).alias("word")
+    path = write_scratch(words.select(*keys).distinct().select(*keys, number), "numbers")
+    numbers = spark.read.parquet(path)
+    first = words.where("covers").drop("covers", "n")
+    held = postings.join(F.broadcast(numbers), keys).select("doc_id", "word")
+    by_term = words.groupBy(*keys).agg(F.first("n").alias("n"), F.max("covers").alias("covers"))
+    total, cover = by_term.agg(F.sum("n"), F.sum(F.when(F.col("covers"), F.col("n")))).first()
+    if 4 * (cover or 0) < (total or 0):
+        covering = postings.join(F.broadcast(first.select(*keys).distinct()), keys, "left_semi")
+        bits = bitmaps(covering)
+        path = write_scratch(bits, "bitmaps")
+        bits = spark.read.schema(bits.schema).parquet(path)
+        if may_broadcast_bitmaps(bits.count()):
+            held = test_bits(held, bits)
+    # dealt before they are gathered, so that no task sends a bitmap for every document it has met
+    bits = F.bitmap_construct_agg(F.col("word").cast("bigint")).alias("_bits")
+    documents = held.repartition("doc_id").groupBy("doc_id").agg(bits)
+    # the bitmap as numbers of 32 bits, its first byte being the highest of the first
+    chunk = "cast(conv(hex(substring(_bits, 4 * k + 1, 4)), 16, 10) AS bigint)"
+    chunks = F.expr(f"transform(sequence(0, {(n_terms - 1) // 32}), k -> {chunk})")
+    documents = documents.select("doc_id", chunks.alias("_words"))
+    found = join_lookup(postings, first.drop("slot"), keys, small, salt_by="doc_id")
+    candidates = found.select("query_id", "doc_id").repartition("doc_id").distinct()
+    by_slot = F.array_sort(F.collect_list(F.struct("slot", "word")))
+    own = words.join(F.broadcast(numbers), keys).groupBy("query_id").agg(by_slot.alias("own"))
+    plans = plans.join(own, "query_id").select(
+        "query_id", "slots",
+        F.expr("transform(own, w -> w.word DIV 32)").alias("_at"),
+        F.expr("transform(own, w -> cast((3 - (w.word % 32) DIV 8) * 8 + w.word % 8 AS int))").alias("_shift"),
+    )
+    planned = join_lookup(
+        candidates.join(documents, "doc_id"), plans, ["query_id"], few_steps, salt_by="doc_id"
+    )
+    bit = "(shiftright(_words[_at[s]], _shift[s]) & 1L)"
+    return planned.where(_postfix_holds(bit, depth)).select("query_id", "doc_id")
+
+
 def _of_candidates(postings: DataFrame, asked: DataFrame) -> DataFrame:
     """Postings that can be among ``asked`` (prefix, term, doc_id, ...), before any shuffle.
 
@@ -281,17 +339,12 @@ def _cover() -> Column:
     )
 
 
-def _postfix_holds(masks: list[str], depth: int) -> Column:
-    """Evaluate ``slots`` over the flags of one row, with a stack of truth values.
+def _postfix_holds(bit: str, depth: int) -> Column:
+    """Evaluate ``slots`` on one row, with a stack of truth values; ``bit`` is that of slot ``s``.
 
     The stack is the bits of a ``bigint`` where it fits, which is several times as fast as the
     array of booleans that serves deeper queries.
     """
-    if len(masks) == 1:
-        bit = f"(shiftright({masks[0]}, s) & 1L)"
-    else:
-        mask = f"array({', '.join(masks)})[s DIV {_MASK_BITS}]"
-        bit = f"(shiftright({mask}, s % {_MASK_BITS}) & 1L)"
     if depth <= _MASK_BITS:
         start, push = "0L", f"shiftleft(st, 1) | {bit}"
         top, below, rest = "st", "shiftright(st, 1)", "shiftleft(shiftright(st, 2), 1)"
