@@ -102,7 +102,7 @@ def test_run_is_the_stages_in_a_row(spark, sf_dir):
 def test_queries_are_registered():
     names = set(entry.queries())
     assert set(queries()) | {"pipeline"} <= names
-    assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name, parts, rest", [("op7_toxicity", 5, 0), ("op8_quality", 3, 1), ("op10_language", 3, 1)])
@@ -126,3 +126,12 @@ def test_held_out_rows(spark, sf_dir, name, parts, rest):
 def test_contract_columns(spark, sf_dir, name, columns):
     out = queries()[name](spark, sf_dir)
     assert set(columns.split()) <= set(out.columns) and out.select("doc_id").distinct().count() == 315
+
+
+def test_pipeline_of_an_empty_table(spark, sf_dir, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").where(
+            "false" if name == "documents" else "true"
+        ).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.collect() == [] and {"doc_id", "sequence_id", "ids"} <= set(out.columns)
