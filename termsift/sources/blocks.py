@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from termsift.cluster import drop_scratch, join_lookup, may_broadcast, path_exists, write_scratch
 from termsift.schemas import BLOCKS
-from termsift.sources.index import ROWS_PER_TASK, filter_terms
+from termsift.sources.index import filter_terms, kept_postings, tasks_for
 
 #: Ids of a block, on the average of its term.
 IDS_PER_BLOCK = 512
@@ -31,11 +31,15 @@ _BLOCKS_ENCODING = {
 def build_blocks(postings: DataFrame, ids_per_block: int = IDS_PER_BLOCK) -> DataFrame:
     """Postings (prefix, term, doc_id) as blocks; repeated postings count once.
 
-    One shuffle of the postings, by term and block, so that a term with a third of all rows is
-    spread over its blocks. Only terms of more than one block are looked up for their cuts.
+    The postings are written to a scratch folder, since they are counted before they are cut. Then one
+    shuffle of them, by term and block, so that a term with a third of all rows is spread over its
+    blocks. It comes before anything is gathered: gathering sorts all postings of a task, which spills
+    where a task reads a large piece of the texts, while the dealt parts have a known size. Only terms of
+    more than one block are looked up for their cuts.
     """
     keys = ["prefix", "term"]
     spark = postings.sparkSession
+    postings = kept_postings(postings)
     counted = postings.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.min("doc_id").alias("_low"), F.max("doc_id").alias("_high")
     )
@@ -51,7 +55,11 @@ def build_blocks(postings: DataFrame, ids_per_block: int = IDS_PER_BLOCK) -> Dat
     cut = join_lookup(postings.select(*keys, "doc_id"), cuts, keys, small, "doc_id", how="left")
     cut = cut.withColumn("shift", F.coalesce("shift", F.lit(_WHOLE)))
     block = F.expr("shiftright(doc_id, shift)").alias("_block")
-    gathered = cut.groupBy(*keys, "shift", block).agg(F.sort_array(F.collect_set("doc_id")).alias("_ids"))
+    dealt = cut.select("*", block).repartition(tasks_for(spark, postings.count()), *keys, "_block")
+    # a number in front, so that the sort in which ids are gathered rarely compares terms
+    dealt = dealt.withColumn("_hash", F.xxhash64(*keys, "_block"))
+    ids = F.sort_array(F.collect_set("doc_id")).alias("_ids")
+    gathered = dealt.groupBy("_hash", *keys, "shift", "_block").agg(ids)
     first = F.element_at("_ids", 1)
     return gathered.select(
         "term",
@@ -71,7 +79,7 @@ def write_blocks(blocks: DataFrame, path: str, mode: str = "errorifexists") -> N
     try:
         rows = spark.read.schema(BLOCKS).parquet(scratch)
         ids = rows.agg(F.sum("n")).first()[0] or 0
-        tasks = max(spark.sparkContext.defaultParallelism, -(-ids // ROWS_PER_TASK))
+        tasks = tasks_for(spark, ids)
         ranged = rows.repartitionByRange(tasks, F.xxhash64("prefix"), "term", "first_id")
         ordered = ranged.sortWithinPartitions("prefix", "term", "first_id")
         writer = ordered.write.mode(mode).options(**_BLOCKS_ENCODING).partitionBy("prefix")

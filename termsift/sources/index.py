@@ -7,8 +7,8 @@ from termsift.cluster import drop_scratch, path_exists, write_scratch
 from termsift.functions.words import letter_runs, term_prefix
 from termsift.schemas import ARTICLE_FILES, POSTINGS
 
-#: Postings per task when the index is written.
-ROWS_PER_TASK = 20_000_000
+#: Postings per task when the index is written: few enough that a task sorts them in memory.
+ROWS_PER_TASK = 2_000_000
 
 #: Sorted ids are written as differences, about a tenth of their plain size for a common term.
 _POSTINGS_ENCODING = {
@@ -27,6 +27,20 @@ def build_postings(articles: DataFrame) -> DataFrame:
     ).withColumn("prefix", term_prefix(F.col("term")))
 
 
+def tasks_for(spark: SparkSession, postings: int) -> int:
+    """How many tasks so many postings are dealt to; none of them has to spill what it sorts."""
+    return max(spark.sparkContext.defaultParallelism, -(-postings // ROWS_PER_TASK))
+
+
+def kept_postings(postings: DataFrame) -> DataFrame:
+    """Postings written to a scratch folder, for steps that read them more than once.
+
+    The texts are cut into words once, and the written rows are counted without reading them.
+    """
+    path = write_scratch(postings.select("term", "doc_id", "prefix"), "postings")
+    return postings.sparkSession.read.schema(POSTINGS).parquet(path)
+
+
 def write_postings(postings: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write postings as Parquet, one folder per prefix, sorted by term and document.
 
@@ -41,7 +55,7 @@ def write_postings(postings: DataFrame, path: str, mode: str = "errorifexists")
     scratch = write_scratch(postings.select("term", "doc_id", "prefix"), "postings")
     try:
         rows = spark.read.schema(POSTINGS).parquet(scratch)
-        tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK))
+        tasks = tasks_for(spark, rows.count())
         # Hashed, so that the many rare prefixes, one small file each, do not gather in a few tasks.
         ranged = rows.repartitionByRange(tasks, F.xxhash64("prefix"), "term", "doc_id")
         ordered = ranged.sortWithinPartitions("prefix", "term", "doc_id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from termsift.cluster import drop_scratch, path_exists, rename_folders
 from termsift.functions.words import term_prefix
 from termsift.schemas import FILE_RANGES, LINES
+from termsift.sources.index import kept_postings, tasks_for
 
 # Fixed value: name of an index shard of text lines, followed by the prefix of its terms.
 INDEX_SHARD = "invertedindex_"
@@ -54,33 +55,51 @@ def index_lines(postings: DataFrame, ids_per_line: int = 1000) -> DataFrame:
     A term gets one line per run of ``ids_per_line`` consecutive ids, so a line stays short
     however common its term is; readers merge the lines of a term.
     """
-    run = F.expr(f"(doc_id - pmod(doc_id, {ids_per_line}L)) DIV {ids_per_line}L").alias("_run")
-    ids = F.sort_array(F.collect_set("doc_id"))
-    return (
-        postings.groupBy("prefix", "term", run)
-        .agg(ids.alias("_ids"))
-        .select(
-            "prefix",
-            F.concat_ws(" ", "term", F.col("_ids").cast("array<string>")).alias("value"),
-        )
-    )
+    rows = kept_postings(postings)
+    tasks = tasks_for(rows.sparkSession, rows.count())
+    dealt = _with_run(rows, ids_per_line).repartition(tasks, "prefix", "term", "_run")
+    return _gathered(dealt).select("prefix", "value")
+
+
+def _with_run(postings: DataFrame, ids_per_line: int) -> DataFrame:
+    run = F.expr(f"(doc_id - pmod(doc_id, {ids_per_line}L)) DIV {ids_per_line}L")
+    return postings.withColumn("_run", run)
+
+
+def _gathered(dealt: DataFrame, *more: str) -> DataFrame:
+    """Lines of postings that were dealt by prefix, term, run and ``more``, where they lie.
+
+    Dealt before they are gathered: gathering sorts all postings of a task, which spills where a task
+    reads a large piece of the texts, while the dealt parts have a known size. A number comes first, so
+    that the sort rarely compares terms.
+    """
+    ids = F.sort_array(F.collect_set("doc_id")).cast("array<string>")
+    keys = ["prefix", "term", "_run"]
+    dealt = dealt.withColumn("_hash", F.xxhash64(*keys))
+    gathered = dealt.groupBy("_hash", *more, *keys).agg(ids.alias("_ids"))
+    return gathered.withColumn("value", F.concat_ws(" ", "term", "_ids"))
 
 
 def write_index_shards(postings: DataFrame, path: str, ids_per_line: int = 1000) -> None:
     """Write postings as text shards, one folder per prefix; fails when the path exists.
 
     One job writes all shards below a hidden folder, with large prefixes cut into several files and
-    lines sorted; each shard then gets its name by a rename, and none of them is there half.
+    lines sorted; each shard then gets its name by a rename, and none of them is there half. The
+    postings, written to a scratch folder for that, are dealt once, by ranges of prefix, term and run:
+    lines are gathered, sorted and written where they lie.
     """
     spark = postings.sparkSession
     if path_exists(spark, path):
         raise FileExistsError(path)
-    lines = index_lines(postings, ids_per_line)
-    lines = lines.withColumn("shard", F.concat(F.lit(INDEX_SHARD), "prefix")).drop("prefix")
-    dealt = lines.hint("rebalance", "shard").sortWithinPartitions("shard", "value")
+    rows = kept_postings(postings)
+    # hashed, so that the many rare prefixes, one small file each, do not gather in a few tasks
+    dealt = _with_run(rows, ids_per_line).withColumn("_shard", F.xxhash64("prefix"))
+    dealt = dealt.repartitionByRange(tasks_for(spark, rows.count()), "_shard", "term", "_run")
+    lines = _gathered(dealt, "_shard")
+    lines = lines.select("value", F.concat(F.lit(INDEX_SHARD), "prefix").alias("shard"))
     hidden = f"{path}/_writing"
     try:
-        dealt.write.partitionBy("shard").text(hidden)
+        lines.sortWithinPartitions("shard", "value").write.partitionBy("shard").text(hidden)
         rename_folders(spark, hidden, "shard=", path)
     finally:
         drop_scratch(spark, hidden)
