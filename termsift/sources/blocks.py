@@ -55,7 +55,8 @@ def build_blocks(postings: DataFrame, ids_per_block: int = IDS_PER_BLOCK) -> Dat
     cut = join_lookup(postings.select(*keys, "doc_id"), cuts, keys, small, "doc_id", how="left")
     cut = cut.withColumn("shift", F.coalesce("shift", F.lit(_WHOLE)))
     block = F.expr("shiftright(doc_id, shift)").alias("_block")
-    dealt = cut.select("*", block).repartition(tasks_for(spark, postings.count()), *keys, "_block")
+    tasks = tasks_for(spark, postings.count())
+    dealt = cut.select("*", block).repartition(tasks, *keys, "shift", "_block")
     # a number in front, so that the sort in which ids are gathered rarely compares terms
     dealt = dealt.withColumn("_hash", F.xxhash64(*keys, "_block"))
     ids = F.sort_array(F.collect_set("doc_id")).alias("_ids")
