@@ -6,11 +6,14 @@ hashes of their elements. Two linked sets therefore have a segment in common, wi
 it, and sets that share a segment are candidates. Passages that thousands of documents share make
 no candidates: a segment mixes them with what else the document holds.
 
-Candidates are compared in tiles. Hashed bitmaps bound the overlap of a pair from above, by the
-bits that one has and the other lacks; only pairs that pass are intersected as sorted arrays.
-First every candidate is compared with one other, which joins nearly all groups; tiles, of blocks
-of candidates in the order of their size, then compare what is still apart. Only links that join
-two groups leave a tile, never all pairs of one.
+Hashed bitmaps bound the overlap of a pair from above, by the bits that one has and the other lacks;
+only pairs that pass are intersected as sorted arrays. First every candidate is compared with one
+other, which joins nearly all groups. Of what is still apart, sets meet where they share one of
+their rarest elements: of so many that two linked sets cannot differ in all of them. A chance
+segment in common, or a shared passage, thus brings no sets together; through those, nearly all
+candidates hang together in one cluster. A rare element of few sets gives pairs, one of many sets
+gives tiles, of blocks of sets in the order of their size. Only links that join two groups leave a
+tile, never all pairs of one.
 
 Equal sets are one set all along. Elements are 64-bit hashes of the n-grams.
 
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termsift.cluster import drop_scratch, join_lookup, may_broadcast
@@ -51,6 +54,13 @@ BLOCK, BLOCK_BYTES = 1024, 16 << 20
 #: Parts of the keys for each of the usual shuffle partitions.
 KEY_PARTS = 4
 
+#: Sets of an element up to which they are paired one by one; more are compared in tiles.
+PAIRED = 128
+
+#: Slots in which elements are counted, slots that a task reports, and slots that are kept. They only
+#: order elements by how common they are: any order finds every link, a good one compares less.
+SLOTS, TASK_SLOTS, COMMON_SLOTS = 1 << 22, 1 << 16, 1 << 18
+
 #: Sets that a task knows to have sent already.
 _SEEN = 1_000_000
 
@@ -452,13 +462,116 @@ def _compare_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return near.groupBy("cluster", "i", "j").applyInArrow(compare, "set bigint, head bigint")
 
 
+def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(own, np.uint64) for own in batch.column("elements").to_pylist()]
+
+
+def _slot(own: np.ndarray) -> np.ndarray:
+    return (own & _U(SLOTS - 1)).astype(np.int64)
+
+
+def _common_slots(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the elements that most sets have, in order, and their counts; of bounded size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SLOTS, np.int32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                for own in _arrays(batch.slice(at, 1024)):
+                    np.add.at(held, _slot(own), 1)
+        chance = held.mean()  # what a slot holds of elements that few sets have
+        slots = np.flatnonzero(held >= max(2, chance + 3 * chance**0.5))
+        if len(slots) > TASK_SLOTS:
+            slots = slots[np.argpartition(held[slots], -TASK_SLOTS)[-TASK_SLOTS:]]
+        yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(held[slots])], names=["slot", "n"])
+
+    counted = sets.select("elements").mapInArrow(tidy(count), "slot bigint, n int")
+    counted = stored(counted.groupBy("slot").agg(F.sum("n").alias("n")), "slots")
+    most = counted.orderBy(F.desc("n"), "slot").limit(COMMON_SLOTS).toArrow().sort_by("slot")
+    return most["slot"].to_numpy(), most["n"].to_numpy()
+
+
+def rare_elements(own: np.ndarray, slots: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """So many of the rarest elements of a set, rarest first, that every linked set has one of its own there.
+
+    A set has at least ``percent`` of its elements in common with a linked one. Take the first of them
+    in the order of all elements: in either set, at most all the others stand before it.
+    """
+    n = len(own)
+    slot = _slot(own)
+    at = np.minimum(np.searchsorted(slots, slot), max(len(slots) - 1, 0))
+    common = np.where(slots[at] == slot, counts[at], 0) if len(slots) else np.zeros(n, np.int64)
+    return own[np.lexsort((own, common))[: n - -(-percent * n // 100) + 1]]
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key: those of keys that several rows have."""
+    last, last_repeats = None, False  # the last row waits for the batch that follows
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if last is not None:
+            batch = pa.concat_batches([last, batch])
+        key = batch.column("key").to_numpy()
+        same = key[1:] == key[:-1]
+        repeats = np.concatenate(([last_repeats], same))
+        last, last_repeats = batch.slice(batch.num_rows - 1), bool(repeats[-1])
+        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(repeats[:-1] | same))
+    if last_repeats:
+        yield last
+
+
+def _rare_runs(sets: DataFrame, percent: int) -> DataFrame:
+    """Rare elements that several sets have, as (key, set, size, place); the place is from 0."""
+    slots, counts = _common_slots(sets)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                rare = [rare_elements(own, slots, counts, percent) for own in _arrays(part)]
+                lengths = [len(r) for r in rare]
+                place = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate(rare).view(np.int64)),
+                        pa.array(np.repeat(part.column("set").to_numpy(), lengths)),
+                        pa.array(np.repeat(part.column("size").to_numpy(), lengths).astype(np.int32)),
+                        pa.array(place),
+                    ],
+                    names=["key", "set", "size", "place"],
+                )
+
+    rows = sets.select("set", "size", "elements")
+    rows = rows.mapInArrow(tidy(choose), "key bigint, set bigint, size int, place int")
+    parts = KEY_PARTS * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(parts, "key").sortWithinPartitions("key")
+    return stored(ordered.mapInArrow(tidy(_repeated), rows.schema), "rare")
+
+
 def _apart(runs: DataFrame, joined: DataFrame) -> DataFrame:
-    """Rows of keys whose sets are in several components, with ``comp`` and the key's least one."""
+    """Rows of keys whose sets are in several components, with ``comp`` and the key's number of rows."""
     comp = joined.select(F.col("node").alias("set"), F.col("root").alias("comp"))
     comp = F.broadcast(comp) if may_broadcast(comp.count()) else comp
     labelled = runs.join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-    keys = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return stored(labelled.join(keys.where("low != high"), "key"), "apart")
+    keys = labelled.groupBy("key").agg(
+        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")
+    )
+    keys = keys.where("low != high").drop("low", "high")
+    return stored(labelled.join(keys, "key"), "apart")
+
+
+def _rare_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (set, head) of sets of different components that share a rare element and may link.
+
+    From the first rare element that they share, they have no more in common than the elements from
+    there on in either of them.
+    """
+    head = rows.select("key", *[F.col(c).alias(f"head_{c}") for c in ("set", "size", "place", "comp")])
+    most = F.least(F.col("size") - F.col("place"), F.col("head_size") - F.col("head_place"))
+    near = (100 + percent) * most >= percent * (F.col("size") + F.col("head_size"))
+    found = rows.join(head, "key").where((F.col("set") > F.col("head_set")) & (F.col("comp") != F.col("head_comp")) & near)
+    return stored(found.select("set", F.col("head_set").alias("head")).distinct(), "candidates")
 
 
 def _joined_sets(
@@ -488,15 +601,16 @@ def _joined_sets(
     links = stored(_compare_pairs(pairs, sets, percent), "links")
     release_shuffles(spark)
     joined = components(links, "set", "head")
-    rest = _apart(runs, joined)
-    # what shares a key and is not joined yet, in tiles
-    if not rest.isEmpty():
-        cluster = components(rest.select("comp", "low"), "comp", "low")
-        cluster = cluster.select(F.col("node").alias("comp"), F.col("root").alias("cluster"))
-        members = rest.select("set", "comp").distinct().join(cluster, "comp", "left")
-        members = members.withColumn("cluster", F.coalesce("cluster", "comp"))
-        members = members.join(sets.select("set", "size"), "set")
-        more = stored(_compare_groups(members, sets, percent), "links")
+    # what shares a key and is not joined yet, by rare elements
+    if not _apart(runs, joined).isEmpty():
+        rest = _apart(_rare_runs(sets, percent), joined)
+        release_shuffles(spark)
+        pairs = _rare_pairs(rest.where(F.col("n") <= PAIRED), percent)
+        more = stored(_compare_pairs(pairs, sets, percent), "links")
+        many = rest.where(F.col("n") > PAIRED)
+        members = many.select("set", "comp", F.col("key").alias("cluster"), F.col("size").cast("bigint"))
+        if not many.isEmpty():
+            more = more.unionByName(stored(_compare_groups(members.distinct(), sets, percent), "links"))
         joined = components(links.unionByName(more), "set", "head")
     return docs, classes, joined
 

@@ -235,3 +235,57 @@ def test_recall_at_production_parameters(spark):
     assert hit >= 0.95 * len(planted)
     assert sum(n for n, _ in own.values()) == 2 * hit  # and nothing else is linked
     print("recall at production parameters", hit / len(planted))
+
+
+@pytest.mark.parametrize("percent", [85, 80, 60])
+def test_linked_sets_share_a_rare_element(percent):
+    """Whatever the counts of elements are, the rarest of two linked sets meet."""
+    rng = np.random.default_rng(percent)
+    slots = np.flatnonzero(rng.random(J.SLOTS) < 0.3)
+    for counts in (rng.integers(1, 9, len(slots)), np.zeros(0, np.int64)):
+        for _ in range(200):
+            n = int(rng.choice([1, 4, 7, 12, 40, 150, 700]))
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            fresh = np.unique(rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 4))).astype(np.uint64))
+            b = np.union1d(rng.choice(a, max(1, len(a) - int(rng.integers(0, 1 + n // 4))), False), fresh)
+            if J.linked(len(a), len(b), len(np.intersect1d(a, b)), percent):
+                rare = [J.rare_elements(s, slots[: len(counts)], counts, percent) for s in (a, b)]
+                assert np.intersect1d(*rare).size
+
+
+def test_shared_passages_bring_no_sets_together(spark, monkeypatch):
+    """What is compared does not grow with the square of the texts around a passage."""
+    rnd, compared = random.Random(4), []
+    groups_of, pairs_of = J._compare_groups, J._compare_pairs
+    pairs_in = lambda m: sum(r["count"] ** 2 for r in m.groupBy("cluster").count().collect())
+    monkeypatch.setattr(J, "_compare_groups", lambda m, *a: compared.append(pairs_in(m)) or groups_of(m, *a))
+    monkeypatch.setattr(J, "_compare_pairs", lambda p, *a: compared.append(p.count()) or pairs_of(p, *a))
+    passage = prose(rnd, 60, 5000)
+    rows = [(k, f"{prose(rnd, 80, 10**6)} {passage}") for k in range(300)]
+    rows += [(300 + k, f"{rows[k][1]} x") for k in range(20)]
+    out = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {r.doc_id: r.component_id for r in out} == {k: k % 300 for k, _ in rows}
+    assert sum(compared) < 2 * len(rows)
+
+
+@pytest.mark.parametrize("paired", [1, 4])
+def test_rare_elements_of_many_sets(spark, paired, monkeypatch):
+    """Tiles of the sets of an element find what its pairs find."""
+    monkeypatch.setattr(J, "BLOCK", 4)
+    monkeypatch.setattr(J, "PAIRED", paired)
+    rnd, rows = random.Random(6), groups(6)
+    passage = prose(rnd, 40, 5000).split()
+    rows += [(k, edited(rnd, edited(rnd, passage).split())) for k in range(2000, 2040)]
+    out = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_texts(rows, 5, 80)
+
+
+def test_repeated_keys_across_batches():
+    import pyarrow as pa
+
+    keys = sorted(int(k) for k in np.random.default_rng(3).integers(0, 60, 90))
+    table = pa.table({"key": keys, "set": list(range(90))})
+    want = [k for k in keys if keys.count(k) > 1]
+    for size in (1, 2, 7, 90):
+        batches = [pa.RecordBatch.from_pydict({"key": [], "set": []}, schema=table.schema), *table.to_batches(size)]
+        assert [k for b in J._repeated(iter(batches)) for k in b.column("key").to_pylist()] == want
