@@ -361,7 +361,7 @@ def _small(table: DataFrame) -> DataFrame:
 
 
 def _compare_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of (set, head). Bitmaps first; sets only of the pairs that may link."""
+    """The linked ones of (set, head), a written table. Bitmaps first; sets only of the pairs that may link."""
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = np.array([False, True])
@@ -388,14 +388,16 @@ def _compare_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame
                 keep = [bool(compare_tile([x, y], two, two, percent)) for x, y in zip(a, b, strict=True)]
                 yield part.select(["set", "head"]).filter(pa.array(keep, pa.bool_()))
 
-    named = lambda *columns: [F.col("set").alias("head"), *[F.col(c).alias(f"head_{c}") for c in columns]]
-    bits = pairs.join(sets.select("set", "size", "bits"), "set")
-    bits = bits.join(sets.select(*named("size", "bits")), "head")
+    def together(pairs: DataFrame, *columns: str) -> DataFrame:
+        # of the sets, only what a pair needs is moved
+        heads = stored(pairs.select("head").distinct(), "heads")
+        named = [F.col("set").alias("head"), *[F.col(c).alias(f"head_{c}") for c in columns]]
+        of_head = sets.select(*named).join(_small(heads), "head")
+        return sets.select("set", *columns).join(_small(pairs), "set").join(of_head, "head")
+
+    bits = together(pairs, "size", "bits")
     near = stored(bits.mapInArrow(tidy(select), "set bigint, head bigint"), "pairs")
-    heads = stored(near.select("head").distinct(), "heads")
-    of_head = sets.select(*named("elements")).join(_small(heads), "head")
-    own = sets.select("set", "elements").join(_small(near), "set")
-    return own.join(of_head, "head").mapInArrow(tidy(compare), "set bigint, head bigint")
+    return together(near, "elements").mapInArrow(tidy(compare), "set bigint, head bigint")
 
 
 def _tiles(members: DataFrame, percent: int) -> DataFrame:
@@ -454,9 +456,9 @@ def _compare_groups(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
             [pa.array(own[pairs[:, 0]]), pa.array(own[pairs[:, 1]])], names=["set", "head"]
         )
 
-    tiles = _tiles(members, percent)
+    tiles = stored(_tiles(members, percent), "tiles")
     schema = tiles.schema
-    tiles = tiles.join(sets.select("set", "size", "bits"), "set").select(*schema.names, "size", "bits")
+    tiles = sets.select("set", "size", "bits").join(_small(tiles), "set").select(*schema.names, "size", "bits")
     near = stored(tiles.groupBy("cluster", "i", "j").applyInArrow(select, schema), "near")
     near = sets.select("set", "elements").join(_small(near), "set")
     return near.groupBy("cluster", "i", "j").applyInArrow(compare, "set bigint, head bigint")
@@ -549,11 +551,22 @@ def _rare_runs(sets: DataFrame, percent: int) -> DataFrame:
     return stored(ordered.mapInArrow(tidy(_repeated), rows.schema), "rare")
 
 
+def _labelled(rows: DataFrame, joined: DataFrame, of: str = "set", name: str = "comp") -> DataFrame:
+    """Rows with the component of a set of theirs; a set that is joined to none is its own."""
+    comp = joined.select(F.col("node").alias(of), F.col("root").alias(name))
+    found = join_lookup(rows, comp, [of], may_broadcast(comp.count()), salt_by="key", how="left")
+    return found.withColumn(name, F.coalesce(name, of))
+
+
+def _all_joined(runs: DataFrame, joined: DataFrame) -> bool:
+    """Whether the sets of each key are in one component: every set in that of its key's first set."""
+    both = _labelled(_labelled(runs, joined), joined, "head", "head_comp")
+    return both.where("comp != head_comp").isEmpty()
+
+
 def _apart(runs: DataFrame, joined: DataFrame) -> DataFrame:
     """Rows of keys whose sets are in several components, with ``comp`` and the key's number of rows."""
-    comp = joined.select(F.col("node").alias("set"), F.col("root").alias("comp"))
-    comp = F.broadcast(comp) if may_broadcast(comp.count()) else comp
-    labelled = runs.join(comp, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    labelled = _labelled(runs, joined)
     keys = labelled.groupBy("key").agg(
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")
     )
@@ -567,11 +580,13 @@ def _rare_pairs(rows: DataFrame, percent: int) -> DataFrame:
     From the first rare element that they share, they have no more in common than the elements from
     there on in either of them.
     """
-    head = rows.select("key", *[F.col(c).alias(f"head_{c}") for c in ("set", "size", "place", "comp")])
-    most = F.least(F.col("size") - F.col("place"), F.col("head_size") - F.col("head_place"))
-    near = (100 + percent) * most >= percent * (F.col("size") + F.col("head_size"))
-    found = rows.join(head, "key").where((F.col("set") > F.col("head_set")) & (F.col("comp") != F.col("head_comp")) & near)
-    return stored(found.select("set", F.col("head_set").alias("head")).distinct(), "candidates")
+    # named by aliases only: both sides are one table to Spark, which moves it once
+    own, head = rows.alias("own"), rows.alias("head")
+    most = F.least(F.expr("own.size - own.place"), F.expr("head.size - head.place"))
+    near = (100 + percent) * most >= percent * F.expr("own.size + head.size")
+    apart = F.expr("own.set > head.set AND own.comp != head.comp")
+    found = own.join(head, F.expr("own.key = head.key")).where(apart & near)
+    return stored(found.select(F.col("own.set"), F.col("head.set").alias("head")).distinct(), "candidates")
 
 
 def _joined_sets(
@@ -592,17 +607,17 @@ def _joined_sets(
         drop_scratch(spark, path)
     release_shuffles(spark)
     # sets of candidates, from one document each
-    candidates = runs.select("set").distinct()
+    candidates = stored(runs.select("set").distinct(), "chosen")
     classes = docs.where("set is not null and doc_id is not null").groupBy("set")
     classes = stored(classes.agg(F.min("doc_id").alias("doc_id")), "classes", keep=True)
     sets = stored(_sets(documents, classes.join(candidates, "set"), ngram), "sets")
     # every candidate with one other
-    pairs = runs.where("set != head").groupBy("set").agg(F.min("head").alias("head"))
+    pairs = stored(runs.where("set != head").groupBy("set").agg(F.min("head").alias("head")), "firsts")
     links = stored(_compare_pairs(pairs, sets, percent), "links")
     release_shuffles(spark)
     joined = components(links, "set", "head")
     # what shares a key and is not joined yet, by rare elements
-    if not _apart(runs, joined).isEmpty():
+    if not _all_joined(runs, joined):
         rest = _apart(_rare_runs(sets, percent), joined)
         release_shuffles(spark)
         pairs = _rare_pairs(rest.where(F.col("n") <= PAIRED), percent)

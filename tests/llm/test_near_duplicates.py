@@ -289,3 +289,25 @@ def test_repeated_keys_across_batches():
     for size in (1, 2, 7, 90):
         batches = [pa.RecordBatch.from_pydict({"key": [], "set": []}, schema=table.schema), *table.to_batches(size)]
         assert [k for b in J._repeated(iter(batches)) for k in b.column("key").to_pylist()] == want
+
+
+def test_sets_are_moved_once_for_pairs(spark, monkeypatch):
+    """Pairs go to the sets; the table of all sets is not dealt out for them."""
+    stored, plans = J.stored, {}
+    plan = lambda table: table._jdf.queryExecution().toString()
+    monkeypatch.setattr(J, "stored", lambda t, name, *a, **k: plans.setdefault(name, plan(t)) and stored(t, name, *a, **k))
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        J.near_duplicates(spark.createDataFrame(groups(8), "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert "hashpartitioning(head" in plans["pairs"] and "hashpartitioning(set" not in plans["pairs"]
+
+
+def test_all_joined_asks_every_key(spark):
+    runs = [(1, 5, 5), (1, 6, 5), (1, 7, 5), (2, 8, 8), (2, 9, 8)]
+    runs = spark.createDataFrame(runs, "key long, set long, head long")
+    for links, joined in (([(6, 5), (7, 5), (9, 8)], True), ([(6, 5), (9, 8)], False), ([(6, 5), (7, 5)], False), ([], False)):
+        assert J._all_joined(runs, spark.createDataFrame(links, "node long, root long")) == joined
+        assert J._apart(runs, spark.createDataFrame(links, "node long, root long")).isEmpty() == joined
