@@ -17,8 +17,11 @@ from tokenizers import Tokenizer
 
 from termsift.llm.common import slices, worker_tool
 
-#: Pieces whose ids a Python worker keeps; beyond it the cache starts anew.
-CACHED_PIECES = 1_000_000
+#: Pieces whose ids a Python worker keeps, some 40 MB; beyond it the cache starts anew.
+CACHED_PIECES = 200_000
+
+#: Characters of texts that are cut and encoded together: the tokenizer takes many times as much.
+RUN_CHARACTERS = 1 << 18
 
 #: Longer ones are encoded each time.
 _CACHED_LENGTH = 40
@@ -116,7 +119,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; a null text has none."""
-        return [ids for run in slices(texts, lambda t: len(t or "")) for ids in self._run(run)]
+        return [ids for run in slices(texts, lambda t: len(t or ""), RUN_CHARACTERS) for ids in self._run(run)]
 
     def _run(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHED_PIECES:

@@ -164,3 +164,15 @@ def test_dictionary_of_few_ids_with_many_rows(spark, monkeypatch):
     monkeypatch.setattr(token_files, "SAMPLE_DOCUMENTS", 1)
     documents = spark.range(3000).selectExpr("id % 2 as doc_id", "'some text' as text")
     assert token_files._sample(documents) == ["some text"]
+
+
+def test_encoder_keeps_little(monkeypatch):
+    """However many words there are, a worker keeps the ids of few and encodes few at once."""
+    rnd, longest = random.Random(7), []
+    own = tokens.Encoder(WORD, "bare")
+    ids_of = own._ids
+    monkeypatch.setattr(own, "_ids", lambda texts: longest.append(sum(map(len, texts))) or ids_of(texts))
+    for _ in range(12):
+        own.encode([" ".join("".join(rnd.choices("abcdefgh", k=7)) for _ in range(4000)) for _ in range(8)])
+        assert len(own.known) <= 250_000
+    assert max(longest) < 350_000
