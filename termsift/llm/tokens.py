@@ -1,27 +1,26 @@
 """Token ids of whole texts with a public tokenizer file, at a known memory bound.
 
 A tokenizer first cuts a text into pieces, letters apart from punctuation, and then encodes each
-piece by itself. Texts are cut here by the same rule, the ids of pieces are kept while they are in
-use, and pieces not seen yet are encoded together in one call. All of this only saves time:
-whatever is not certain to be cut right (rare white space, letters beyond Latin-1) goes to the
-tokenizer as it is.
+piece by itself. Texts are cut here by the same rule, a piece goes to the tokenizer's model as it
+is, and the ids of pieces are kept while they are in use. All of this only saves time: whatever is
+not certain to be cut right (rare white space, letters beyond Latin-1) goes through the whole
+tokenizer.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
+from collections.abc import Callable
 
-import numpy as np
 from tokenizers import Tokenizer
 
-from termsift.llm.common import slices, worker_tool
+from termsift.llm.common import worker_tool
 
-#: Pieces whose ids a Python worker keeps, some 40 MB; beyond it the cache starts anew.
-CACHED_PIECES = 200_000
-
-#: Characters of texts that are cut and encoded together: the tokenizer takes many times as much.
-RUN_CHARACTERS = 1 << 18
+#: Pieces whose ids a Python worker keeps, some 60 MB. Half of them are the latest; when these are
+#: full, they become the older half, and what was not used since then is forgotten.
+CACHED_PIECES = 300_000
 
 #: Longer ones are encoded each time.
 _CACHED_LENGTH = 40
@@ -37,38 +36,28 @@ _RARE_SPACE = re.compile(
 )
 
 
-def _between(ids: np.ndarray, ends: np.ndarray, skip: int = 0) -> list[bytes]:
-    """Bytes of the ids up to each end; ``skip`` ids after an end belong to neither side."""
-    raw, ends = ids.tobytes(), (2 * ends).tolist()
-    starts = [0, *(end + 2 * skip for end in ends)]
-    return [raw[start:end] for start, end in zip(starts, ends, strict=False)]
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level models have for the UTF-8 bytes of each Latin-1 character."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [byte for byte in range(256) if byte not in plain]
+    letters = {byte: chr(byte) for byte in plain} | {byte: chr(256 + k) for k, byte in enumerate(rest)}
+    return {code: "".join(letters[byte] for byte in chr(code).encode()) for code in range(256)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 class _Bare:
-    """For tokenizers that drop white space and case, and mark the end of a word in its last id."""
+    """For tokenizers that drop white space and case."""
 
     pieces = re.compile(rf"{_ENDINGS}|[{_LOWER}]+|[{_DIGITS}]|[^ \n{_LOWER}{_DIGITS}]+")
 
-    def __init__(self, tokenizer: Tokenizer):
-        self.ends = np.zeros(1 << 16, bool)
-        for token, number in tokenizer.get_vocab().items():
-            self.ends[number] = token.endswith("</w>")
-
     def cut(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text):
             return self.pieces.findall(text.lower())
         words = [word.decode() for word in text.encode().split()]
         return [p for w in words for p in (self.cut(w) if _PLAIN.fullmatch(w) else [w])]
 
-    def join(self, pieces: list[str]) -> str:
-        return " ".join(pieces)
-
-    def split(self, ids: np.ndarray) -> list[bytes]:
-        return _between(ids, np.flatnonzero(self.ends[ids]) + 1)
-
-    def together(self, piece: str) -> bool:
-        return bool(_PLAIN.fullmatch(piece))
-
 
 class _Spaced:
     """For byte-level tokenizers that keep a blank as a part of the word that follows."""
@@ -77,9 +66,6 @@ class _Spaced:
         rf"{_ENDINGS}| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^ \n{_LETTERS}{_DIGITS}]+|[ \n]+(?![^ \n])|[ \n]+"
     )
 
-    def __init__(self, tokenizer: Tokenizer):
-        (self.line,) = tokenizer.encode("\n", add_special_tokens=False).ids
-
     def cut(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text):
             return self.pieces.findall(text)
@@ -88,24 +74,36 @@ class _Spaced:
         words = _SPACED.findall(text)
         return [p for w in words for p in (self.cut(w) if _PLAIN.fullmatch(w) else [w])]
 
-    def join(self, pieces: list[str]) -> str:
-        return "\n".join(pieces) + "\n"
 
-    def split(self, ids: np.ndarray) -> list[bytes]:
-        return _between(ids, np.flatnonzero(ids == self.line), 1)
+_CUTS = {"bare": _Bare, "spaced": _Spaced}
+
 
-    def together(self, piece: str) -> bool:
-        return bool(piece.strip()) and "\n" not in piece and bool(_PLAIN.fullmatch(piece))
+class _Known(dict):
+    """Ids by piece. Any piece can be asked for: one that is not there is encoded then."""
 
+    def __init__(self, encoded: Callable[[str], bytes]):
+        super().__init__()
+        self.encoded = encoded
+        self.older: dict[str, bytes] = {}
 
-_CUTS = {"bare": _Bare, "spaced": _Spaced}
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encoded(piece)
+        if len(piece) <= _CACHED_LENGTH:
+            if 2 * len(self) >= CACHED_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
 
 
 class Encoder:
     """Encodes texts as little-endian unsigned 16-bit ids (every id must be below 65,536).
 
-    ``cut`` is ``bare`` for tokenizers that drop white space, ``spaced`` for those that keep it.
-    The strings of special tokens are ordinary text.
+    ``cut`` is ``bare`` for tokenizers that drop white space, ``spaced`` for those that keep it. One
+    that is not byte-level is found by trying every character, and then cuts each piece itself. The
+    strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str, cut: str):
@@ -114,40 +112,36 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("token ids do not fit into 16 bits")
-        self.cut = _CUTS[cut](self.tokenizer)
-        self.known: dict[str, bytes] = {}
+        self.cut = _CUTS[cut]()
+        self.known = _Known(lambda piece: self._ids([piece])[0])
+        self.model = self.tokenizer.model
+        trial = "\n".join(f"{c} {c}{c} a{c}" for c in map(chr, range(256)) if _PLAIN.fullmatch(c))
+        trial = sorted(set(self.cut.cut(trial)))
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.by_model = all(token.special for token in added) and all(
+            self._by_model(piece) == self._whole(piece) for piece in trial
+        )
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes; a null text has none."""
-        return [ids for run in slices(texts, lambda t: len(t or ""), RUN_CHARACTERS) for ids in self._run(run)]
-
-    def _run(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > CACHED_PIECES:
-            self.known = {}
-        cut = [self.cut.cut(text) if text else [] for text in texts]
-        known = self.known
-        new = self._pieces({p for pieces in cut for p in pieces}.difference(known))
-        known.update(new)
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        for piece in new:
-            if len(piece) > _CACHED_LENGTH:
-                del known[piece]
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, self.cut.cut(text))) if text else b"" for text in texts]
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for piece in pieces:
+            # a plain piece was cut by the tokenizer's own rule and has no further cut in it
+            plain = self.by_model and _PLAIN.fullmatch(piece)
+            ids = self._by_model(piece) if plain else self._whole(piece)
+            out.append(struct.pack(f"<{len(ids)}H", *ids))
         return out
 
-    def _pieces(self, pieces: set[str]) -> dict[str, bytes]:
-        joined = [p for p in pieces if self.cut.together(p)]
-        out = {}
-        if joined:
-            parts = self.cut.split(self._ids([self.cut.join(joined)])[0])
-            if len(parts) == len(joined):
-                out = dict(zip(joined, parts, strict=True))
-        rest = [p for p in pieces if p not in out]
-        out |= dict(zip(rest, (ids.tobytes() for ids in self._ids(rest)), strict=True))
-        return out
+    def _by_model(self, piece: str) -> list[int]:
+        return [token.id for token in self.model.tokenize(piece.translate(_BYTE_LETTERS))]
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u2") for e in found]
+    def _whole(self, piece: str) -> list[int]:
+        (found,) = self.tokenizer.encode_batch_fast([piece], add_special_tokens=False)
+        return found.ids
 
 
 def encoder(path: str, cut: str) -> Encoder:

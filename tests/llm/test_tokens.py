@@ -3,7 +3,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
 from tests.llm.cases import awkward, crc, empty
 from termsift.llm import packing, token_files, tokens
@@ -31,6 +31,53 @@ def test_encoder_gives_the_ids_of_the_library(path, cut, letters, monkeypatch):
         assert np.frombuffer(got, "<u2").tolist() == want(text)
 
 
+class _Counted:
+    """A tokenizer, or its model, that counts the characters it is given."""
+
+    def __init__(self, of, given):
+        self.of, self.given = of, given
+
+    def __getattr__(self, name):
+        return _Counted(self.of.model, self.given) if name == "model" else getattr(self.of, name)
+
+    def encode_batch_fast(self, texts, **options):
+        self.given.extend(map(len, texts))
+        return self.of.encode_batch_fast(texts, **options)
+
+    def tokenize(self, piece):
+        self.given.append(len(piece))
+        return self.of.tokenize(piece)
+
+
+@pytest.mark.parametrize("path, cut", [(WORD, "bare"), (BYTE, "spaced")])
+def test_encoder_keeps_the_pieces_in_use(path, cut, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_PIECES", 400)
+    own, given = tokens.Encoder(path, cut), []
+    for name in ["tokenizer", "model"]:
+        monkeypatch.setattr(own, name, _Counted(getattr(own, name, None), given), raising=False)
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=8))
+    common = [word() for _ in range(100)]
+    want = reference(path)
+    for _ in range(50):  # a text has the common words and 40 that no other has
+        rare = [word() for _ in range(40)]
+        text = " ".join(["", *common, *rare])
+        (ids,) = own.encode([text])
+        assert np.frombuffer(ids, "<u2").tolist() == want(text)
+    assert sum(given) < 50 * 40 * 9 + 2 * 100 * 9
+
+
+def test_encoder_of_a_tokenizer_that_is_not_byte_level(tmp_path):
+    vocab = {"[UNK]": 0, " ": 1, "Ġ": 2, "a": 3, "é": 4, "Ã": 5, "aa": 6}
+    model = models.BPE(vocab=vocab, merges=[("a", "a")], unk_token="[UNK]")
+    path = f"{tmp_path}/plain.json"
+    Tokenizer(model).save(path)
+    own, want = tokens.Encoder(path, "spaced"), reference(path)
+    for text in ["aa", "é", "Ãa", "b"]:
+        (ids,) = own.encode([text])
+        assert np.frombuffer(ids, "<u2").tolist() == want(text)
+
+
 def test_packing_holds_every_id_once(spark):
     rnd = random.Random(2)
     docs = awkward(spark, [" ".join(rnd.choices("alpha beta gamma".split(), k=rnd.randint(1, 900))) for _ in range(40)])
