@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termsift.cluster import drop_scratch, path_exists, write_scratch
+from termsift.cluster import drop_scratch, listed_by_few, path_exists, write_scratch
 from termsift.functions.words import letter_runs, term_prefix
 from termsift.schemas import ARTICLE_FILES, POSTINGS
 
@@ -103,8 +103,9 @@ def write_articles(
 
 
 def read_article_files(spark: SparkSession, path: str) -> DataFrame:
-    """Written articles with their ``file``."""
-    return spark.read.schema(ARTICLE_FILES).parquet(path)
+    """Written articles with their ``file``. Their folders are listed here, once."""
+    with listed_by_few(spark):
+        return spark.read.schema(ARTICLE_FILES).parquet(path)
 
 
 def build_file_ranges(articles: DataFrame) -> DataFrame:

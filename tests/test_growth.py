@@ -82,3 +82,36 @@ def test_postings_are_dealt_to_tasks_that_can_sort_them(spark, tmp_path, monkeyp
     read = lines.parse_postings(lines.read_lines(spark, f"{tmp_path}/shards/*"))
     found = sorted(map(tuple, read.collect()))
     assert found == sorted(map(tuple, postings.collect()))
+
+
+def _listing_tasks(spark, step, group) -> list[int]:
+    """Tasks of each job that a step runs."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        step()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds]
+    return [info.numTasks for info in map(tracker.getStageInfo, stages) if info]
+
+
+def test_folders_of_article_files_are_listed_by_few_tasks(spark, tmp_path):
+    ids = spark.range(0, 3000, 10).selectExpr("id as doc_id", "'u' url", "'t' title", "'c' content")
+    index.write_articles(ids, f"{tmp_path}/articles", 10)
+    usual = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    read = []
+    step = lambda: read.append(index.read_article_files(spark, f"{tmp_path}/articles"))
+    tasks = _listing_tasks(spark, step, f"listing {tmp_path}")
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism < 300
+    assert read[0].select("file").distinct().count() == 300
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == usual
+
+
+def test_article_files_are_listed_once(spark, tmp_path):
+    rows = [(k, f"a text {k}", "s") for k in range(0, 6000, 100)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    first = entry._article_files(spark, str(tmp_path))
+    assert first.count() == 60
+    assert not _listing_tasks(spark, lambda: entry._article_files(spark, str(tmp_path)), f"again {tmp_path}")
